@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
-from pyspark.errors import PySparkException
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -93,10 +94,6 @@ def vectors(df: DataFrame, cols: Sequence[str]) -> Iterator[DataFrame]:
         data.unpersist()
 
 
-def _fit(data: DataFrame, k: int, seed: int, distance: str, max_iter: int):
-    return KMeans(k=k, seed=seed, distanceMeasure=distance, maxIter=max_iter).fit(data)
-
-
 def kmeans_fit(
     df: DataFrame,
     cols: Sequence[str],
@@ -115,7 +112,7 @@ def kmeans_fit(
         centers = lloyd(df, init_centers, max_iter)
     else:
         with vectors(df, cols) as data:
-            model = _fit(data, k, seed, distance, max_iter)
+            model = KMeans(k=k, seed=seed, distanceMeasure=distance, maxIter=max_iter).fit(data)
             centers = Centers.of(cols, [c.tolist() for c in model.clusterCenters()])
     return centers, assign_nearest(df, centers)
 
@@ -207,42 +204,175 @@ def best_k(
     max_k: int = 15,
     patience: int = 3,
     seed: int = 42,
-    distance: str = "euclidean",
-    metric: str = "squaredEuclidean",
+    key: str | None = None,
     max_iter: int = 20,
 ) -> BestK:
-    """Try k = 2 .. max_k - 1 and keep the highest silhouette.
+    """Try k = 2 .. max_k - 1 and keep the highest squared-distance silhouette.
 
-    The vectors are kept across all fits, and the winning fit is returned, so that it
-    need not be repeated. `exhausted` tells that the data had no further clusters.
-    If no score is positive, k = 2 is used.
+    All k are fitted side by side, so a pass over the rows serves every one of them: about
+    `max_iter` passes in all, rather than as many for each k. The stopping rule is then
+    applied to the scores in order. With a record key the result does not depend on the
+    partitioning. `exhausted` tells that the data had no further clusters. If no score is
+    positive, k = 2 is used.
     """
-    sweep = KSweep(patience)
-    evaluator = ClusteringEvaluator(distanceMeasure=metric)
-    kept: list | None = None
-    first: list | None = None
-    exhausted = False
-    with vectors(df, cols) as data:
-        for k in range(2, max_k):
-            model = _fit(data, k, seed, distance, max_iter)
-            points = [c.tolist() for c in model.clusterCenters()]
-            first = first or points
-            if len(points) < k:
-                exhausted = True
-                break
-            try:
-                score = evaluator.evaluate(model.transform(data))
-            except PySparkException:
-                exhausted = True
-                break
-            if sweep.offer(k, score):
-                kept = points
-            if sweep.stopped:
-                break
-    points = kept or first
+    sample = seed_rows(df, cols, seed, key)
+    starts = {k: spread_points(sample, k, seed) for k in range(2, max_k)}
+    found = {k: p for k, p in starts.items() if len(p) == k}
+    if not found:
+        points = spread_points(sample, 1, seed)
+        return BestK(1, 0.0, Centers.of(cols, points), KSweep(patience).table(df.sparkSession), True)
+    fitted = lloyd_sweep(df, cols, found, max_iter)
+    scores = silhouette_sweep(df, cols, fitted)
+    sweep = KSweep.replay(sorted(scores.items()), patience)
+    exhausted = len(found) < len(starts) and not sweep.stopped
+    winner = sweep.k or min(fitted)
     return BestK(
-        sweep.k or len(points), sweep.score, Centers.of(cols, points), sweep.table(df.sparkSession), exhausted
+        winner, sweep.score, Centers.of(cols, fitted[winner]), sweep.table(df.sparkSession), exhausted
+    )
+
+
+# Rows looked at to place the first centers; the fit itself uses all rows.
+SEED_ROWS = 5_000
+
+
+def seed_rows(df: DataFrame, cols: Sequence[str], seed: int, key: str | None = None) -> np.ndarray:
+    """About SEED_ROWS rows picked by a hash of the key (or at random without one)."""
+    share = max(1, df.count() // SEED_ROWS)
+    if share > 1:
+        pick = (
+            F.rand(seed) * share < 1
+            if key is None
+            else F.pmod(F.xxhash64(F.col(quoted(key)), F.lit(seed)), F.lit(share)) == 0
+        )
+        df = df.filter(pick)
+    rows = df.select(*[quoted(c) for c in cols]).limit(4 * SEED_ROWS).toArrow()
+    points = np.column_stack([rows.column(i).to_numpy() for i in range(len(cols))]).astype("float64")
+    return points[np.lexsort(points.T[::-1])]
+
+
+def spread_points(rows: np.ndarray, k: int, seed: int) -> list[list[float]]:
+    """Starting centers that lie apart: each is drawn with odds given by its squared distance
+    to those drawn before. Fewer than k come back if there are fewer distinct rows."""
+    draw = np.random.default_rng(seed)
+    chosen = [rows[draw.integers(len(rows))]]
+    gap = ((rows - chosen[0]) ** 2).sum(axis=1)
+    while len(chosen) < k and gap.sum() > 0:
+        chosen.append(rows[draw.choice(len(rows), p=gap / gap.sum())])
+        gap = np.minimum(gap, ((rows - chosen[-1]) ** 2).sum(axis=1))
+    return [p.tolist() for p in chosen]
+
+
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    return np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+
+
+def cluster_sums(df: DataFrame, cols: Sequence[str], models: Mapping[int, Sequence[Sequence[float]]]) -> list:
+    """Rows, coordinate sums and squared norms per `(k, cluster)` for several sets of centers.
+
+    One pass: a task sends on one row per center, and these are added up.
+    """
+    arrays = {k: np.asarray(p, dtype="float64") for k, p in models.items()}
+    names = ["k", "c", "n", "q", *[f"s{i}" for i in range(len(cols))]]
+    schema = "k int, c int, n bigint, q double, " + ", ".join(f"s{i} double" for i in range(len(cols)))
+
+    def partial(batches):
+        totals = {k: np.zeros((len(p), len(cols) + 2)) for k, p in arrays.items()}
+        for batch in batches:
+            rows = _matrix(batch)
+            wide = np.column_stack([np.ones(len(rows)), (rows * rows).sum(axis=1), rows])
+            for k, p in arrays.items():
+                own = np.argmin((p * p).sum(axis=1) / 2.0 - rows @ p.T, axis=1)
+                for j in range(wide.shape[1]):
+                    totals[k][:, j] += np.bincount(own, weights=wide[:, j], minlength=len(p))
+        for k, t in totals.items():
+            size = len(t)
+            fields = [pa.array([k] * size, pa.int32()), pa.array(range(size), pa.int32())]
+            fields += [pa.array(t[:, 0].astype("int64")), *[pa.array(t[:, j]) for j in range(1, t.shape[1])]]
+            yield pa.RecordBatch.from_arrays(fields, names)
+
+    return (
+        df.select(*[quoted(c) for c in cols])
+        .mapInArrow(partial, schema)
+        .groupBy("k", "c")
+        .agg(*[F.sum(n).alias(n) for n in names[2:]])
+        .filter(F.col("n") > 0)
+        .collect()
+    )
+
+
+def lloyd_sweep(
+    df: DataFrame,
+    cols: Sequence[str],
+    starts: Mapping[int, Sequence[Sequence[float]]],
+    max_iter: int = 20,
+    tol: float = 1e-4,
+) -> dict[int, list[list[float]]]:
+    """Move several sets of centers at once; a set that no longer moves is left out of later passes."""
+    fitted = {k: [list(p) for p in points] for k, points in starts.items()}
+    moving = set(fitted)
+    for _ in range(max_iter):
+        if not moving:
+            break
+        before = {k: [list(p) for p in fitted[k]] for k in moving}
+        for r in cluster_sums(df, cols, before):
+            fitted[r["k"]][r["c"]] = [r[f"s{i}"] / r["n"] for i in range(len(cols))]
+        moving = {
+            k for k in moving if max(math.dist(a, b) for a, b in zip(before[k], fitted[k], strict=True)) > tol
+        }
+    return fitted
+
+
+def silhouette_sweep(
+    df: DataFrame, cols: Sequence[str], models: Mapping[int, Sequence[Sequence[float]]]
+) -> dict[int, float]:
+    """Mean squared-distance silhouette for several sets of centers: two passes in all."""
+    stats: dict[int, dict[int, tuple]] = {k: {} for k in models}
+    for r in cluster_sums(df, cols, models):
+        mean = [r[f"s{i}"] / r["n"] for i in range(len(cols))]
+        stats[r["k"]][r["c"]] = (r["n"], r["q"] / r["n"], mean)
+    tables = {}
+    for k, points in models.items():
+        used = sorted(stats[k])
+        if len(used) < 2:
+            continue
+        size, norm, mean = zip(*[stats[k][c] for c in used], strict=True)
+        tables[k] = (
+            np.asarray([points[c] for c in used]),
+            np.asarray(size, dtype="float64"),
+            np.asarray(norm),
+            np.asarray(mean),
+        )
+
+    def partial(batches):
+        total = dict.fromkeys(tables, 0.0)
+        count = 0
+        for batch in batches:
+            rows = _matrix(batch)
+            at = np.arange(len(rows))
+            norms = (rows * rows).sum(axis=1)[:, None]
+            count += len(rows)
+            for k, (points, size, norm, mean) in tables.items():
+                own = np.argmin((points * points).sum(axis=1) / 2.0 - rows @ points.T, axis=1)
+                far = np.maximum(norms - 2.0 * rows @ mean.T + norm, 0.0)
+                inner = far[at, own] * size[own] / np.maximum(size[own] - 1.0, 1.0)
+                far[at, own] = np.inf
+                outer = far.min(axis=1)
+                top = np.maximum(inner, outer)
+                score = np.where((size[own] > 1) & (top > 0), (outer - inner) / np.where(top > 0, top, 1.0), 0.0)
+                total[k] += float(score.sum())
+        keys = list(total)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(keys, pa.int32()), pa.array([total[k] for k in keys]), pa.array([count] * len(keys), pa.int64())],
+            ["k", "s", "n"],
+        )
+
+    sums = (
+        df.select(*[quoted(c) for c in cols])
+        .mapInArrow(partial, "k int, s double, n bigint")
+        .groupBy("k")
+        .agg((F.sum("s") / F.sum("n")).alias("score"))
     )
+    return {r["k"]: r["score"] for r in sums.collect()}
 
 
 def ward_costs(clusters: DataFrame) -> DataFrame:

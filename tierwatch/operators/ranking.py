@@ -233,7 +233,8 @@ def _importance_table(df: DataFrame, cols: Sequence[str], values: Sequence[float
 
 def _vectors(df: DataFrame, label: str, cols: Sequence[str]) -> DataFrame:
     assembler = VectorAssembler(inputCols=list(cols), outputCol="features")
-    return assembler.transform(df.select(label, *[quoted(c) for c in cols])).select(label, "features")
+    labelled = df.select(F.col(quoted(label)).alias("y"), *[quoted(c) for c in cols])
+    return assembler.transform(labelled).select("y", "features")
 
 
 def gbt_importance(
@@ -256,7 +257,7 @@ def gbt_importance(
         sums = [0.0] * len(cols)
         targets = labels if len(labels) > 2 else labels[:1]
         for y in targets:
-            one_vs_rest = data.withColumn("target", (F.col(label) == y).cast("double"))
+            one_vs_rest = data.withColumn("target", (F.col("y") == y).cast("double"))
             model = GBTClassifier(
                 labelCol="target", maxIter=max_iter, maxDepth=max_depth, stepSize=0.1, seed=seed
             ).fit(one_vs_rest)
@@ -278,7 +279,7 @@ def rf_importance(
     """Random-forest importance: all clusters in one fit, so far fewer passes than boosting."""
     labels = distinct_values(df, label)
     index = F.create_map(*[F.lit(x) for i, y in enumerate(labels) for x in (y, float(i))])
-    data = _vectors(df, label, cols).withColumn("target", F.element_at(index, F.col(label)))
+    data = _vectors(df, label, cols).withColumn("target", F.element_at(index, F.col("y")))
     model = RandomForestClassifier(labelCol="target", numTrees=trees, maxDepth=depth, seed=seed).fit(data)
     return _importance_table(df, cols, model.featureImportances.toArray(), floor)
 

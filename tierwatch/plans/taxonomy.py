@@ -69,12 +69,19 @@ class Level:
 
 
 def fit_level(
-    df: DataFrame, number: int, variables: Sequence[str], max_k: int = 15, patience: int = 3, seed: int = 42
+    df: DataFrame,
+    number: int,
+    variables: Sequence[str],
+    key: str | None = None,
+    max_k: int = 15,
+    patience: int = 3,
+    seed: int = 42,
 ) -> Level:
     cols = sorted(variables)
     scaler = Scaler.fit(df, cols)
-    scaled = df.select(*[scaler.z(c).alias(c) for c in cols])
-    centers = best_k(scaled, cols, max_k, patience, seed).centers
+    kept = [quoted(key)] if key else []
+    scaled = df.select(*kept, *[scaler.z(c).alias(c) for c in cols])
+    centers = best_k(scaled, cols, max_k, patience, seed, key).centers
     return _with_cluster_scalers(df, Level(number, scaler, centers))
 
 
@@ -89,13 +96,18 @@ def _with_cluster_scalers(df: DataFrame, level: Level) -> Level:
 
 
 def fit_levels(
-    df: DataFrame, levels: DataFrame, max_k: int = 15, patience: int = 3, seed: int = 42
+    df: DataFrame,
+    levels: DataFrame,
+    key: str | None = None,
+    max_k: int = 15,
+    patience: int = 3,
+    seed: int = 42,
 ) -> list[Level]:
     """One model per level of a `(variable, cluster, Nivel)` table."""
     members: dict[int, list[str]] = {}
     for r in levels.collect():
         members.setdefault(int(r["Nivel"]), []).append(r["variable"])
-    return [fit_level(df, n, members[n], max_k, patience, seed) for n in sorted(members)]
+    return [fit_level(df, n, members[n], key, max_k, patience, seed) for n in sorted(members)]
 
 
 @dataclass(frozen=True)
@@ -125,7 +137,7 @@ class Taxonomy:
         `ranker` is "gbt", "rf" (fewer passes over the data) or "su".
         """
         names = list(cols) if cols is not None else numeric(df, exclude=[key, ts or key])
-        data = stage(df.select(*[F.col(quoted(c)).cast("double").alias(c) for c in names]), "features")
+        data = stage(df.select(key, *[F.col(quoted(c)).cast("double").alias(c) for c in names]), "features")
         scaler = Scaler.fit(data, names)
         scaled = data.select(*[scaler.z(c).alias(c) for c in names])
         centers, _ = kmeans_fit(scaled, names, clusters, seed)
@@ -143,7 +155,7 @@ class Taxonomy:
             by_group.setdefault(r["cluster"], []).append(r["variable"])
         levels = variable_levels(pca_variance(data, by_group), grouped)
         membership = {r["variable"]: r["cluster"] for r in grouped.collect()}
-        return cls(tuple(fit_levels(data, levels, max_k, patience, seed)), membership)
+        return cls(tuple(fit_levels(data, levels, key, max_k, patience, seed)), membership)
 
     @classmethod
     def given(cls, df: DataFrame, levels: Sequence[tuple[int, Sequence[str], Centers]]) -> Taxonomy:

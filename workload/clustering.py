@@ -167,8 +167,8 @@ def kmeans_cosine(spark, sf_dir):
 
 @query()
 def best_k_sweep(spark, sf_dir):
-    scaled = stage(scaled_profile(spark, sf_dir).select(*LLOYD_VARS), "sweep")
-    return op.best_k(scaled, LLOYD_VARS, max_k=6).trace
+    scaled = stage(scaled_profile(spark, sf_dir).select("rec_id", *LLOYD_VARS), "sweep")
+    return op.best_k(scaled, LLOYD_VARS, key="rec_id").trace
 
 
 _LONG_WEIGHTS = (
@@ -220,7 +220,7 @@ def _variance_cte():
     rows = []
     for g, names in GROUPS.items():
         if len(names) == 1:
-            rows.append(f"SELECT {g} AS cluster, 1 AS pc, 1.0::DOUBLE AS share, SQRT(COUNT(*)) AS sv FROM clean")
+            rows.append(f"SELECT {g}, 1, 1.0::DOUBLE, SQRT(COUNT(*)) FROM clean")
         else:
             r = f"ABS(CORR({names[0]}, {names[1]}))"
             rows += [
@@ -228,7 +228,7 @@ def _variance_cte():
                 f"SELECT {g}, 2, (1 - {r}) / 2, SQRT(COUNT(*) * (1 - {r})) FROM clean",
             ]
     return (
-        f",\nshares AS ({' UNION ALL '.join(rows)}),\n"
+        f",\nshares (cluster, pc, share, sv) AS ({' UNION ALL '.join(rows)}),\n"
         "cum AS (SELECT *, SUM(share) OVER (PARTITION BY cluster ORDER BY pc ROWS UNBOUNDED PRECEDING) AS run FROM shares),\n"
         "var_table AS (SELECT cluster, pc, run, sv FROM cum WHERE run - share <= 0.99999999)"
     )
@@ -277,13 +277,13 @@ def assembled_vectors(spark, sf_dir):
 
 @query()
 def level_models(spark, sf_dir):
-    clean = stage(clean_profile(spark, sf_dir), "clean")
+    clean = clean_profile(spark, sf_dir)
     members = spark.createDataFrame([("v_qty", 0, 0), ("v_price", 0, 0), ("v_disc", 1, 1)], "variable string, cluster int, Nivel int")
-    levels = fit_levels(clean, members, max_k=5)
+    levels = fit_levels(clean, members, "rec_id")
     return Taxonomy(tuple(levels), {}).tables(spark)["centers"]
 
 
 @query()
 def learned_taxonomy(spark, sf_dir):
-    taxonomy = Taxonomy.fit(clean_profile(spark, sf_dir), "rec_id", VARS, max_k=5, ranker="rf")
+    taxonomy = Taxonomy.fit(clean_profile(spark, sf_dir), "rec_id", VARS, ranker="rf")
     return taxonomy.levels_table(spark)

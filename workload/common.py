@@ -39,18 +39,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def order_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order: key, time, two labels and eleven variables, null where an order has no lines."""
-    money = "decimal(18,2)"
+
+    def cents(name):
+        # Sums of whole cents are exact in any order and stay in one machine word.
+        return F.sum(F.rint(F.col(name) * 100).cast("bigint"))
+
     lines = (
         table(spark, sf_dir, "lineitem")
         .groupBy("l_orderkey")
         .agg(
             F.count(F.lit(1)).alias("n_lines"),
-            F.sum(F.col("l_quantity").cast(money)).alias("qty"),
+            cents("l_quantity").alias("qty"),
             F.max("l_quantity").alias("qty_max"),
-            F.sum(F.col("l_extendedprice").cast(money)).alias("price"),
+            cents("l_extendedprice").alias("price"),
             F.max("l_extendedprice").alias("price_max"),
-            F.sum(F.col("l_discount").cast(money)).alias("disc"),
-            F.sum(F.col("l_tax").cast(money)).alias("tax"),
+            cents("l_discount").alias("disc"),
+            cents("l_tax").alias("tax"),
             F.countDistinct("l_suppkey").alias("n_supp"),
             F.count_if(F.col("l_returnflag") == "R").alias("n_ret"),
             F.max(F.dayofyear("l_shipdate")).alias("doy"),
@@ -65,12 +69,12 @@ def order_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderstatus").alias("st"),
         F.col("o_totalprice").alias("v_total"),
         F.col("n_lines").cast(d).alias("v_lines"),
-        F.col("qty").cast(d).alias("v_qty"),
+        (F.col("qty") / 100).alias("v_qty"),
         F.col("qty_max").alias("v_qty_max"),
-        F.col("price").cast(d).alias("v_price"),
+        (F.col("price") / 100).alias("v_price"),
         F.col("price_max").alias("v_price_max"),
-        (F.col("disc").cast(d) / F.col("n_lines")).alias("v_disc"),
-        (F.col("tax").cast(d) / F.col("n_lines")).alias("v_tax"),
+        (F.col("disc") / 100 / F.col("n_lines")).alias("v_disc"),
+        (F.col("tax") / 100 / F.col("n_lines")).alias("v_tax"),
         F.col("n_supp").cast(d).alias("v_supp"),
         F.when(F.col("n_lines").isNotNull(), F.col("n_ret")).cast(d).alias("v_ret"),
         F.col("doy").cast(d).alias("v_doy"),
@@ -124,14 +128,14 @@ CLEAN = (
     PROFILE
     + f""",
 top AS (SELECT {each('MAX({v}) AS m_{v}')} FROM profile),
-clean AS (SELECT rec_id, ts, pri, st, {each('COALESCE({v}, -m_{v}, 0.0) AS {v}')} FROM profile, top)"""
+clean AS MATERIALIZED (SELECT rec_id, ts, pri, st, {each('COALESCE({v}, -m_{v}, 0.0) AS {v}')} FROM profile, top)"""
 )
 
 SCALED = (
     CLEAN
     + f""",
 moments AS (SELECT {each('AVG({v}) AS a_{v}')}, {each('STDDEV_POP({v}) AS s_{v}')} FROM clean),
-scaled AS (SELECT rec_id, ts, pri, st,
+scaled AS MATERIALIZED (SELECT rec_id, ts, pri, st,
   {each('({v} - a_{v}) / (CASE WHEN s_{v} = 0 THEN 1 ELSE s_{v} END) AS {v}')} FROM clean, moments)"""
 )
 

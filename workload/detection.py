@@ -196,7 +196,7 @@ FROM o0 JOIN o1 ON o0.rec_id = o1.rec_id LEFT JOIN f0 ON f0.rec_id = o0.rec_id L
 
 
 def _detected(spark, sf_dir):
-    clean = stage(clean_profile(spark, sf_dir), "clean")
+    clean = clean_profile(spark, sf_dir)
     return detect(clean, "rec_id", taxonomy=given_taxonomy(clean), ts="ts")
 
 
@@ -228,9 +228,9 @@ def detect_time_points(spark, sf_dir):
 
 @query()
 def detect_refitted(spark, sf_dir):
-    clean = stage(clean_profile(spark, sf_dir), "clean")
+    clean = clean_profile(spark, sf_dir)
     levels = spark.createDataFrame([("v_qty", 0, 0), ("v_price", 0, 0), ("v_disc", 1, 1)], "variable string, cluster int, Nivel int")
-    return detect(clean, "rec_id", levels=levels, ts="ts", max_k=4).rows
+    return detect(clean, "rec_id", levels=levels, ts="ts").rows
 
 
 @query(
@@ -246,7 +246,7 @@ FROM mark m JOIN flagged f ON f.rec_id = m.rec_id WHERE outliers = 'Outlier'""",
 )
 def abnormal_orders(spark, sf_dir):
     """Which orders are abnormal for their priority group, and because of which fields."""
-    clean = stage(clean_profile(spark, sf_dir), "clean")
+    clean = clean_profile(spark, sf_dir)
     scaled, _ = zscore(clean, VARS)
     scaled = scaled.withColumn("prediction", F.substring("pri", 1, 1).cast("int") - 1)
     distances = centroid_distance(scaled, "prediction", group_means(scaled, VARS, "prediction"))

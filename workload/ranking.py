@@ -61,11 +61,11 @@ def pairwise_uncertainty(spark, sf_dir):
 
 
 # The filter walks down the uncertainties; with four variables the walk can be written out.
-FCBF_VARS = ("v_lines", "v_supp", "v_qty_max", "v_ret")
+FCBF_VARS = ("v_supp", "v_ret", "v_qty_max", "v_doy")
 _FCBF = (
     CLEAN
     + f""",
-s AS ({su_sql('st', FCBF_VARS, 'clean')}),
+s AS ({su_sql('v_lines', FCBF_VARS, 'clean')}),
 p AS (SELECT variable AS a, other AS b, su FROM ({" UNION ALL ".join(_pair_sql(a, b, "clean") for a in FCBF_VARS for b in FCBF_VARS if a != b)})),
 o AS (SELECT variable, su, ROW_NUMBER() OVER (ORDER BY su DESC, variable) AS pos FROM s WHERE su > 0),
 k1 AS (SELECT variable FROM o WHERE pos = 1),
@@ -86,8 +86,8 @@ k4 AS (SELECT * FROM k3 UNION ALL SELECT variable FROM o WHERE pos = 4 AND NOT E
     )
 )
 def fcbf_selection(spark, sf_dir):
-    clean = stage(clean_profile(spark, sf_dir).select("st", *FCBF_VARS), "fcbf")
-    return rounded(op.fcbf(clean, "st", FCBF_VARS), "su", "importance_norm")
+    clean = stage(clean_profile(spark, sf_dir).select("v_lines", *FCBF_VARS), "fcbf")
+    return rounded(op.fcbf(clean, "v_lines", FCBF_VARS), "su", "importance_norm")
 
 
 @query(
@@ -115,7 +115,7 @@ def weights_cte(labels, label, names, source):
         parts.append(f"u{i} AS ({su_sql(flag, names, source)})")
     cols = ", ".join(f"u{i}.su / (SELECT MAX(su) FROM u{i}) AS \"peso_{y}\"" for i, y in enumerate(labels))
     joins = " ".join(f"JOIN u{i} ON u{i}.variable = u0.variable" for i in range(1, len(labels)))
-    return ",\n".join(parts) + f",\nw AS (SELECT u0.variable AS variable, {cols} FROM u0 {joins})"
+    return ",\n".join(parts) + f",\nw AS MATERIALIZED (SELECT u0.variable AS variable, {cols} FROM u0 {joins})"
 
 
 _PESOS = [f"peso_{p}" for p in PRIORITIES]
