@@ -56,39 +56,56 @@ def _sigma_by(df: DataFrame, col: str, n: float, by: str, out: str) -> DataFrame
     return joined.withColumn(out, _label(F.col(quoted(col)), F.col("__m"), F.col("__s"), n)).drop("__m", "__s")
 
 
-def field_flags(df: DataFrame, cols: Sequence[str], label: str, n: float = 3.0, min_cluster_size: int = 1):
-    """Join per-cluster field statistics and return `(joined, {variable: flag column})`."""
-    stats = df.groupBy(label).agg(
-        F.count(F.lit(1)).alias("__n"),
-        *[
-            F.struct(F.avg(quoted(c)).alias("m"), F.stddev_samp(quoted(c)).alias("s")).alias(f"__f{i}")
-            for i, c in enumerate(cols)
-        ],
+def _banded(df: DataFrame, cols: Sequence[str], label: str, n: float, min_cluster_size: int):
+    """Rows joined with the band of each field in their cluster.
+
+    Returns the joined table, whether any field of a row is outside its band, and the array
+    of `(variable, value)` that are. The array is only built for rows with such a field, and
+    the test itself is kept short so that it runs as compiled code.
+    """
+    size, key = F.count(F.lit(1)), "__label"
+    moments = df.groupBy(F.col(quoted(label)).alias(key)).agg(
+        (size >= min_cluster_size).alias("__big"),
+        *[F.avg(quoted(c)).alias(f"a{i}") for i, c in enumerate(cols)],
+        *[F.stddev_samp(quoted(c)).alias(f"s{i}") for i, c in enumerate(cols)],
     )
-    joined = join_small(df, stats, label)
-    big_enough = F.col("__n") >= min_cluster_size
-    flags = {}
-    for i, c in enumerate(cols):
-        std = F.when(F.col(f"__f{i}.s") == 0, CONSTANT_FIELD_STD).otherwise(F.col(f"__f{i}.s"))
-        inside = F.coalesce(F.abs(F.col(quoted(c)) - F.col(f"__f{i}.m")) < n * std, F.lit(False))
-        flags[c] = ~inside & big_enough
-    return joined, flags
+
+    def width(s: str) -> Column:
+        return F.coalesce(n * F.when(F.col(s) == 0, CONSTANT_FIELD_STD).otherwise(F.col(s)), F.lit(0.0))
+
+    bands = moments.select(
+        key,
+        "__big",
+        *[F.coalesce(f"a{i}", F.lit(0.0)).alias(f"__m{i}") for i in range(len(cols))],
+        *[width(f"s{i}").alias(f"__w{i}") for i in range(len(cols))],
+    )
+    joined = join_small(df, bands, F.col(quoted(label)).eqNullSafe(F.col(key)), "inner")
+    # A missing value becomes NaN, which is not below any width.
+    xs = [F.coalesce(F.col(quoted(c)).cast("double"), F.lit(float("nan"))) for c in cols]
+    outside = F.lit(False)
+    for i, x in enumerate(xs):
+        outside = outside | ~(F.abs(x - F.col(f"__m{i}")) < F.col(f"__w{i}"))
+    cells = F.arrays_zip(
+        F.array(*[F.lit(c) for c in cols]).alias("variable"),
+        F.array(*[F.col(quoted(c)).cast("double") for c in cols]).alias("value"),
+        F.array(*[F.col(f"__m{i}") for i in range(len(cols))]).alias("m"),
+        F.array(*[F.col(f"__w{i}") for i in range(len(cols))]).alias("w"),
+    )
+    found = F.filter(
+        cells, lambda f: ~(F.abs(F.coalesce(f["value"], F.lit(float("nan"))) - f["m"]) < f["w"])
+    )
+    return joined, F.col("__big") & outside, found
 
 
 def anomaly_fields(
     df: DataFrame, cols: Sequence[str], label: str, key: str, n: float = 3.0, min_cluster_size: int = 1
 ) -> DataFrame:
     """`(key, cluster, variable, value)` for every value outside its cluster's band."""
-    joined, flags = field_flags(df, sorted(cols), label, n, min_cluster_size)
-    anything = F.lit(False)
-    for f in flags.values():
-        anything = anything | f
-    cells = [
-        F.when(f, F.struct(F.lit(c).alias("variable"), F.col(quoted(c)).cast("double").alias("value")))
-        for c, f in flags.items()
-    ]
-    return joined.filter(anything).select(
-        key, F.col(label).alias("cluster"), F.inline(F.array_compact(F.array(*cells)))
+    joined, outside, found = _banded(df, sorted(cols), label, n, min_cluster_size)
+    return (
+        joined.filter(outside)
+        .select(key, F.col(label).alias("cluster"), F.explode(found).alias("f"))
+        .select(key, "cluster", "f.variable", "f.value")
     )
 
 
@@ -101,9 +118,10 @@ def anomaly_fields_text(
     out: str = "AnomalyFields",
 ) -> DataFrame:
     """Add a column listing `variable:value` for the flagged fields, by variable name."""
-    joined, flags = field_flags(df, sorted(cols), label, n, min_cluster_size)
-    parts = [F.when(f, F.concat(F.lit(f"{c}:"), F.col(quoted(c)).cast("string"))) for c, f in flags.items()]
-    return joined.withColumn(out, F.concat_ws(";", *parts)).select(*df.columns, out)
+    joined, outside, found = _banded(df, sorted(cols), label, n, min_cluster_size)
+    texts = F.transform(found, lambda f: F.concat(f["variable"], F.lit(":"), f["value"].cast("string")))
+    listed = F.when(outside, F.array_join(texts, ";", "null")).otherwise(F.lit(""))
+    return joined.withColumn(out, listed).select(*[quoted(c) for c in df.columns], out)
 
 
 def level_columns(columns: Sequence[str]) -> list[str]:

@@ -62,10 +62,13 @@ def fill_mean(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return _fill(df, stats)
 
 
-def fill_extreme(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Missing values become minus the column maximum, so that they stand apart from real ones."""
+def fill_extreme(df: DataFrame, cols: Sequence[str], otherwise: float | None = None) -> DataFrame:
+    """Missing values become minus the column maximum, so that they stand apart from real ones.
+
+    A column without any value has no maximum; it gets `otherwise`, or stays as it is.
+    """
     stats = df.agg(*[F.max(_known(df, c)).alias(c) for c in cols]).first().asDict()
-    return _fill(df, {c: None if v is None else -v for c, v in stats.items()})
+    return _fill(df, {c: otherwise if v is None else -v for c, v in stats.items()})
 
 
 def fill_const(df: DataFrame, value: float = 0.0, cols: Sequence[str] | None = None) -> DataFrame:

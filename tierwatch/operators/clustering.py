@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Mapping, Sequence
-from contextlib import contextmanager
+from collections.abc import Hashable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,21 +22,19 @@ from tierwatch.operators.cleaning import distinct_values
 
 @dataclass(frozen=True)
 class Centers:
-    """Cluster centers, k by number of variables. Ids follow the order of the coordinates,
-    so the same centers always get the same ids."""
+    """Cluster centers, k by number of variables. The id of a center is its position."""
 
     cols: tuple[str, ...]
     points: tuple[tuple[float, ...], ...]
 
-    @classmethod
-    def of(cls, cols: Sequence[str], points: Sequence[Sequence[float]]) -> Centers:
-        return cls(tuple(cols), tuple(sorted(tuple(float(v) for v in p) for p in points)))
-
     @classmethod
     def given(cls, cols: Sequence[str], points: Sequence[Sequence[float]]) -> Centers:
-        """Centers whose ids are their positions, as supplied."""
         return cls(tuple(cols), tuple(tuple(float(v) for v in p) for p in points))
 
+    def canonical(self) -> Centers:
+        """Number the centers by their coordinates, so that equal centers get equal ids."""
+        return Centers(self.cols, tuple(sorted(self.points)))
+
     @classmethod
     def from_rows(cls, rows) -> Centers:
         by_cluster: dict[int, dict[str, float]] = {}
@@ -83,61 +80,41 @@ def assemble(df: DataFrame, exclude: Sequence[str] = (), out: str = "features")
     return VectorAssembler(inputCols=cols, outputCol=out).transform(df)
 
 
-@contextmanager
-def vectors(df: DataFrame, cols: Sequence[str]) -> Iterator[DataFrame]:
-    """The feature vectors, kept for the passes of an iterative fit."""
-    data = VectorAssembler(inputCols=list(cols), outputCol="features").transform(df).select("features")
-    data.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        yield data
-    finally:
-        data.unpersist()
-
-
 def kmeans_fit(
     df: DataFrame,
     cols: Sequence[str],
     k: int | None = None,
     seed: int = 42,
+    key: str | None = None,
     init_centers: Centers | None = None,
     max_iter: int = 20,
     distance: str = "euclidean",
 ) -> tuple[Centers, DataFrame]:
     """Fit k-means and label the rows with `prediction`.
 
-    With `init_centers` the iterations start there, which makes the result independent
-    of seeds and partitioning.
+    With `init_centers` the iterations start there. Otherwise the start is drawn by seed,
+    and with a record key it does not depend on the partitioning. `distance="cosine"` groups
+    by direction; its rows are labelled by the model itself.
     """
+    if distance != "euclidean":
+        return _directional(df, cols, k, seed, max_iter, distance)
     if init_centers is not None:
-        centers = lloyd(df, init_centers, max_iter)
+        centers = lloyd_sweep(df, {0: init_centers}, max_iter)[0]
     else:
-        with vectors(df, cols) as data:
-            model = KMeans(k=k, seed=seed, distanceMeasure=distance, maxIter=max_iter).fit(data)
-            centers = Centers.of(cols, [c.tolist() for c in model.clusterCenters()])
+        start = Centers.given(cols, spread_points(seed_rows(df, cols, seed, key), k, seed))
+        centers = lloyd_sweep(df, {0: start}, max_iter)[0].canonical()
     return centers, assign_nearest(df, centers)
 
 
-def lloyd(df: DataFrame, start: Centers, max_iter: int = 20, tol: float = 1e-4) -> Centers:
-    """Move given centers to the means of their rows; each step is one aggregation of k rows.
-
-    A center that attracts no row stays where it is.
-    """
-    centers = start
-    for _ in range(max_iter):
-        means = (
-            assign_nearest(df, centers, "__c")
-            .groupBy("__c")
-            .agg(*[F.avg(quoted(c)).alias(f"a{i}") for i, c in enumerate(centers.cols)])
-            .collect()
-        )
-        moved = list(centers.points)
-        for r in means:
-            moved[r["__c"]] = tuple(r[f"a{i}"] for i in range(len(centers.cols)))
-        shift = max(math.dist(a, b) for a, b in zip(moved, centers.points, strict=True))
-        centers = Centers.given(centers.cols, moved)
-        if shift <= tol:
-            break
-    return centers
+def _directional(df, cols, k, seed, max_iter, distance) -> tuple[Centers, DataFrame]:
+    data = VectorAssembler(inputCols=list(cols), outputCol="features").transform(df)
+    data.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model = KMeans(k=k, seed=seed, distanceMeasure=distance, maxIter=max_iter).fit(data)
+    finally:
+        data.unpersist()
+    centers = Centers.given(cols, [c.tolist() for c in model.clusterCenters()])
+    return centers, model.transform(data).drop("features")
 
 
 def silhouette(
@@ -209,26 +186,52 @@ def best_k(
 ) -> BestK:
     """Try k = 2 .. max_k - 1 and keep the highest squared-distance silhouette.
 
-    All k are fitted side by side, so a pass over the rows serves every one of them: about
-    `max_iter` passes in all, rather than as many for each k. The stopping rule is then
-    applied to the scores in order. With a record key the result does not depend on the
-    partitioning. `exhausted` tells that the data had no further clusters. If no score is
-    positive, k = 2 is used.
+    `exhausted` tells that the data had no further clusters. If no score is positive,
+    k = 2 is used.
+    """
+    return best_ks(df, {0: cols}, max_k, patience, seed, key, max_iter)[0]
+
+
+def best_ks(
+    df: DataFrame,
+    groups: Mapping[int, Sequence[str]],
+    max_k: int = 15,
+    patience: int = 3,
+    seed: int = 42,
+    key: str | None = None,
+    max_iter: int = 20,
+) -> dict[int, BestK]:
+    """`best_k` for several groups of columns at once.
+
+    Every k of every group is fitted side by side, so that a pass over the rows serves all
+    of them: about `max_iter` passes in total. The stopping rule is then applied to the
+    scores in order. With a record key the result does not depend on the partitioning.
     """
+    cols = list(dict.fromkeys(c for g in groups.values() for c in g))
     sample = seed_rows(df, cols, seed, key)
-    starts = {k: spread_points(sample, k, seed) for k in range(2, max_k)}
-    found = {k: p for k, p in starts.items() if len(p) == k}
-    if not found:
-        points = spread_points(sample, 1, seed)
-        return BestK(1, 0.0, Centers.of(cols, points), KSweep(patience).table(df.sparkSession), True)
-    fitted = lloyd_sweep(df, cols, found, max_iter)
-    scores = silhouette_sweep(df, cols, fitted)
-    sweep = KSweep.replay(sorted(scores.items()), patience)
-    exhausted = len(found) < len(starts) and not sweep.stopped
-    winner = sweep.k or min(fitted)
-    return BestK(
-        winner, sweep.score, Centers.of(cols, fitted[winner]), sweep.table(df.sparkSession), exhausted
-    )
+    starts: dict[tuple[int, int], Centers] = {}
+    for g, members in groups.items():
+        rows = sample[:, [cols.index(c) for c in members]]
+        for k in range(1, max(2, max_k)):
+            points = spread_points(rows, k, seed)
+            if len(points) < k:
+                break
+            starts[g, k] = Centers.given(members, points)
+    fitted = lloyd_sweep(df, starts, max_iter)
+    scores = silhouette_sweep(df, {i: c for i, c in fitted.items() if i[1] > 1})
+    chosen = {}
+    for g in groups:
+        sweep = KSweep.replay([(k, s) for (own, k), s in scores.items() if own == g], patience)
+        tried = max(k for own, k in starts if own == g)
+        winner = sweep.k or min(2, tried)
+        chosen[g] = BestK(
+            winner,
+            sweep.score,
+            fitted[g, winner].canonical(),
+            sweep.table(df.sparkSession),
+            tried < max_k - 1 and not sweep.stopped,
+        )
+    return chosen
 
 
 # Rows looked at to place the first centers; the fit itself uses all rows.
@@ -262,117 +265,128 @@ def spread_points(rows: np.ndarray, k: int, seed: int) -> list[list[float]]:
     return [p.tolist() for p in chosen]
 
 
+def _layout(models: Mapping[Hashable, Centers]) -> tuple[list[str], list[tuple[list[int], np.ndarray]]]:
+    """The columns to read, and each model's column positions and center matrix."""
+    cols = list(dict.fromkeys(c for m in models.values() for c in m.cols))
+    return cols, [([cols.index(c) for c in m.cols], np.asarray(m.points)) for m in models.values()]
+
+
 def _matrix(batch: pa.RecordBatch) -> np.ndarray:
     return np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
 
 
-def cluster_sums(df: DataFrame, cols: Sequence[str], models: Mapping[int, Sequence[Sequence[float]]]) -> list:
-    """Rows, coordinate sums and squared norms per `(k, cluster)` for several sets of centers.
+def _closest(rows: np.ndarray, points: np.ndarray) -> np.ndarray:
+    return np.argmin((points * points).sum(axis=1) / 2.0 - rows @ points.T, axis=1)
+
+
+def cluster_sums(df: DataFrame, models: Mapping[Hashable, Centers]) -> dict:
+    """`{(model, cluster): (rows, sum of squared norms, sums per column)}` for several models.
 
     One pass: a task sends on one row per center, and these are added up.
     """
-    arrays = {k: np.asarray(p, dtype="float64") for k, p in models.items()}
-    names = ["k", "c", "n", "q", *[f"s{i}" for i in range(len(cols))]]
-    schema = "k int, c int, n bigint, q double, " + ", ".join(f"s{i} double" for i in range(len(cols)))
+    ids = list(models)
+    cols, layout = _layout(models)
+    width = max(len(m.cols) for m in models.values())
+    names = ["m", "c", "n", "q", *[f"s{i}" for i in range(width)]]
+    schema = "m int, c int, n double, q double, " + ", ".join(f"s{i} double" for i in range(width))
 
     def partial(batches):
-        totals = {k: np.zeros((len(p), len(cols) + 2)) for k, p in arrays.items()}
+        totals = [np.zeros((len(points), width + 2)) for _, points in layout]
         for batch in batches:
-            rows = _matrix(batch)
-            wide = np.column_stack([np.ones(len(rows)), (rows * rows).sum(axis=1), rows])
-            for k, p in arrays.items():
-                own = np.argmin((p * p).sum(axis=1) / 2.0 - rows @ p.T, axis=1)
-                for j in range(wide.shape[1]):
-                    totals[k][:, j] += np.bincount(own, weights=wide[:, j], minlength=len(p))
-        for k, t in totals.items():
-            size = len(t)
-            fields = [pa.array([k] * size, pa.int32()), pa.array(range(size), pa.int32())]
-            fields += [pa.array(t[:, 0].astype("int64")), *[pa.array(t[:, j]) for j in range(1, t.shape[1])]]
-            yield pa.RecordBatch.from_arrays(fields, names)
+            everything = _matrix(batch)
+            for (at, points), total in zip(layout, totals, strict=True):
+                rows = everything[:, at]
+                own = _closest(rows, points)
+                total[:, 0] += np.bincount(own, minlength=len(points))
+                total[:, 1] += np.bincount(own, (rows * rows).sum(axis=1), len(points))
+                for j in range(len(at)):
+                    total[:, j + 2] += np.bincount(own, rows[:, j], len(points))
+        for m, total in enumerate(totals):
+            numbers = [pa.array([m] * len(total), pa.int32()), pa.array(range(len(total)), pa.int32())]
+            yield pa.RecordBatch.from_arrays(numbers + [pa.array(v) for v in total.T.copy()], names)
 
-    return (
+    sums = (
         df.select(*[quoted(c) for c in cols])
         .mapInArrow(partial, schema)
-        .groupBy("k", "c")
+        .groupBy("m", "c")
         .agg(*[F.sum(n).alias(n) for n in names[2:]])
         .filter(F.col("n") > 0)
-        .collect()
     )
+    return {
+        (ids[r["m"]], r["c"]): (r["n"], r["q"], [r[f"s{i}"] for i in range(len(models[ids[r["m"]]].cols))])
+        for r in sums.collect()
+    }
 
 
 def lloyd_sweep(
-    df: DataFrame,
-    cols: Sequence[str],
-    starts: Mapping[int, Sequence[Sequence[float]]],
-    max_iter: int = 20,
-    tol: float = 1e-4,
-) -> dict[int, list[list[float]]]:
-    """Move several sets of centers at once; a set that no longer moves is left out of later passes."""
-    fitted = {k: [list(p) for p in points] for k, points in starts.items()}
-    moving = set(fitted)
+    df: DataFrame, starts: Mapping[Hashable, Centers], max_iter: int = 20, tol: float = 1e-4
+) -> dict[Hashable, Centers]:
+    """Move several sets of centers to the means of their rows, all in the same passes.
+
+    A center that attracts no row stays; a set that no longer moves is left out of later passes.
+    """
+    fitted = dict(starts)
+    moving = dict(starts)
     for _ in range(max_iter):
         if not moving:
             break
-        before = {k: [list(p) for p in fitted[k]] for k in moving}
-        for r in cluster_sums(df, cols, before):
-            fitted[r["k"]][r["c"]] = [r[f"s{i}"] / r["n"] for i in range(len(cols))]
-        moving = {
-            k for k in moving if max(math.dist(a, b) for a, b in zip(before[k], fitted[k], strict=True)) > tol
-        }
+        points = {i: list(m.points) for i, m in moving.items()}
+        for (i, c), (n, _, sums) in cluster_sums(df, moving).items():
+            points[i][c] = tuple(s / n for s in sums)
+        for i, before in list(moving.items()):
+            fitted[i] = Centers.given(before.cols, points[i])
+            if max(math.dist(a, b) for a, b in zip(before.points, fitted[i].points, strict=True)) <= tol:
+                del moving[i]
+            else:
+                moving[i] = fitted[i]
     return fitted
 
 
-def silhouette_sweep(
-    df: DataFrame, cols: Sequence[str], models: Mapping[int, Sequence[Sequence[float]]]
-) -> dict[int, float]:
-    """Mean squared-distance silhouette for several sets of centers: two passes in all."""
-    stats: dict[int, dict[int, tuple]] = {k: {} for k in models}
-    for r in cluster_sums(df, cols, models):
-        mean = [r[f"s{i}"] / r["n"] for i in range(len(cols))]
-        stats[r["k"]][r["c"]] = (r["n"], r["q"] / r["n"], mean)
-    tables = {}
-    for k, points in models.items():
-        used = sorted(stats[k])
-        if len(used) < 2:
-            continue
-        size, norm, mean = zip(*[stats[k][c] for c in used], strict=True)
-        tables[k] = (
-            np.asarray([points[c] for c in used]),
-            np.asarray(size, dtype="float64"),
-            np.asarray(norm),
-            np.asarray(mean),
-        )
+def silhouette_sweep(df: DataFrame, models: Mapping[Hashable, Centers]) -> dict[Hashable, float]:
+    """Mean squared-distance silhouette of several models: two passes in all."""
+    if not models:
+        return {}
+    stats: dict[Hashable, dict[int, tuple]] = {i: {} for i in models}
+    for (i, c), (n, q, sums) in cluster_sums(df, models).items():
+        stats[i][c] = (n, q / n, [s / n for s in sums])
+    scored = {
+        i: Centers.given(m.cols, [m.points[c] for c in sorted(stats[i])])
+        for i, m in models.items()
+        if len(stats[i]) > 1
+    }
+    ids = list(scored)
+    cols, layout = _layout(scored)
+    tables = [[np.asarray(v) for v in zip(*[stats[i][c] for c in sorted(stats[i])], strict=True)] for i in ids]
 
     def partial(batches):
-        total = dict.fromkeys(tables, 0.0)
+        total = np.zeros(len(ids))
         count = 0
         for batch in batches:
-            rows = _matrix(batch)
-            at = np.arange(len(rows))
-            norms = (rows * rows).sum(axis=1)[:, None]
-            count += len(rows)
-            for k, (points, size, norm, mean) in tables.items():
-                own = np.argmin((points * points).sum(axis=1) / 2.0 - rows @ points.T, axis=1)
-                far = np.maximum(norms - 2.0 * rows @ mean.T + norm, 0.0)
-                inner = far[at, own] * size[own] / np.maximum(size[own] - 1.0, 1.0)
-                far[at, own] = np.inf
+            everything = _matrix(batch)
+            nth = np.arange(len(everything))
+            count += len(everything)
+            for m, ((at, points), (size, norm, mean)) in enumerate(zip(layout, tables, strict=True)):
+                rows = everything[:, at]
+                own = _closest(rows, points)
+                far = np.maximum((rows * rows).sum(axis=1)[:, None] - 2.0 * rows @ mean.T + norm, 0.0)
+                inner = far[nth, own] * size[own] / np.maximum(size[own] - 1.0, 1.0)
+                far[nth, own] = np.inf
                 outer = far.min(axis=1)
                 top = np.maximum(inner, outer)
-                score = np.where((size[own] > 1) & (top > 0), (outer - inner) / np.where(top > 0, top, 1.0), 0.0)
-                total[k] += float(score.sum())
-        keys = list(total)
+                scorable = (size[own] > 1) & (top > 0)
+                total[m] += ((outer - inner)[scorable] / top[scorable]).sum()
         yield pa.RecordBatch.from_arrays(
-            [pa.array(keys, pa.int32()), pa.array([total[k] for k in keys]), pa.array([count] * len(keys), pa.int64())],
-            ["k", "s", "n"],
+            [pa.array(range(len(ids)), pa.int32()), pa.array(total), pa.array([float(count)] * len(ids))],
+            ["m", "s", "n"],
         )
 
     sums = (
         df.select(*[quoted(c) for c in cols])
-        .mapInArrow(partial, "k int, s double, n bigint")
-        .groupBy("k")
+        .mapInArrow(partial, "m int, s double, n double")
+        .groupBy("m")
         .agg((F.sum("s") / F.sum("n")).alias("score"))
     )
-    return {r["k"]: r["score"] for r in sums.collect()}
+    return {ids[r["m"]]: r["score"] for r in sums.collect()}
 
 
 def ward_costs(clusters: DataFrame) -> DataFrame:

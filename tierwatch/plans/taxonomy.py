@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tierwatch.functions.names import numeric, quoted
 from tierwatch.functions.shared import stage
 from tierwatch.functions.vectors import nearest
-from tierwatch.operators.clustering import Centers, best_k, kmeans_fit, ward_groups
+from tierwatch.operators.clustering import Centers, best_ks, kmeans_fit, ward_groups
 from tierwatch.operators.components import pca_variance
 from tierwatch.operators.ordering import recode_levels
 from tierwatch.operators.ranking import (
@@ -68,23 +68,6 @@ class Level:
         return nearest(self.scaled(), self.centers.points)
 
 
-def fit_level(
-    df: DataFrame,
-    number: int,
-    variables: Sequence[str],
-    key: str | None = None,
-    max_k: int = 15,
-    patience: int = 3,
-    seed: int = 42,
-) -> Level:
-    cols = sorted(variables)
-    scaler = Scaler.fit(df, cols)
-    kept = [quoted(key)] if key else []
-    scaled = df.select(*kept, *[scaler.z(c).alias(c) for c in cols])
-    centers = best_k(scaled, cols, max_k, patience, seed, key).centers
-    return _with_cluster_scalers(df, Level(number, scaler, centers))
-
-
 def _with_cluster_scalers(df: DataFrame, level: Level) -> Level:
     cols = level.centers.cols
     labelled = df.select(
@@ -103,11 +86,17 @@ def fit_levels(
     patience: int = 3,
     seed: int = 42,
 ) -> list[Level]:
-    """One model per level of a `(variable, cluster, Nivel)` table."""
+    """One model per level of a `(variable, cluster, Nivel)` table, all fitted in the same passes."""
     members: dict[int, list[str]] = {}
-    for r in levels.collect():
+    for r in levels.orderBy("Nivel", "variable").collect():
         members.setdefault(int(r["Nivel"]), []).append(r["variable"])
-    return [fit_level(df, n, members[n], key, max_k, patience, seed) for n in sorted(members)]
+    cols = [c for vs in members.values() for c in vs]
+    scaler = Scaler.fit(df, cols)
+    scaled = df.select(*([quoted(key)] if key else []), *[scaler.z(c).alias(c) for c in cols])
+    best = best_ks(scaled, members, max_k, patience, seed, key)
+    return [
+        _with_cluster_scalers(df, Level(n, scaler.only(members[n]), best[n].centers)) for n in sorted(members)
+    ]
 
 
 @dataclass(frozen=True)
@@ -139,8 +128,8 @@ class Taxonomy:
         names = list(cols) if cols is not None else numeric(df, exclude=[key, ts or key])
         data = stage(df.select(key, *[F.col(quoted(c)).cast("double").alias(c) for c in names]), "features")
         scaler = Scaler.fit(data, names)
-        scaled = data.select(*[scaler.z(c).alias(c) for c in names])
-        centers, _ = kmeans_fit(scaled, names, clusters, seed)
+        scaled = data.select(key, *[scaler.z(c).alias(c) for c in names])
+        centers, _ = kmeans_fit(scaled, names, clusters, seed, key)
         z = [scaler.z(c) for c in names]
         labelled = data.withColumn("prediction", nearest(z, centers.points))
         ranked = RANKERS[ranker](labelled, "prediction", names)

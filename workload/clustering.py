@@ -146,23 +146,24 @@ def kmeans_given_start(spark, sf_dir):
 )
 def kmeans_centers_given_start(spark, sf_dir):
     scaled = stage(scaled_profile(spark, sf_dir).select("pri", *LLOYD_VARS), "lloyd")
-    centers = op.lloyd(scaled, op.group_means(scaled, LLOYD_VARS, "pri"), max_iter=2)
+    start = op.group_means(scaled, LLOYD_VARS, "pri")
+    centers, _ = op.kmeans_fit(scaled, LLOYD_VARS, init_centers=start, max_iter=2)
     wide = centers.table(spark).groupBy("cluster").pivot("variable", list(LLOYD_VARS)).agg(F.first("value"))
     return rounded(wide, *LLOYD_VARS)
 
 
 @query()
 def kmeans_seeded(spark, sf_dir):
-    scaled = stage(scaled_profile(spark, sf_dir).select(*VARS), "kmeans")
-    _, labelled = op.kmeans_fit(scaled, VARS, 5)
+    scaled = stage(scaled_profile(spark, sf_dir).select("rec_id", *VARS), "kmeans")
+    _, labelled = op.kmeans_fit(scaled, VARS, 5, key="rec_id")
     return labelled.groupBy("prediction").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
 def kmeans_cosine(spark, sf_dir):
     vectors = _embeddings(spark, sf_dir)
-    centers, _ = op.kmeans_fit(vectors, E, 5, distance="cosine")
-    return centers.table(spark)
+    _, labelled = op.kmeans_fit(vectors, E, 5, distance="cosine")
+    return labelled.groupBy("prediction").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()

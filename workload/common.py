@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierwatch.functions.shared import stage
-from tierwatch.operators.cleaning import fill_const, fill_extreme, to_double
+from tierwatch.operators.cleaning import fill_extreme, to_double
 from tierwatch.operators.scaling import zscore
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,8 +83,8 @@ def order_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clean_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The profile without gaps. It is written once, since every fit reads it several times."""
-    staged = stage(order_profile(spark, sf_dir), "profile")
-    return to_double(fill_const(fill_extreme(staged, VARS), 0.0, VARS), VARS)
+    staged = stage(to_double(order_profile(spark, sf_dir), VARS), "profile")
+    return fill_extreme(staged, VARS, otherwise=0.0)
 
 
 def scaled_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
