@@ -56,7 +56,9 @@ def _sigma_by(df: DataFrame, col: str, n: float, by: str, out: str) -> DataFrame
     return joined.withColumn(out, _label(F.col(quoted(col)), F.col("__m"), F.col("__s"), n)).drop("__m", "__s")
 
 
-def _banded(df: DataFrame, cols: Sequence[str], label: str, n: float, min_cluster_size: int):
+def _banded(
+    df: DataFrame, cols: Sequence[str], label: str, n: float, min_cluster_size: int, source: DataFrame | None = None
+):
     """Rows joined with the band of each field in their cluster.
 
     Returns the joined table, whether any field of a row is outside its band, and the array
@@ -64,7 +66,7 @@ def _banded(df: DataFrame, cols: Sequence[str], label: str, n: float, min_cluste
     the test itself is kept short so that it runs as compiled code.
     """
     size, key = F.count(F.lit(1)), "__label"
-    moments = df.groupBy(F.col(quoted(label)).alias(key)).agg(
+    moments = (df if source is None else source).groupBy(F.col(quoted(label)).alias(key)).agg(
         (size >= min_cluster_size).alias("__big"),
         *[F.avg(quoted(c)).alias(f"a{i}") for i, c in enumerate(cols)],
         *[F.stddev_samp(quoted(c)).alias(f"s{i}") for i, c in enumerate(cols)],
@@ -116,11 +118,17 @@ def anomaly_fields_text(
     n: float = 3.0,
     min_cluster_size: int = 1,
     out: str = "AnomalyFields",
+    source: DataFrame | None = None,
 ) -> DataFrame:
-    """Add a column listing `variable:value` for the flagged fields, by variable name."""
-    joined, outside, found = _banded(df, sorted(cols), label, n, min_cluster_size)
-    texts = F.transform(found, lambda f: F.concat(f["variable"], F.lit(":"), f["value"].cast("string")))
-    listed = F.when(outside, F.array_join(texts, ";", "null")).otherwise(F.lit(""))
+    """Add a column listing `variable:value` for the flagged fields, by variable name.
+
+    The bands come from `source`, which holds the same rows in a cheaper form, or from `df`.
+    """
+    joined, outside, found = _banded(df, sorted(cols), label, n, min_cluster_size, source)
+    texts = F.transform(
+        found, lambda f: F.concat(f["variable"], F.lit(":"), F.coalesce(f["value"].cast("string"), F.lit("null")))
+    )
+    listed = F.when(outside, F.array_join(texts, ";")).otherwise(F.lit(""))
     return joined.withColumn(out, listed).select(*[quoted(c) for c in df.columns], out)
 
 

@@ -44,17 +44,20 @@ def to_double(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def _known(df: DataFrame, col: str):
+    """The column with NaN as null, like any other missing value."""
     c = F.col(quoted(col))
-    return F.when(F.isnan(c), None).otherwise(c) if _floating(df, col) else c
-
-
-def _floating(df: DataFrame, col: str) -> bool:
-    return df.schema[col].dataType.typeName() in ("double", "float")
+    kind = df.schema[col].dataType.typeName()
+    return F.nanvl(c, F.lit(None).cast(kind)) if kind in ("double", "float") else c
 
 
 def _fill(df: DataFrame, values: Mapping[str, float | None]) -> DataFrame:
-    known = {c: float(v) for c, v in values.items() if v is not None}
-    return df.na.fill(known) if known else df
+    return df.withColumns(
+        {
+            c: F.coalesce(_known(df, c), F.lit(v).cast(df.schema[c].dataType))
+            for c, v in values.items()
+            if v is not None
+        }
+    )
 
 
 def fill_mean(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -73,7 +76,7 @@ def fill_extreme(df: DataFrame, cols: Sequence[str], otherwise: float | None = N
 
 def fill_const(df: DataFrame, value: float = 0.0, cols: Sequence[str] | None = None) -> DataFrame:
     names = [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)]
-    return df.na.fill(value, subset=list(cols) if cols is not None else names)
+    return _fill(df, dict.fromkeys(cols if cols is not None else names, value))
 
 
 def null_audit(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

@@ -425,9 +425,11 @@ def ward_merges(weights: DataFrame) -> list[tuple[str, str, float]]:
     """
     spark = weights.sparkSession
     profiles = [c for c in weights.columns if c != "variable"]
-    points = weights.unpivot(["variable"], profiles, "profile", "weight").persist()
+    owner = {r[0]: r[0] for r in weights.select("variable").collect()}
+    points = weights.unpivot(["variable"], profiles, "profile", "weight")
+    # A few variables fit into one task, which spares every round its exchanges.
+    points = (points.coalesce(1) if len(owner) <= 200 else points).persist()
     try:
-        owner = {r[0]: r[0] for r in weights.select("variable").collect()}
         merges: list[tuple[str, str, float]] = []
         while len(set(owner.values())) > 1:
             members = spark.createDataFrame(list(owner.items()), "variable string, cid string")

@@ -167,6 +167,8 @@ def fcbf(
         df = discretize(df, cols, bins)
     marginal = entropies(df, [(c,) for c in cols])
     scores = {r["variable"]: r["su"] for r in symmetrical_uncertainty(df, label, cols, delta).collect()}
+    # Rounded, so that ties do not hang on the order in which counts were added up.
+    scores = {c: round(su, 12) for c, su in scores.items()}
     waiting = sorted(scores, key=lambda c: (-scores[c], c))
     chosen: list[str] = []
     while waiting:
@@ -176,7 +178,9 @@ def fcbf(
             break
         joint = entropies(df, [(lead, c) for c in rest])
         waiting = [
-            c for c in rest if _su_value(marginal[(lead,)], marginal[(c,)], joint[(lead, c)]) < scores[c]
+            c
+            for c in rest
+            if round(_su_value(marginal[(lead,)], marginal[(c,)], joint[(lead, c)]), 12) < scores[c]
         ]
     top = scores[chosen[0]] if chosen else 1.0
     rows = [(i + 1, c, scores[c], scores[c] / top) for i, c in enumerate(chosen)]

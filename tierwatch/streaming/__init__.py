@@ -1,0 +1,3 @@
+from tierwatch.streaming.scoring import score_stream
+
+__all__ = ["score_stream"]
