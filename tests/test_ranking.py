@@ -88,6 +88,16 @@ def test_weights_equal_one_vs_rest_uncertainty(spark):
             assert rows[v][f"peso_{float(c)}"] == pytest.approx(raw[v] / top)
 
 
+def test_weights_of_many_clusters_are_whole(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    df = frame(spark, {"y": rng.integers(0, 7, 300), "a": rng.integers(0, 4, 300), "b": rng.integers(0, 9, 300)})
+    want = sorted(map(tuple, op.cluster_weights(df, "y", ["a", "b"]).collect()))
+    monkeypatch.setattr(op, "MAX_COUNTERS", 3)
+    got = sorted(map(tuple, op.cluster_weights(df, "y", ["a", "b"]).collect()))
+    assert [r[0] for r in got] == [r[0] for r in want]
+    assert [r[1:] for r in got] == [pytest.approx(r[1:]) for r in want]
+
+
 def test_discriminating_variables_skip_constant_profiles(spark):
     weights = spark.createDataFrame(
         [("a", 0.0, 1.0), ("b", 0.5, 0.5), ("c", 0.2, 0.4), ("d", 0.3, 0.3)], "variable string, peso_0 double, peso_1 double"

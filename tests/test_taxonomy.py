@@ -68,6 +68,8 @@ def test_detection_finds_the_planted_record_and_its_field(fitted):
     row = found.rows.filter("id = 5").first()
     assert "x2:" in row[f"fieldsAnomaly_Nivel_{level.number}"]
     assert found.time_points.count() == 20
+    apart = detect(df.drop("ts"), "id", taxonomy=taxonomy, ts="ts", times=df.select("id", "ts"))
+    assert apart.time_points.exceptAll(found.time_points).count() == 0
     assert found.summary.agg(F.sum("n")).first()[0] == 400
 
 

@@ -90,7 +90,7 @@ def null_audit(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     ).withColumn("any_null", F.col("n_null") > 0)
 
 
-def distinct_values(df: DataFrame, col: str, limit: int = 1000) -> list:
+def distinct_values(df: DataFrame, col: str, limit: int = 10_000) -> list:
     """The values of a low-cardinality column; fails rather than truncating a long list."""
     rows = df.select(col).distinct().limit(limit + 1).collect()
     if len(rows) > limit:

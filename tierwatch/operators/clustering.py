@@ -52,7 +52,7 @@ class Centers:
         return spark.createDataFrame(rows, "cluster int, variable string, value double")
 
 
-def group_means(df: DataFrame, cols: Sequence[str], by: str, limit: int = 1000) -> Centers:
+def group_means(df: DataFrame, cols: Sequence[str], by: str, limit: int = 10_000) -> Centers:
     """Centers from an existing grouping, numbered in the order of the group values."""
     rows = df.groupBy(by).agg(*[F.avg(quoted(c)).alias(f"a{i}") for i, c in enumerate(cols)]).limit(limit + 1).collect()
     if len(rows) > limit:
@@ -389,31 +389,26 @@ def silhouette_sweep(df: DataFrame, models: Mapping[Hashable, Centers]) -> dict[
     return {ids[r["m"]]: r["score"] for r in sums.collect()}
 
 
-def ward_costs(clusters: DataFrame) -> DataFrame:
-    """`(a, b, cost)` for each pair of clusters given as long `(cid, size, profile, weight)`.
-
-    The cost is the rise in within-cluster variance if the two were merged.
-    """
+def _merge_costs(clusters: DataFrame) -> DataFrame:
     a = clusters.select(F.col("cid").alias("a"), F.col("size").alias("na"), "profile", F.col("weight").alias("wa"))
     b = clusters.select(F.col("cid").alias("b"), F.col("size").alias("nb"), "profile", F.col("weight").alias("wb"))
     gap = F.col("wa") - F.col("wb")
     return (
         a.join(b, "profile")
-        .filter(F.col("a") < F.col("b"))
+        .filter(F.col("a") != F.col("b"))
         .groupBy("a", "b", "na", "nb")
         .agg(F.sum(gap * gap).alias("d2"))
         .select("a", "b", (F.col("na") * F.col("nb") / (F.col("na") + F.col("nb")) * F.col("d2")).alias("cost"))
     )
 
 
-def _mutual_pairs(costs: DataFrame) -> DataFrame:
-    both = costs.unionByName(
-        costs.select(F.col("b").alias("a"), F.col("a").alias("b"), "cost"), allowMissingColumns=False
-    )
-    rank = F.struct(F.round("cost", 12), F.least("a", "b"), F.greatest("a", "b"))
-    closest = both.groupBy("a").agg(F.min_by(F.struct("b", "cost"), rank).alias("m")).select("a", "m.b", "m.cost")
-    back = closest.select(F.col("a").alias("b"), F.col("b").alias("a"))
-    return closest.join(back, ["a", "b"]).filter(F.col("a") < F.col("b"))
+def ward_costs(clusters: DataFrame) -> DataFrame:
+    """`(a, b, cost)` for each pair of variable clusters given as `(cid, size, profile, weight)`.
+
+    The cost is the rise in within-cluster variance if the two were merged. The join is on
+    the profile, of which each cluster has one row; there are as many clusters as variables.
+    """
+    return _merge_costs(clusters).filter(F.col("a") < F.col("b"))
 
 
 def ward_merges(weights: DataFrame) -> list[tuple[str, str, float]]:
@@ -421,7 +416,7 @@ def ward_merges(weights: DataFrame) -> list[tuple[str, str, float]]:
 
     Clusters that are each other's nearest neighbor merge in the same round, which gives
     the same tree as merging one pair at a time. A round is one small Spark job; the
-    driver holds only the variable names.
+    driver holds one entry per variable.
     """
     spark = weights.sparkSession
     profiles = [c for c in weights.columns if c != "variable"]
@@ -429,18 +424,21 @@ def ward_merges(weights: DataFrame) -> list[tuple[str, str, float]]:
     points = weights.unpivot(["variable"], profiles, "profile", "weight")
     # A few variables fit into one task, which spares every round its exchanges.
     points = (points.coalesce(1) if len(owner) <= 200 else points).persist()
+    rank = F.struct(F.round("cost", 12), F.least("a", "b"), F.greatest("a", "b"))
+    merges: list[tuple[str, str, float]] = []
     try:
-        merges: list[tuple[str, str, float]] = []
         while len(set(owner.values())) > 1:
-            members = spark.createDataFrame(list(owner.items()), "variable string, cid string")
+            members = spark.createDataFrame(pa.table({"variable": list(owner), "cid": list(owner.values())}))
             clusters = (
                 points.join(F.broadcast(members), "variable")
                 .groupBy("cid", "profile")
                 .agg(F.avg("weight").alias("weight"), F.count(F.lit(1)).cast("double").alias("size"))
             )
-            found = _mutual_pairs(ward_costs(clusters)).collect()
-            into = {r["b"]: r["a"] for r in found}
-            merges += [(r["a"], r["b"], r["cost"]) for r in found]
+            closest = _merge_costs(clusters).groupBy("a").agg(F.min_by(F.struct("b", "cost"), rank).alias("m"))
+            to = {r["a"]: (r["m"]["b"], r["m"]["cost"]) for r in closest.collect()}
+            found = [(a, b, cost) for a, (b, cost) in sorted(to.items()) if a < b and to[b][0] == a]
+            merges += found
+            into = {b: a for a, b, _ in found}
             owner = {v: into.get(c, c) for v, c in owner.items()}
     finally:
         points.unpersist()
@@ -464,7 +462,7 @@ def cut_tree(variables: Sequence[str], merges: Sequence[tuple[str, str, float]],
 
 def ward_groups(weights: DataFrame, k: int = 5, method: str = "ward", seed: int = 42) -> DataFrame:
     """`(variable, cluster)`: at most k groups of variables with similar weight profiles."""
-    names = distinct_values(weights, "variable", 100_000)
+    names = distinct_values(weights, "variable")
     k = min(k, len(names))
     if method == "bisecting":
         return _bisecting(weights, k, seed)
@@ -480,7 +478,7 @@ def _bisecting(weights: DataFrame, k: int, seed: int) -> DataFrame:
 
 def bisecting_sweep(weights: DataFrame, ks: Sequence[int] = range(2, 8), seed: int = 42) -> DataFrame:
     """Groupings for several k: `(k, variable, cluster)`."""
-    names = distinct_values(weights, "variable", 100_000)
+    names = distinct_values(weights, "variable")
     parts = [
         _bisecting(weights, k, seed).select(F.lit(k).alias("k"), "variable", "cluster")
         for k in ks

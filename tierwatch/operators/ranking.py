@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import QuantileDiscretizer, VectorAssembler
@@ -53,7 +54,10 @@ def _value_counts(df: DataFrame, label: str, cols: Sequence[str], labels: Sequen
     return (
         df.select(F.col(quoted(label)).alias("label"), F.inline(F.array(*rows)))
         .groupBy("v", "value")
-        .agg(*[F.count_if(F.col("label").eqNullSafe(F.lit(y))).alias(f"n{j}") for j, y in enumerate(labels)])
+        .agg(
+            F.count(F.lit(1)).alias("total"),
+            *[F.count_if(F.col("label").eqNullSafe(F.lit(y))).alias(f"n{j}") for j, y in enumerate(labels)],
+        )
     )
 
 
@@ -198,24 +202,32 @@ def cluster_weights(
     """
     if bins:
         df = discretize(df, cols, bins)
-    found = distinct_values(df, label, MAX_COUNTERS) if labels is None else list(labels)
-    counts = _value_counts(df, label, cols, found)
-    n = [F.col(f"n{j}") for j in range(len(found))]
-    n_value = sum(n[1:], n[0])
+    found = distinct_values(df, label) if labels is None else list(labels)
+    parts = [
+        _weights_for(df, label, cols, found[i : i + MAX_COUNTERS]) for i in range(0, len(found), MAX_COUNTERS)
+    ]
+    return reduce(lambda a, b: a.join(b, "variable"), parts)
+
+
+def _weights_for(df: DataFrame, label: str, cols: Sequence[str], labels: Sequence) -> DataFrame:
+    counts = _value_counts(df, label, cols, labels)
+    n = [F.col(f"n{j}") for j in range(len(labels))]
+    total = F.col("total")
     sums = counts.groupBy("v").agg(
-        F.sum(_nlogn(n_value)).alias("fx"),
-        *[F.sum(_nlogn(nj) + _nlogn(n_value - nj)).alias(f"f{j}") for j, nj in enumerate(n)],
+        F.sum(_nlogn(total)).alias("fx"),
+        F.sum("total").alias("total"),
+        *[F.sum(_nlogn(nj) + _nlogn(total - nj)).alias(f"f{j}") for j, nj in enumerate(n)],
         *[F.sum(nj).alias(f"n{j}") for j, nj in enumerate(n)],
     )
-    log_n = F.log2(n_value)
-    hx = log_n - F.col("fx") / n_value
+    log_n = F.log2(total)
+    hx = log_n - F.col("fx") / total
     scored = sums.select(
         "v",
         *[
             _su(
                 hx,
-                log_n - (_nlogn(nj) + _nlogn(n_value - nj)) / n_value,
-                log_n - F.col(f"f{j}") / n_value,
+                log_n - (_nlogn(nj) + _nlogn(total - nj)) / total,
+                log_n - F.col(f"f{j}") / total,
             ).alias(f"su{j}")
             for j, nj in enumerate(n)
         ],
@@ -223,7 +235,7 @@ def cluster_weights(
     everything = Window.partitionBy()
     weights = [
         F.coalesce(F.try_divide(F.col(f"su{j}"), F.max(f"su{j}").over(everything)), F.lit(0.0)).alias(f"peso_{y}")
-        for j, y in enumerate(found)
+        for j, y in enumerate(labels)
     ]
     return _named(scored, cols).select("variable", *weights)
 

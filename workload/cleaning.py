@@ -76,6 +76,7 @@ def row_filters(spark, sf_dir):
 
 
 _STATUS = ("F", "O", "P")
+_SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 
 
 @query(
@@ -90,12 +91,12 @@ def one_hot(spark, sf_dir):
 
 @query(
     "SELECT "
-    + ", ".join(f"CASE WHEN c_mktsegment = '{s}' THEN 1 ELSE 0 END AS \"c_mktsegment_{s}\"" for s in ("AUTOMOBILE", "BUILDING"))
+    + ", ".join(f"CASE WHEN c_mktsegment = '{s}' THEN 1 ELSE 0 END AS \"c_mktsegment_{s}\"" for s in _SEGMENTS)
     + ", c_custkey, c_mktsegment FROM customer"
 )
 def dummies(spark, sf_dir):
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    return op.dummies(customers, "c_mktsegment", values=["AUTOMOBILE", "BUILDING"])
+    return op.dummies(customers, "c_mktsegment")
 
 
 @query("SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 10")
