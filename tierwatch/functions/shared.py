@@ -33,12 +33,23 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/tierwatch/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def stage(df: DataFrame, label: str, spread: bool = False) -> DataFrame:
     """Write `df` once to the shared folder and read it back.
 
     Multi-pass work then scans pruned Parquet columns rather than re-running the
     lineage, and a lost executor costs a re-read and not a recomputation.
+    With `spread`, a table of fewer splits than cores is cut into one split per core;
+    such a table is small, so this is cheap, and larger tables are left as they are.
     """
+    spark = df.sparkSession
+    written = _written(df, label)
+    cores = spark.sparkContext.defaultParallelism
+    if spread and written.rdd.getNumPartitions() < cores:
+        return _written(written.repartition(cores), label)
+    return written
+
+
+def _written(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

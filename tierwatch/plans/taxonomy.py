@@ -126,7 +126,7 @@ class Taxonomy:
         `ranker` is "gbt", "rf" (fewer passes over the data) or "su".
         """
         names = list(cols) if cols is not None else numeric(df, exclude=[key, ts or key])
-        data = stage(df.select(key, *[F.col(quoted(c)).cast("double").alias(c) for c in names]), "features")
+        data = stage(df.select(key, *[F.col(quoted(c)).cast("double").alias(c) for c in names]), "features", spread=True)
         scaler = Scaler.fit(data, names)
         scaled = data.select(key, *[scaler.z(c).alias(c) for c in names])
         centers, _ = kmeans_fit(scaled, names, clusters, seed, key)

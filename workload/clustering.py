@@ -132,7 +132,7 @@ def _step(i):
     )
 )
 def kmeans_given_start(spark, sf_dir):
-    scaled = stage(scaled_profile(spark, sf_dir).select("rec_id", "pri", *LLOYD_VARS), "lloyd")
+    scaled = stage(scaled_profile(spark, sf_dir).select("rec_id", "pri", *LLOYD_VARS), "lloyd", spread=True)
     start = op.group_means(scaled, LLOYD_VARS, "pri")
     _, labelled = op.kmeans_fit(scaled, LLOYD_VARS, init_centers=start, max_iter=2)
     return labelled.select("rec_id", "prediction")
@@ -145,7 +145,7 @@ def kmeans_given_start(spark, sf_dir):
     )
 )
 def kmeans_centers_given_start(spark, sf_dir):
-    scaled = stage(scaled_profile(spark, sf_dir).select("pri", *LLOYD_VARS), "lloyd")
+    scaled = stage(scaled_profile(spark, sf_dir).select("pri", *LLOYD_VARS), "lloyd", spread=True)
     start = op.group_means(scaled, LLOYD_VARS, "pri")
     centers, _ = op.kmeans_fit(scaled, LLOYD_VARS, init_centers=start, max_iter=2)
     wide = centers.table(spark).groupBy("cluster").pivot("variable", list(LLOYD_VARS)).agg(F.first("value"))
@@ -154,7 +154,7 @@ def kmeans_centers_given_start(spark, sf_dir):
 
 @query()
 def kmeans_seeded(spark, sf_dir):
-    scaled = stage(scaled_profile(spark, sf_dir).select("rec_id", *VARS), "kmeans")
+    scaled = stage(scaled_profile(spark, sf_dir).select("rec_id", *VARS), "kmeans", spread=True)
     _, labelled = op.kmeans_fit(scaled, VARS, 5, key="rec_id")
     return labelled.groupBy("prediction").agg(F.count(F.lit(1)).alias("n"))
 
@@ -168,7 +168,7 @@ def kmeans_cosine(spark, sf_dir):
 
 @query()
 def best_k_sweep(spark, sf_dir):
-    scaled = stage(scaled_profile(spark, sf_dir).select("rec_id", *LLOYD_VARS), "sweep")
+    scaled = stage(scaled_profile(spark, sf_dir).select("rec_id", *LLOYD_VARS), "sweep", spread=True)
     return op.best_k(scaled, LLOYD_VARS, key="rec_id").trace
 
 

@@ -83,7 +83,7 @@ def order_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clean_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The profile without gaps. It is written once, since every fit reads it several times."""
-    staged = stage(to_double(order_profile(spark, sf_dir), VARS), "profile")
+    staged = stage(to_double(order_profile(spark, sf_dir), VARS), "profile", spread=True)
     return fill_extreme(staged, VARS, otherwise=0.0)
 
 
