@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -11,47 +13,66 @@ from pyspark.sql import functions as F
 # A table is broadcast only after it was measured to be within both bounds.
 SMALL_ROWS = 10_000
 SMALL_BYTES = 32 << 20
+SPLIT_BYTES = 128 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared scratch folder, from `spark.checkpoint.dir`.
+    """The cluster's shared scratch folder: `spark.checkpoint.dir`, or else the one set on the context.
 
-    Only a local session without that setting gets a temporary folder of its own.
+    Only a local session without either gets a temporary folder of its own.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder every executor can reach")
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tierwatch-"))
-    return context.getCheckpointDir()
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tierwatch-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of a plan's size; nothing is run."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever Spark can reach it."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
+_RUN = uuid.uuid4().hex
+_CLEANED: set[str] = set()
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/tierwatch/{label}-{uuid.uuid4().hex}"
+    """A new path in the shared folder. What this process put there is deleted when it ends."""
+    root = f"{shared_dir(spark).rstrip('/')}/tierwatch/{_RUN}"
+    if root not in _CLEANED:
+        _CLEANED.add(root)
+
+        def clean():
+            with contextlib.suppress(Exception):  # the JVM may be gone by then
+                delete_path(spark, root)
+
+        atexit.register(clean)
+    return f"{root}/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str, spread: bool = False) -> DataFrame:
+def stage(df: DataFrame, label: str, spread: bool = False, codec: str | None = None) -> DataFrame:
     """Write `df` once to the shared folder and read it back.
 
     Multi-pass work then scans pruned Parquet columns rather than re-running the
     lineage, and a lost executor costs a re-read and not a recomputation.
-    With `spread`, a table of fewer splits than cores is cut into one split per core;
-    such a table is small, so this is cheap, and larger tables are left as they are.
+    With `spread`, a table that Spark estimates to fill less than one split per core is dealt out
+    over the cores before this only write; a larger one is written as it comes.
     """
-    spark = df.sparkSession
-    written = _written(df, label)
-    cores = spark.sparkContext.defaultParallelism
-    if spread and written.rdd.getNumPartitions() < cores:
-        return _written(written.repartition(cores), label)
-    return written
-
-
-def _written(df: DataFrame, label: str) -> DataFrame:
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if spread and estimated_bytes(df) < cores * SPLIT_BYTES:
+        df = df.repartition(cores)
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    writer = df.write.option("compression", codec) if codec else df.write
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
