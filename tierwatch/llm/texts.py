@@ -156,8 +156,16 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def utf8_lengths(points: np.ndarray) -> np.ndarray:
-    return 1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)
+def character_offsets(coded: np.ndarray) -> np.ndarray:
+    """Where each character of UTF-8 bytes begins, and the end."""
+    return np.append(np.flatnonzero((coded & 0xC0) != 0x80), len(coded))
+
+
+def byte_strings(column: pa.Array) -> list[bytes]:
+    """The values of a binary column without nulls, as Python bytes."""
+    data, offsets = byte_view(column)
+    raw, cuts = data.tobytes(), offsets.tolist()
+    return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 def _contractions(points: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -73,7 +73,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, fan: int = FAN
     left = queries.withColumn("tile", spread(tiles)).withColumn("shard", every(shards))
     right = candidates.withColumn("shard", spread(shards)).withColumn("tile", every(tiles))
 
-    def best(key, q: pa.Table, c: pa.Table) -> pa.Table:
+    def best(key, q, c):
         names = ["query_id", "shard", "vec_id", "score"]
         if not q.num_rows or not c.num_rows:
             return pa.table([pa.array([], t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64())], names)
