@@ -130,12 +130,13 @@ def _word_ids(tokenizer, last: np.ndarray, words: list[bytes]) -> list[bytes]:
     return out
 
 
-def _tokenizer(path: str):
+def _tokenizer(path: str, definition: str | None = None):
+    """The tokenizer, which tokens end a word, and the words met so far, kept by the worker."""
     cache = texts.worker_cache()
     if ("tokenizer", path) not in cache:
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
+        tokenizer = Tokenizer.from_str(definition) if definition else Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
         last = np.zeros(tokenizer.get_vocab_size(), bool)
         for token, number in tokenizer.get_vocab(with_added_tokens=False).items():
@@ -145,12 +146,12 @@ def _tokenizer(path: str):
     return *cache["tokenizer", path], cache["words", path]
 
 
-def document_ids(documents: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
+def document_ids(documents: list[str], path: str, definition: str | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The ids of each text, `END_ID` after each, joined, and the n + 1 offsets of the documents.
 
     Each distinct word is encoded once.
     """
-    tokenizer, last, known = _tokenizer(path)
+    tokenizer, last, known = _tokenizer(path, definition)
     clean = [unicodedata.normalize("NFC", d).replace("Σ", "σ").lower() for d in documents]
     sizes = np.array([len(d) for d in clean], np.int64)
     bounds = np.concatenate([[0], np.cumsum(sizes)])
@@ -193,6 +194,9 @@ def pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) -> DataFr
     `bits` has the checksums of the parts that a remainder would be cut into at the bits of its length.
     """
 
+    with open(tokenizer_path, encoding="utf-8") as file:
+        shared = docs.sparkSession.sparkContext.broadcast(file.read())  # a fixed vocabulary
+
     def cut(batches) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -201,7 +205,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) -> DataFr
             column = batch.column(1)
             for first, end, _, _ in texts.slices(column, SLICE_BYTES):
                 part = [t or "" for t in column.slice(first, end - first).to_pylist()]
-                ids, offsets = document_ids(part, tokenizer_path)
+                ids, offsets = document_ids(part, tokenizer_path, shared.value)
                 raw = memoryview(ids.astype("<u4").tobytes())
                 owner = batch.column(0).slice(first, end - first).to_pylist()
                 rows = []
