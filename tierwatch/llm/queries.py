@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierwatch.llm import bpe, exactdup, packing, topk
+from tierwatch.llm import bpe, exactdup, neardup, packing, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -84,3 +84,9 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query()
+def op3_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the component of near-duplicates that it belongs to."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
