@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierwatch.llm import bpe, exactdup, neardup, packing, topk
+from tierwatch.llm import bpe, exactdup, langid, neardup, packing, quality, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -90,3 +90,15 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the component of near-duplicates that it belongs to."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A calibrated quality score of every document."""
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    return langid.languages(table(spark, sf_dir, "documents"))
