@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierwatch.llm import bpe, exactdup, langid, neardup, packing, quality, topk
+from tierwatch.llm import bpe, exactdup, langid, neardup, packing, quality, suffixtree, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -77,8 +77,8 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
-    return bpe.decode(encoded, ranks).select(
+    documents = table(spark, sf_dir, "documents")
+    return bpe.encode(documents, ranks, public_tokenizers.PATTERN, decoded=True).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
@@ -102,3 +102,9 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document."""
     return langid.languages(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op8_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability scores of every document, by token shares and by the suffix tree."""
+    return suffixtree.corpus_scores(table(spark, sf_dir, "documents"))
