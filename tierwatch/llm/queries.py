@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierwatch.llm import bpe, exactdup, langid, neardup, packing, quality, suffixtree, topk
+from tierwatch.llm import bpe, exactdup, langid, neardup, packing, quality, secrets, suffixtree, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -108,3 +108,9 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probability scores of every document, by token shares and by the suffix tree."""
     return suffixtree.corpus_scores(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate in the documents with the verdict of the forest."""
+    return secrets.scan(table(spark, sf_dir, "documents"))
