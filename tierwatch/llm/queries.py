@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierwatch.llm import bpe, exactdup, langid, neardup, packing, quality, secrets, suffixtree, topk
+from tierwatch.llm import bpe, exactdup, langid, neardup, packing, quality, secrets, suffixtree, surrogates, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -114,3 +114,9 @@ def op8_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every candidate in the documents with the verdict of the forest."""
     return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with personal data replaced by surrogates."""
+    return surrogates.with_surrogates(table(spark, sf_dir, "documents"), "surrogate-key")
