@@ -42,7 +42,7 @@ def split(table: pa.Table) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     before = np.concatenate([[0], np.cumsum(np.concatenate(per_document))]) if per_document else np.zeros(1, np.int64)
     if not words:
         return np.zeros(0, np.uint32), pa.array([], pa.large_binary()), before
-    index, dictionary = wordtable.by_frequency(pa.chunked_array(words).unify_dictionaries().combine_chunks())
+    index, dictionary = wordtable.frequent_first(pa.chunked_array(words).unify_dictionaries().combine_chunks())
     return index, dictionary, before
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from tierwatch.functions.shared import scratch_path
 
 BLOCK_BYTES = 24 << 20
+HEAD_WORDS = 4096
 
 
 def gathered(batches, limit: int = BLOCK_BYTES, column: str = "text") -> Iterator[pa.Table]:
@@ -43,14 +44,22 @@ def gathered(batches, limit: int = BLOCK_BYTES, column: str = "text") -> Iterato
             if size >= limit:
                 yield pa.Table.from_batches(held)
                 held, size = [], 0
+                pa.default_memory_pool().release_unused()
     if held:
         yield pa.Table.from_batches(held)
 
 
-def by_frequency(coded: pa.DictionaryArray) -> tuple[np.ndarray, pa.Array]:
-    """Positions in a dictionary whose most frequent words come first, and that dictionary."""
+def frequent_first(coded: pa.DictionaryArray, head: int = HEAD_WORDS) -> tuple[np.ndarray, pa.Array]:
+    """Positions in a dictionary that begins with the most frequent words, and that dictionary.
+
+    The frequent ones get small positions, which compress well; the others are sorted, since
+    neighbours that share a beginning compress well too.
+    """
     index = coded.indices.to_numpy()
     order = np.argsort(-np.bincount(index, minlength=len(coded.dictionary)), kind="stable")
+    rest = order[head:]
+    rest = rest[pa.compute.sort_indices(coded.dictionary.take(pa.array(rest))).to_numpy()]
+    order = np.concatenate([order[:head], rest])
     place = np.empty(len(order), np.uint32)
     place[order] = np.arange(len(order), dtype=np.uint32)
     return place[index], coded.dictionary.take(pa.array(order))
