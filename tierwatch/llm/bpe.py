@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from tierwatch.llm import texts, wordtable
 
 PART_TOKENS = 2 << 20
+SPLIT_BYTES = 2 << 20
 
 
 def split(table: pa.Table) -> tuple[np.ndarray, pa.Array, np.ndarray]:
@@ -29,7 +30,7 @@ def split(table: pa.Table) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """
     column = table.column("text").combine_chunks()
     words, per_document = [], []
-    for _, _, data, offsets in texts.slices(column):
+    for _, _, data, offsets in texts.slices(column, SPLIT_BYTES):
         if not len(data):
             per_document.append(np.zeros(len(offsets) - 1, np.int64))
             continue
@@ -81,15 +82,32 @@ def vocabulary(ranks_path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+def token_bytes(ranks: dict[bytes, int]) -> list[bytes | None]:
+    """The table of token bytes by id."""
+    tokens: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        tokens[rank] = token
+    return tokens
+
+
+def joined_bytes(table: pa.Array, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """The token bytes of the ids between neighbouring offsets, joined."""
+    found, cuts = texts.byte_view(table.take(pa.array(ids)))
+    found, cuts = found.tobytes(), cuts[offsets].tolist()
+    return [found[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, decoded: bool = False) -> DataFrame:
     """(doc_id, ids) of every row: the ids of its text as little-endian unsigned 32-bit integers.
 
-    Every match of `pattern` is encoded by itself, without special tokens. Null and empty texts have
+    With `decoded`, also the bytes that the ids stand for, looked up while a block is at hand. Every match of `pattern` is encoded by itself, without special tokens. Null and empty texts have
     no ids. Rows that repeat an id are encoded each. Other columns are ignored; an empty table gives
     an empty result.
     """
     spark = docs.sparkSession
-    ranks = spark.sparkContext.broadcast(vocabulary(ranks_path))
+    known = vocabulary(ranks_path)
+    ranks = spark.sparkContext.broadcast(known)
+    width = "<u2" if max(known.values(), default=0) < 1 << 16 else "<u4"
 
     def ids_of(words: list[bytes]) -> list[bytes]:
         cache = texts.worker_cache()
@@ -100,41 +118,44 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                 "ranks", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={}
             )
         one = cache["encoding", ranks_path].encode_ordinary
-        return [np.array(one(w.decode()), "<u4").tobytes() for w in words]
+        return [np.array(one(w.decode()), width).tobytes() for w in words]
+
+    names = ["doc_id", "ids", *["decoded"] * decoded]
+    schema = "doc_id long, ids binary" + ", decoded binary" * decoded
 
     def lay_out(documents, answers):
-        names, kinds = ["doc_id", "ids"], [pa.int64(), pa.binary()]
+        kinds = [pa.int64(), pa.binary(), *[pa.binary()] * decoded]
         if not documents.num_rows:
             return pa.table([pa.array([], k) for k in kinds], names)
         data, offsets = (
             wordtable.assembled(answers) if answers.num_rows else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
         )
-        table, offsets = np.frombuffer(data.tobytes(), "<u4"), offsets // 4
+        table, offsets = np.frombuffer(data.tobytes(), width), offsets // int(width[2])
         lengths = np.diff(offsets)
-        out = []
-        for packed in documents.column("payload").to_pylist():
-            index = wordtable.unpack_positions(packed)
+        coded, text = [], []
+        tokens = pa.array(token_bytes(ranks.value), pa.large_binary()) if decoded else None
+        for packed in documents.column("payload"):
+            index = wordtable.unpack_positions(packed.as_py())
             size = lengths[index]
             after = np.concatenate([[0], np.cumsum(size)])
-            out.append(table[np.repeat(offsets[index] - after[:-1], size) + np.arange(after[-1])].tobytes())
-        return pa.table([documents.column("doc_id"), pa.array(out, pa.binary())], names)
+            ids = table[np.repeat(offsets[index] - after[:-1], size) + np.arange(after[-1])].astype("<u4")
+            coded.append(ids.tobytes())
+            if decoded:
+                text += joined_bytes(tokens, ids, np.array([0, len(ids)]))
+        columns = [pa.array(coded, pa.binary()), *[pa.array(text, pa.binary())] * decoded]
+        return pa.table([documents.column("doc_id"), *columns], names)
 
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = wordtable.staged_by_block(whole.mapInArrow(_blocks, ROWS), "pretokens")
     words = rows.where("kind = 'word'").select("block", "place", F.col("payload").alias("word"))
     found = wordtable.answered(words, ids_of)
     documents = rows.where("kind = 'doc'").select("block", "doc_id", "payload")
-    return documents.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(lay_out, "doc_id long, ids binary")
+    return documents.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(lay_out, schema)
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """`encoded` (doc_id, ids) with `decoded`, the bytes of its ids; null ids give null."""
-    ranks = vocabulary(ranks_path)
-    size = max(ranks.values(), default=-1) + 1
-    tokens: list[bytes | None] = [None] * size
-    for token, rank in ranks.items():
-        tokens[rank] = token
-    shared = encoded.sparkSession.sparkContext.broadcast(tokens)
+    shared = encoded.sparkSession.sparkContext.broadcast(token_bytes(vocabulary(ranks_path)))
 
     def look_up(batches) -> Iterator[pa.RecordBatch]:
         table = pa.array(shared.value, pa.large_binary())
@@ -143,10 +164,9 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
             out: list[bytes | None] = []
             for first, end, data, offsets in texts.slices(column, 4 * PART_TOKENS):
                 ids = np.frombuffer(data.tobytes(), "<u4")
-                found, cuts = texts.byte_view(table.take(pa.array(ids)))
-                found, cuts = found.tobytes(), cuts[offsets // 4].tolist()
+                found = joined_bytes(table, ids, offsets // 4)
                 sound = column.slice(first, end - first).is_valid().to_pylist()
-                out += [found[a:b] if ok else None for a, b, ok in zip(cuts, cuts[1:], sound)]
+                out += [x if ok else None for x, ok in zip(found, sound)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), column, pa.array(out, pa.binary())], ["doc_id", "ids", "decoded"]
             )
