@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from tierwatch.functions.shared import stage
 from tierwatch.llm import texts
 from tierwatch.llm.folds import held_out
+from tierwatch.llm.rows import map_rows
 
 FEATURES = 256
 RIDGE = 1e-3
@@ -279,4 +280,4 @@ def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
             ]
             yield batch.filter(pa.array(np.concatenate(mask))) if mask else batch
 
-    return docs.mapInArrow(keep, docs.schema)
+    return map_rows(docs, keep)

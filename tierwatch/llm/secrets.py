@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierwatch.llm import texts
+from tierwatch.llm.rows import map_rows
 
 LEAST_RUN = 16
 LEAST_ASSIGNED = 6
@@ -369,4 +370,4 @@ def without_secrets(docs: DataFrame) -> DataFrame:
                 batch = batch.set_column(at, batch.schema.field(at), pa.array(rows, column.type))
             yield batch
 
-    return docs.mapInArrow(clean, docs.schema)
+    return map_rows(docs, clean)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 
 from tierwatch.functions.shared import scratch_path
 
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 32 << 20
 HEAD_WORDS = 4096
 
 
@@ -102,6 +102,20 @@ def block_numbers() -> Iterator[int]:
         number += 1
 
 
+def squeezed(values: np.ndarray) -> bytes:
+    """Compressed unsigned 32-bit numbers."""
+    import zstandard
+
+    return zstandard.compress(np.ascontiguousarray(values, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def unsqueezed(packed: bytes) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
 def answered(words: DataFrame, answer: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
     """`words` (block, place, word) met by word: (block, places, sizes, answers), packed.
 
@@ -124,14 +138,14 @@ def answered(words: DataFrame, answer: Callable[[list[bytes]], list[bytes]]) ->
             last, said = (w := coded[-1].as_py()), known[w]
             block, place = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             order = np.argsort(block, kind="stable")
-            place, given = place[order].astype("<u4"), values.take(coded.indices.take(pa.array(order)))
-            size = pa.compute.binary_length(given).to_numpy().astype("<u4")
+            place, given = place[order], values.take(coded.indices.take(pa.array(order)))
+            size = pa.compute.binary_length(given).to_numpy()
             heads = np.flatnonzero(np.diff(block[order], prepend=block[order][0] - 1))
             rows = [[], [], [], []]
             for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(order)]):
                 rows[0].append(int(block[order[a]]))
-                rows[1].append(place[a:b].tobytes())
-                rows[2].append(size[a:b].tobytes())
+                rows[1].append(squeezed(np.diff(place[a:b], prepend=0)))  # wraps around where it falls
+                rows[2].append(squeezed(size[a:b]))
                 rows[3].append(b"".join(given.slice(a, b - a).to_pylist()))
             kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays(
@@ -144,9 +158,9 @@ def answered(words: DataFrame, answer: Callable[[list[bytes]], list[bytes]]) ->
 
 def assembled(answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """The answers of a block, joined in the order of its dictionary, and their n + 1 offsets in bytes."""
-    join = lambda name: b"".join(answers.column(name).to_pylist())
-    place, size = np.frombuffer(join("places"), "<u4"), np.frombuffer(join("sizes"), "<u4").astype(np.int64)
-    data = np.frombuffer(join("answers"), np.uint8)
+    place = np.concatenate([np.cumsum(unsqueezed(p), dtype=np.uint32) for p in answers.column("places").to_pylist()])
+    size = np.concatenate([unsqueezed(s) for s in answers.column("sizes").to_pylist()]).astype(np.int64)
+    data = np.frombuffer(b"".join(answers.column("answers").to_pylist()), np.uint8)
     source = np.concatenate([[0], np.cumsum(size)])[:-1]
     order = np.argsort(place)
     lengths = size[order]
