@@ -34,12 +34,13 @@ def nearest(xs: Sequence[Column], centers: Sequence[Sequence[float]]) -> Column:
     """Index of the closest center; ties go to the lowest index.
 
     |x - c|^2 differs from |c|^2 - 2xc by |x|^2, which is the same for every center.
+    A missing value (null or NaN) counts as 0 in either form of the computation.
     """
     if len(centers) == 1:
         return F.lit(0)
     if len(centers) * len(xs) > UNROLL_TERMS:
         return _nearest_batched(xs, centers)
-    filled = [F.coalesce(x, F.lit(0.0)) for x in xs]
+    filled = [F.when(x.isNull() | F.isnan(x.cast("double")), F.lit(0.0)).otherwise(x.cast("double")) for x in xs]
     scored = [
         F.struct(
             reduce(
@@ -56,12 +57,19 @@ def nearest(xs: Sequence[Column], centers: Sequence[Sequence[float]]) -> Column:
 
 def _nearest_batched(xs: Sequence[Column], centers: Sequence[Sequence[float]]) -> Column:
     points = np.asarray(centers, dtype="float64")
-    half_norms = (points * points).sum(axis=1) / 2.0
+    half_norms = np.array([sum(v * v for v in c) / 2.0 for c in points.tolist()])
 
     @F.pandas_udf("int")
     def closest(*columns: pd.Series) -> pd.Series:
-        rows = np.nan_to_num(np.column_stack([c.to_numpy(dtype="float64") for c in columns]))
-        return pd.Series(np.argmin(half_norms - rows @ points.T, axis=1).astype("int32"))
+        # The same sums in the same order as the generated form, so that the labels agree.
+        score = np.repeat(half_norms[None, :], len(columns[0]), axis=0)
+        with np.errstate(invalid="ignore"):
+            for column, weight in zip(columns, points.T):
+                values = column.to_numpy(dtype="float64")
+                score += np.where(np.isnan(values), 0.0, values)[:, None] * -weight
+        # A score that is not a number is never the least, except if all are.
+        least = np.where(np.isnan(score), np.inf, score).min(axis=1)
+        return pd.Series(np.argmax(score == least[:, None], axis=1).astype("int32"))
 
     return closest(*xs)
 

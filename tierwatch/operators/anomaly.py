@@ -174,13 +174,19 @@ def time_anomalies(counts: DataFrame, n: float = 3.0, center: str = "zero") -> D
     only present cells are visited and the wide matrix is never built.
     `center` is "zero" (the mean in z-space) or "raw_mean" (unscaled column means).
     """
-    t = counts.select("timestamp").distinct().count()
-    groups = counts.groupBy("grupo").agg(
-        (F.sum("n") / t).alias("mu"), (F.sum(F.col("n") * F.col("n")) / t).alias("sq")
+    t = float(counts.select("timestamp").distinct().count())
+    counts = counts.withColumn("n", F.col("n").cast("double"))
+    means = counts.groupBy("grupo").agg((F.sum("n") / t).alias("mu"))
+    # Squared differences from the mean, with those of the absent cells: nothing large cancels.
+    gap = F.col("n") - F.col("mu")
+    groups = (
+        join_small(counts, means, "grupo")
+        .groupBy("grupo", "mu")
+        .agg(F.sum(gap * gap).alias("present"), F.count(F.lit(1)).alias("m"))
+        .withColumn("sigma", F.sqrt((F.col("present") + (t - F.col("m")) * F.col("mu") * F.col("mu")) / t))
     )
-    sigma = F.sqrt(F.greatest(F.col("sq") - F.col("mu") * F.col("mu"), F.lit(0.0)))
     shift = F.col("mu") if center == "raw_mean" else F.lit(0.0)
-    groups = groups.withColumn("sigma", sigma).select(
+    groups = groups.select(
         "grupo",
         "mu",
         F.when(F.col("sigma") > 0, F.col("sigma")).otherwise(1.0).alias("unit"),

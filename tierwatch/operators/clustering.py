@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
@@ -19,6 +19,9 @@ from tierwatch.functions.names import quoted
 from tierwatch.functions.vectors import nearest, own_center_distance
 from tierwatch.operators.cleaning import distinct_values
 
+# Passes after which a fit ends even if its centers still move.
+MAX_ITER = 300
+
 
 @dataclass(frozen=True)
 class Centers:
@@ -87,13 +90,15 @@ def kmeans_fit(
     seed: int = 42,
     key: str | None = None,
     init_centers: Centers | None = None,
-    max_iter: int = 20,
+    max_iter: int = MAX_ITER,
     distance: str = "euclidean",
+    restarts: int = 1,
 ) -> tuple[Centers, DataFrame]:
     """Fit k-means and label the rows with `prediction`.
 
-    With `init_centers` the iterations start there. Otherwise the start is drawn by seed,
-    and with a record key it does not depend on the partitioning. `distance="cosine"` groups
+    With `init_centers` the iterations start there. Otherwise the starts are drawn from all rows
+    by seed and by the values of the rows, so that neither the partitioning nor `key` matters; of
+    `restarts` fits the one with the least squared distances is taken. `distance="cosine"` groups
     by direction; its rows are labelled by the model itself.
     """
     if distance != "euclidean":
@@ -101,8 +106,10 @@ def kmeans_fit(
     if init_centers is not None:
         centers = lloyd_sweep(df, {0: init_centers}, max_iter)[0]
     else:
-        start = Centers.given(cols, spread_points(seed_rows(df, cols, seed, key), k, seed))
-        centers = lloyd_sweep(df, {0: start}, max_iter)[0].canonical()
+        drawn = draw_candidates(df, {0: cols}, k, seed)[0]
+        starts = {r: Centers.given(cols, spread_points(*drawn, k, seed + r)) for r in range(restarts)}
+        fitted = lloyd_sweep(df, starts, max_iter)
+        centers = fitted[_tightest(df, fitted)].canonical()
     return centers, assign_nearest(df, centers)
 
 
@@ -173,6 +180,7 @@ class BestK:
     centers: Centers
     trace: DataFrame
     exhausted: bool
+    converged: bool = True
 
 
 def best_k(
@@ -182,14 +190,15 @@ def best_k(
     patience: int = 3,
     seed: int = 42,
     key: str | None = None,
-    max_iter: int = 20,
+    max_iter: int = MAX_ITER,
+    restarts: int = 1,
 ) -> BestK:
     """Try k = 2 .. max_k - 1 and keep the highest squared-distance silhouette.
 
-    `exhausted` tells that the data had no further clusters. If no score is positive,
-    k = 2 is used.
+    `exhausted` tells that the table has no further distinct rows to cluster. If no score is
+    positive, k = 2 is used.
     """
-    return best_ks(df, {0: cols}, max_k, patience, seed, key, max_iter)[0]
+    return best_ks(df, {0: cols}, max_k, patience, seed, key, max_iter, restarts)[0]
 
 
 def best_ks(
@@ -199,30 +208,35 @@ def best_ks(
     patience: int = 3,
     seed: int = 42,
     key: str | None = None,
-    max_iter: int = 20,
+    max_iter: int = MAX_ITER,
+    restarts: int = 1,
 ) -> dict[int, BestK]:
     """`best_k` for several groups of columns at once.
 
-    Every k of every group is fitted side by side, so that a pass over the rows serves all
-    of them: about `max_iter` passes in total. The stopping rule is then applied to the
-    scores in order. With a record key the result does not depend on the partitioning.
+    Every k of every group, and every restart, is fitted side by side, so that a pass over the
+    rows serves all of them; a fit that no longer moves is left out of later passes. The stopping
+    rule is then applied to the scores in order. The result depends on the values of the rows only.
     """
-    cols = list(dict.fromkeys(c for g in groups.values() for c in g))
-    sample = seed_rows(df, cols, seed, key)
-    starts: dict[tuple[int, int], Centers] = {}
+    candidates = draw_candidates(df, groups, max(1, max_k - 1), seed)
+    starts: dict[tuple[int, int, int], Centers] = {}
     for g, members in groups.items():
-        rows = sample[:, [cols.index(c) for c in members]]
         for k in range(1, max(2, max_k)):
-            points = spread_points(rows, k, seed)
-            if len(points) < k:
-                break
-            starts[g, k] = Centers.given(members, points)
-    fitted = lloyd_sweep(df, starts, max_iter)
+            for r in range(restarts if k > 1 else 1):
+                points = spread_points(*candidates[g], k, seed + r)
+                if len(points) == k:
+                    starts[g, k, r] = Centers.given(members, points)
+    converged: dict = {}
+    every = lloyd_sweep(df, starts, max_iter, converged=converged)
+    fitted, settled = {}, {}
+    inertia = _inertia(df, every) if restarts > 1 else {}
+    for g, k in dict.fromkeys((g, k) for g, k, _ in every):
+        r = min((r for own, n, r in every if (own, n) == (g, k)), key=lambda r: (inertia.get((g, k, r), 0.0), r))
+        fitted[g, k], settled[g, k] = every[g, k, r], converged[g, k, r]
     scores = silhouette_sweep(df, {i: c for i, c in fitted.items() if i[1] > 1})
     chosen = {}
     for g in groups:
         sweep = KSweep.replay([(k, s) for (own, k), s in scores.items() if own == g], patience)
-        tried = max(k for own, k in starts if own == g)
+        tried = max(k for own, k in fitted if own == g)
         winner = sweep.k or min(2, tried)
         chosen[g] = BestK(
             winner,
@@ -230,41 +244,127 @@ def best_ks(
             fitted[g, winner].canonical(),
             sweep.table(df.sparkSession),
             tried < max_k - 1 and not sweep.stopped,
+            settled[g, winner],
         )
     return chosen
 
 
-# Rows looked at to place the first centers; the fit itself uses all rows.
-SEED_ROWS = 5_000
+# Passes that look for starts, and rows that each pass brings for every center wanted.
+DRAW_PASSES = 5
+DRAW_FACTOR = 2
 
 
-def seed_rows(df: DataFrame, cols: Sequence[str], seed: int, key: str | None = None) -> np.ndarray:
-    """About SEED_ROWS rows picked by a hash of the key (or at random without one)."""
-    share = max(1, df.count() // SEED_ROWS)
-    if share > 1:
-        pick = (
-            F.rand(seed) * share < 1
-            if key is None
-            else F.pmod(F.xxhash64(F.col(quoted(key)), F.lit(seed)), F.lit(share)) == 0
-        )
-        df = df.filter(pick)
-    rows = df.select(*[quoted(c) for c in cols]).limit(4 * SEED_ROWS).toArrow()
-    points = np.column_stack([rows.column(i).to_numpy() for i in range(len(cols))]).astype("float64")
-    return points[np.lexsort(points.T[::-1])]
+def draw_candidates(
+    df: DataFrame, groups: Mapping[Hashable, Sequence[str]], k: int, seed: int
+) -> dict[Hashable, tuple[np.ndarray, np.ndarray]]:
+    """Points from which k starting centers can be chosen, with the number of rows closest to each.
 
+    Each pass over all rows brings up to `DRAW_FACTOR * k` distinct rows, drawn with odds by the
+    squared distance to those drawn before: the rows with the smallest `-log(u) / d2`, where u is a
+    hash of seed, pass and the row's values. Equal rows have equal draws, so neither the partitioning
+    nor the number of copies decides, and rows far from all others are found however rare they are. If
+    a pass finds no row at a distance, all distinct rows are candidates. A task sends on at most the
+    rows that a pass may bring.
+    """
+    found: dict[Hashable, np.ndarray] = {g: np.zeros((0, len(cols))) for g, cols in groups.items()}
+    ids, names = list(groups), list(dict.fromkeys(c for cols in groups.values() for c in cols))
+    places = [[names.index(c) for c in groups[g]] for g in ids]
+    wanted = DRAW_FACTOR * k
+    growing = set(ids)
+    for nth in range(DRAW_PASSES):
+        known = [found[g] if g in growing else None for g in ids]
+
+        def draw(batches, known=known, nth=nth):
+            best: dict[int, dict[float, list[float]]] = {g: {} for g in range(len(known))}
+            for batch in batches:
+                everything = _matrix(batch)
+                for g, (at, points) in enumerate(zip(places, known, strict=True)):
+                    if points is None or not len(everything):
+                        continue
+                    rows = everything[:, at] + 0.0
+                    gap = np.ones(len(rows))
+                    if len(points):
+                        gap = ((rows - points[_closest(rows, points)]) ** 2).sum(axis=1)
+                    far = np.flatnonzero(gap > 0)
+                    order = -np.log(_uniform(rows[far], seed * 31 + nth)) / gap[far]
+                    order, first = np.unique(order, return_index=True)
+                    best[g].update(zip(order[:wanted].tolist(), rows[far[first[:wanted]]].tolist()))
+                    best[g] = dict(sorted(best[g].items())[:wanted])
+            rows = [(g, o, v) for g, own in best.items() for o, v in own.items()]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([r[0] for r in rows], pa.int32()),
+                    pa.array([r[1] for r in rows], pa.float64()),
+                    pa.array([r[2] for r in rows], pa.list_(pa.float64())),
+                ],
+                ["g", "o", "v"],
+            )
+
+        drawn = df.select(*[quoted(c) for c in names]).mapInArrow(draw, "g int, o double, v array<double>").distinct()
+        least = Window.partitionBy("g").orderBy("o", "v")
+        rows = drawn.withColumn("nth", F.row_number().over(least)).filter(F.col("nth") <= wanted).collect()
+        for i, g in enumerate(ids):
+            new = [r["v"] for r in rows if r["g"] == i]
+            if new:
+                found[g] = np.concatenate([found[g], np.array(new)])
+            else:
+                growing.discard(g)
+        if not growing:
+            break
+    models = {g: Centers.given(groups[g], points) for g, points in found.items() if len(points)}
+    sizes = cluster_sums(df, models) if models else {}
+    out = {}
+    for g, points in found.items():
+        order = np.lexsort(points.T[::-1]) if len(points) else np.zeros(0, int)
+        weight = np.array([sizes.get((g, i), (0.0,))[0] for i in range(len(points))])
+        out[g] = points[order], weight[order]
+    return out
 
-def spread_points(rows: np.ndarray, k: int, seed: int) -> list[list[float]]:
-    """Starting centers that lie apart: each is drawn with odds given by its squared distance
-    to those drawn before. Fewer than k come back if there are fewer distinct rows."""
+
+def _uniform(rows: np.ndarray, seed: int) -> np.ndarray:
+    """A number in (0, 1) for each row, from its values alone."""
+    state = np.full(len(rows), (seed * 0x9E3779B97F4A7C15 + 1) % (1 << 64), np.uint64)
+    for column in np.ascontiguousarray(rows.T):
+        state ^= column.view(np.uint64)
+        state ^= state >> np.uint64(30)
+        state *= np.uint64(0xBF58476D1CE4E5B9)
+        state ^= state >> np.uint64(27)
+        state *= np.uint64(0x94D049BB133111EB)
+        state ^= state >> np.uint64(31)
+    return (state >> np.uint64(11)).astype("float64") / (1 << 53) + 1.0 / (1 << 54)
+
+
+def spread_points(rows: np.ndarray, weight: np.ndarray, k: int, seed: int) -> list[list[float]]:
+    """Starting centers that lie apart: each is drawn with odds by its weight and its squared
+    distance to those drawn before. Fewer than k come back if there are fewer distinct rows."""
+    if not len(rows):
+        return []
     draw = np.random.default_rng(seed)
-    chosen = [rows[draw.integers(len(rows))]]
+    weight = np.maximum(weight, 1.0)
+    chosen = [rows[draw.choice(len(rows), p=weight / weight.sum())]]
     gap = ((rows - chosen[0]) ** 2).sum(axis=1)
     while len(chosen) < k and gap.sum() > 0:
-        chosen.append(rows[draw.choice(len(rows), p=gap / gap.sum())])
+        odds = weight * gap
+        chosen.append(rows[draw.choice(len(rows), p=odds / odds.sum())])
         gap = np.minimum(gap, ((rows - chosen[-1]) ** 2).sum(axis=1))
     return [p.tolist() for p in chosen]
 
 
+def _inertia(df: DataFrame, models: Mapping[Hashable, Centers]) -> dict[Hashable, float]:
+    """The sum of squared distances of the rows to the means of their clusters."""
+    out = dict.fromkeys(models, 0.0)
+    for (i, _), (n, q, sums) in cluster_sums(df, models).items():
+        out[i] += q - sum(s * s for s in sums) / n
+    return out
+
+
+def _tightest(df: DataFrame, models: Mapping[Hashable, Centers]) -> Hashable:
+    if len(models) == 1:
+        return next(iter(models))
+    inertia = _inertia(df, models)
+    return min(inertia, key=lambda i: (inertia[i], i))
+
+
 def _layout(models: Mapping[Hashable, Centers]) -> tuple[list[str], list[tuple[list[int], np.ndarray]]]:
     """The columns to read, and each model's column positions and center matrix."""
     cols = list(dict.fromkeys(c for m in models.values() for c in m.cols))
@@ -312,18 +412,27 @@ def cluster_sums(df: DataFrame, models: Mapping[Hashable, Centers]) -> dict:
         .agg(*[F.sum(n).alias(n) for n in names[2:]])
         .filter(F.col("n") > 0)
     )
-    return {
+    out = {
         (ids[r["m"]], r["c"]): (r["n"], r["q"], [r[f"s{i}"] for i in range(len(models[ids[r["m"]]].cols))])
         for r in sums.collect()
     }
+    missing = {models[i].cols[j] for (i, _), (_, _, s) in out.items() for j, v in enumerate(s) if math.isnan(v)}
+    if missing:
+        raise ValueError(f"missing values in {', '.join(sorted(missing))}: fill them before clustering")
+    return out
 
 
 def lloyd_sweep(
-    df: DataFrame, starts: Mapping[Hashable, Centers], max_iter: int = 20, tol: float = 1e-4
+    df: DataFrame,
+    starts: Mapping[Hashable, Centers],
+    max_iter: int = MAX_ITER,
+    tol: float = 1e-4,
+    converged: dict | None = None,
 ) -> dict[Hashable, Centers]:
     """Move several sets of centers to the means of their rows, all in the same passes.
 
-    A center that attracts no row stays; a set that no longer moves is left out of later passes.
+    A center that attracts no row stays. A set is left out of later passes once the squares of its
+    moves add up to at most `tol` times the mean variance of its columns. `converged`, if given, tells for each set whether that happened within `max_iter` passes.
     """
     fitted = dict(starts)
     moving = dict(starts)
@@ -331,14 +440,21 @@ def lloyd_sweep(
         if not moving:
             break
         points = {i: list(m.points) for i, m in moving.items()}
-        for (i, c), (n, _, sums) in cluster_sums(df, moving).items():
+        totals: dict = {}
+        for (i, c), (n, q, sums) in cluster_sums(df, moving).items():
             points[i][c] = tuple(s / n for s in sums)
+            rows, norm, whole = totals.get(i, (0.0, 0.0, [0.0] * len(sums)))
+            totals[i] = (rows + n, norm + q, [a + b for a, b in zip(whole, sums, strict=True)])
         for i, before in list(moving.items()):
             fitted[i] = Centers.given(before.cols, points[i])
-            if max(math.dist(a, b) for a, b in zip(before.points, fitted[i].points, strict=True)) <= tol:
+            rows, norm, whole = totals.get(i, (1.0, 0.0, [0.0]))
+            variance = max(norm / rows - sum((s / rows) ** 2 for s in whole), 0.0) / len(whole)
+            if sum(math.dist(a, b) ** 2 for a, b in zip(before.points, fitted[i].points, strict=True)) <= tol * variance:
                 del moving[i]
             else:
                 moving[i] = fitted[i]
+    if converged is not None:
+        converged.update({i: i not in moving for i in starts})
     return fitted
 
 

@@ -27,11 +27,24 @@ def _nlogn(n: Column) -> Column:
     return F.when(n > 0, n * F.log2(n)).otherwise(F.lit(0.0))
 
 
-def _symbols(df: DataFrame, cols: Sequence[str]) -> dict[str, Column]:
-    """Columns as comparable symbols: doubles when all are numeric, strings otherwise."""
-    kinds = {df.schema[c].dataType.typeName() for c in cols}
-    target = "string" if kinds - {"double", "float", "integer", "long", "short", "byte"} else "double"
-    return {c: F.col(quoted(c)).cast(target) for c in cols}
+# Types whose values a double holds exactly.
+_EXACT = {"double", "float", "integer", "short", "byte"}
+
+
+def _kind(df: DataFrame, names: Sequence[str]) -> str:
+    """The common type of symbols: double if that keeps all values apart, else string."""
+    return "double" if {df.schema[c].dataType.typeName() for c in names} <= _EXACT else "string"
+
+
+def _symbols(df: DataFrame, cols: Sequence[str], kind: str | None = None) -> dict[str, Column]:
+    """Columns as comparable symbols. Values that differ stay apart, and 0.0 equals -0.0."""
+    out = {}
+    for c in cols:
+        column = F.col(quoted(c))
+        if df.schema[c].dataType.typeName() in ("double", "float"):
+            column = column.cast("double") + F.lit(0.0)
+        out[c] = column.cast(kind or _kind(df, cols))
+    return out
 
 
 def discretize(df: DataFrame, cols: Sequence[str], bins: int, error: float = 0.001) -> DataFrame:
@@ -140,11 +153,6 @@ def entropies(df: DataFrame, groups: Sequence[tuple[str, ...]]) -> dict[tuple[st
     return {groups[r["g"]]: math.log2(r["total"]) - r["f"] / r["total"] for r in sums}
 
 
-def _kind(df: DataFrame, names: Sequence[str]) -> str:
-    kinds = {df.schema[c].dataType.typeName() for c in names}
-    return "string" if kinds - {"double", "float", "integer", "long", "short", "byte"} else "double"
-
-
 def pairwise_su(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """`(variable, other, su)` for every unordered pair of columns."""
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
@@ -258,11 +266,11 @@ def gbt_importance(
     label: str,
     cols: Sequence[str],
     seed: int = 0,
-    max_iter: int = 20,
+    max_iter: int = 100,
     max_depth: int = 3,
     floor: float = 1e-4,
 ) -> DataFrame:
-    """Boosted-tree importance of each variable for a cluster label.
+    """Boosted-tree importance of each variable for a cluster label, after `max_iter` rounds.
 
     Spark boosts two classes only, so each cluster is set against the rest and the
     importances are averaged.

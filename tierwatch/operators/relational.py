@@ -49,6 +49,13 @@ def check_key(df: DataFrame, key: str, approximate: bool = False) -> DataFrame:
     return counts.withColumn("n_repeated", F.col("n_rows") - F.col("n_keys"))
 
 
+def require_unique(df: DataFrame, key: str) -> None:
+    """Raise if a record key repeats: joins by it would multiply rows."""
+    found = check_key(df, key).first()
+    if found["n_repeated"]:
+        raise ValueError(f"{key} repeats: {found['n_rows']} rows, {found['n_keys']} keys")
+
+
 def col_means(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.agg(*[F.avg(quoted(c)).alias(c) for c in cols])
 

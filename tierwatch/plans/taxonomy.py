@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tierwatch.functions.names import numeric, quoted
 from tierwatch.functions.shared import stage
 from tierwatch.functions.vectors import nearest
-from tierwatch.operators.clustering import Centers, best_ks, kmeans_fit, ward_groups
+from tierwatch.operators.clustering import MAX_ITER, Centers, best_ks, kmeans_fit, ward_groups
 from tierwatch.operators.components import pca_variance
 from tierwatch.operators.ordering import recode_levels
 from tierwatch.operators.ranking import (
@@ -21,7 +21,7 @@ from tierwatch.operators.ranking import (
     rf_importance,
     su_importance,
 )
-from tierwatch.operators.relational import attach_levels
+from tierwatch.operators.relational import attach_levels, require_unique
 from tierwatch.operators.scaling import Scaler, cluster_scalers
 
 # Score given to a group whose cumulative variances sum to 1 at most.
@@ -52,6 +52,9 @@ class Level:
     scaler: Scaler
     centers: Centers
     cluster_scalers: tuple[tuple[int, str, float, float], ...] = ()
+    score: float | None = None  # silhouette of the chosen k
+    exhausted: bool | None = None  # no further distinct rows to cluster
+    converged: bool | None = None
 
     @property
     def variables(self) -> tuple[str, ...]:
@@ -75,7 +78,7 @@ def _with_cluster_scalers(df: DataFrame, level: Level) -> Level:
     )
     rows = cluster_scalers(labelled, "prediction", cols).collect()
     stats = tuple(sorted((r["cluster"], r["variable"], r["mean"], r["std"]) for r in rows))
-    return Level(level.number, level.scaler, level.centers, stats)
+    return replace(level, cluster_scalers=stats)
 
 
 def fit_levels(
@@ -85,6 +88,8 @@ def fit_levels(
     max_k: int = 15,
     patience: int = 3,
     seed: int = 42,
+    max_iter: int = MAX_ITER,
+    restarts: int = 1,
 ) -> list[Level]:
     """One model per level of a `(variable, cluster, Nivel)` table, all fitted in the same passes."""
     members: dict[int, list[str]] = {}
@@ -93,9 +98,20 @@ def fit_levels(
     cols = [c for vs in members.values() for c in vs]
     scaler = Scaler.fit(df, cols)
     scaled = df.select(*([quoted(key)] if key else []), *[scaler.z(c).alias(c) for c in cols])
-    best = best_ks(scaled, members, max_k, patience, seed, key)
+    best = best_ks(scaled, members, max_k, patience, seed, key, max_iter, restarts)
     return [
-        _with_cluster_scalers(df, Level(n, scaler.only(members[n]), best[n].centers)) for n in sorted(members)
+        _with_cluster_scalers(
+            df,
+            Level(
+                n,
+                scaler.only(members[n]),
+                best[n].centers,
+                score=best[n].score,
+                exhausted=best[n].exhausted,
+                converged=best[n].converged,
+            ),
+        )
+        for n in sorted(members)
     ]
 
 
@@ -120,19 +136,26 @@ class Taxonomy:
         ranker: str = "gbt",
         grouping: str = "ward",
         bins: int | None = None,
+        max_iter: int = MAX_ITER,
+        restarts: int = 1,
+        check: bool = True,
     ) -> Taxonomy:
         """Learn the levels of the numeric variables of an imputed table.
 
-        `ranker` is "gbt", "rf" (fewer passes over the data) or "su".
+        `ranker` is "gbt", "rf" (fewer passes over the data) or "su". With `check`, a key that
+        repeats is refused.
         """
         names = list(cols) if cols is not None else numeric(df, exclude=[key, ts or key])
         data = stage(df.select(key, *[F.col(quoted(c)).cast("double").alias(c) for c in names]), "features", spread=True)
+        if check:
+            require_unique(data, key)
         scaler = Scaler.fit(data, names)
         scaled = data.select(key, *[scaler.z(c).alias(c) for c in names])
-        centers, _ = kmeans_fit(scaled, names, clusters, seed, key)
+        centers, _ = kmeans_fit(scaled, names, clusters, seed, key, max_iter=max_iter, restarts=restarts)
         z = [scaler.z(c) for c in names]
         labelled = data.withColumn("prediction", nearest(z, centers.points))
-        ranked = RANKERS[ranker](labelled, "prediction", names)
+        seeded = {} if ranker == "su" else {"seed": seed}
+        ranked = RANKERS[ranker](labelled, "prediction", names, **seeded)
         chosen = [r["variable"] for r in ranked.orderBy(F.desc("importance_norm"), "variable").limit(top).collect()]
         weights = stage(cluster_weights(labelled, "prediction", chosen, range(centers.k), bins), "weights")
         profiles = [c for c in weights.columns if c != "variable"]
@@ -144,7 +167,7 @@ class Taxonomy:
             by_group.setdefault(r["cluster"], []).append(r["variable"])
         levels = variable_levels(pca_variance(data, by_group), grouped)
         membership = {r["variable"]: r["cluster"] for r in grouped.collect()}
-        return cls(tuple(fit_levels(data, levels, key, max_k, patience, seed)), membership)
+        return cls(tuple(fit_levels(data, levels, key, max_k, patience, seed, max_iter, restarts)), membership)
 
     @classmethod
     def given(cls, df: DataFrame, levels: Sequence[tuple[int, Sequence[str], Centers]]) -> Taxonomy:

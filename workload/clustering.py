@@ -36,10 +36,10 @@ def _embeddings(spark, sf_dir):
 
 
 @query(
-    "SELECT vec_id, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS e_{i}" for i in range(8)) + " FROM embeddings"
+    "SELECT vec_id, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS e_{i}" for i in range(DIM)) + " FROM embeddings"
 )
 def vector_to_columns(spark, sf_dir):
-    return _embeddings(spark, sf_dir).select("vec_id", *E[:8])
+    return _embeddings(spark, sf_dir).select("vec_id", *E)
 
 
 _EMB = """v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
@@ -156,20 +156,39 @@ def kmeans_centers_given_start(spark, sf_dir):
 def kmeans_seeded(spark, sf_dir):
     scaled = stage(scaled_profile(spark, sf_dir).select("rec_id", *VARS), "kmeans", spread=True)
     _, labelled = op.kmeans_fit(scaled, VARS, 5, key="rec_id")
-    return labelled.groupBy("prediction").agg(F.count(F.lit(1)).alias("n"))
+    return labelled.select("rec_id", "prediction")
+
+
+@query("SELECT COUNT(*) AS n_rows, 5 AS n_clusters, CAST(0 AS BIGINT) AS n_not_nearest, CAST(0 AS DOUBLE) AS farthest_mean FROM orders")
+def kmeans_invariants(spark, sf_dir):
+    """What holds for any finished fit: rows are with their nearest center, centers are means of their rows."""
+    scaled = stage(scaled_profile(spark, sf_dir).select("rec_id", *VARS), "kmeans", spread=True)
+    centers, labelled = op.kmeans_fit(scaled, VARS, 5)
+    labelled = stage(labelled, "fitted")
+    gaps = F.array(*[sum(((F.col(v) - F.lit(x)) ** 2 for v, x in zip(VARS, p)), F.lit(0.0)) for p in centers.points])
+    own = F.get(gaps, F.col("prediction"))
+    moved = [F.abs(F.avg(v) - F.get(F.array(*[F.lit(p[i]) for p in centers.points]), F.first("prediction"))) for i, v in enumerate(VARS)]
+    far = labelled.groupBy("prediction").agg(F.greatest(*moved).alias("far"))
+    wrong = labelled.groupBy("prediction").agg(F.count(F.lit(1)).alias("n"), F.count_if(own > F.array_min(gaps) + 1e-9).alias("wrong"))
+    return wrong.join(far, "prediction").agg(
+        F.sum("n").alias("n_rows"),
+        F.count(F.lit(1)).cast("int").alias("n_clusters"),
+        F.sum("wrong").alias("n_not_nearest"),
+        (F.round(F.max("far"), 2) + F.lit(0.0)).alias("farthest_mean"),
+    )
 
 
 @query()
 def kmeans_cosine(spark, sf_dir):
     vectors = _embeddings(spark, sf_dir)
     _, labelled = op.kmeans_fit(vectors, E, 5, distance="cosine")
-    return labelled.groupBy("prediction").agg(F.count(F.lit(1)).alias("n"))
+    return labelled.select("vec_id", "prediction")
 
 
 @query()
 def best_k_sweep(spark, sf_dir):
-    scaled = stage(scaled_profile(spark, sf_dir).select("rec_id", *LLOYD_VARS), "sweep", spread=True)
-    return op.best_k(scaled, LLOYD_VARS, key="rec_id").trace
+    scaled = stage(scaled_profile(spark, sf_dir).select("rec_id", *VARS), "sweep", spread=True)
+    return op.best_k(scaled, VARS, key="rec_id").trace
 
 
 _LONG_WEIGHTS = (
@@ -210,7 +229,7 @@ def ward_variable_groups(spark, sf_dir):
 
 @query()
 def bisecting_variable_groups(spark, sf_dir):
-    return op.bisecting_sweep(_weights(spark, sf_dir), range(2, 5))
+    return op.bisecting_sweep(_weights(spark, sf_dir), range(2, 8))
 
 
 # Groups of at most two variables, whose components have the shares (1 + |r|) / 2 and (1 - |r|) / 2.
@@ -270,17 +289,22 @@ def component_scores(spark, sf_dir):
     return pca_project(scaled_profile(spark, sf_dir), VARS, 3, keep=["rec_id"])
 
 
-@query()
+@query(with_(CLEAN, "SELECT rec_id, " + ", ".join(f"{v} AS x_{i}" for i, v in enumerate(VARS)) + " FROM clean"))
 def assembled_vectors(spark, sf_dir):
     vectors = op.assemble(clean_profile(spark, sf_dir), exclude=["rec_id", "ts", "pri", "st"])
     return vector_columns(vectors.select("rec_id", "features"), "features", len(VARS), "x_")
 
 
+def level_members(spark):
+    """All variables on the levels of their groups."""
+    rows = [(v, g, g) for g, vs in GROUPS.items() for v in vs] + [("v_qty_max", 0, 0), ("v_price_max", 0, 0)]
+    return spark.createDataFrame(rows, "variable string, cluster int, Nivel int")
+
+
 @query()
 def level_models(spark, sf_dir):
     clean = clean_profile(spark, sf_dir)
-    members = spark.createDataFrame([("v_qty", 0, 0), ("v_price", 0, 0), ("v_disc", 1, 1)], "variable string, cluster int, Nivel int")
-    levels = fit_levels(clean, members, "rec_id")
+    levels = fit_levels(clean, level_members(spark), "rec_id")
     return Taxonomy(tuple(levels), {}).tables(spark)["centers"]
 
 

@@ -8,6 +8,7 @@ from tierwatch.operators.clustering import centroid_distance, group_means
 from tierwatch.operators.ordering import recode_levels
 from tierwatch.operators.scaling import zscore
 from tierwatch.plans.detection import detect
+from workload.clustering import level_members
 from workload.common import (
     CLEAN,
     SCALED,
@@ -229,8 +230,7 @@ def detect_time_points(spark, sf_dir):
 @query()
 def detect_refitted(spark, sf_dir):
     clean = clean_profile(spark, sf_dir)
-    levels = spark.createDataFrame([("v_qty", 0, 0), ("v_price", 0, 0), ("v_disc", 1, 1)], "variable string, cluster int, Nivel int")
-    return detect(clean, "rec_id", levels=levels, ts="ts").rows
+    return detect(clean, "rec_id", levels=level_members(spark), ts="ts").rows
 
 
 @query(

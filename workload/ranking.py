@@ -36,6 +36,25 @@ def symmetrical_uncertainty_many_labels(spark, sf_dir):
     return rounded(op.symmetrical_uncertainty(lines, "l_suppkey", SU_VARS), "su")
 
 
+# Keys shifted to where a double no longer holds every integer.
+_LARGE = "(SELECT *, CAST(l_orderkey AS BIGINT) + 1152921504606846976 AS big_key FROM lineitem)"
+
+
+@query(f"SELECT variable, {r6('su')} FROM ({su_sql(LABEL, ('big_key', 'l_quantity'), _LARGE)}) WHERE su > 0")
+def symmetrical_uncertainty_large_keys(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").withColumn("big_key", F.col("l_orderkey") + F.lit(1 << 60))
+    return rounded(op.symmetrical_uncertainty(lines, LABEL, ("big_key", "l_quantity")), "su")
+
+
+_TEXT_LABEL = "(SELECT *, 's' || CAST(l_suppkey AS VARCHAR) AS supp FROM lineitem)"
+
+
+@query(f"SELECT variable, {r6('su')} FROM ({su_sql('supp', SU_VARS, _TEXT_LABEL)}) WHERE su > 0")
+def symmetrical_uncertainty_string_label(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").withColumn("supp", F.concat(F.lit("s"), F.col("l_suppkey")))
+    return rounded(op.symmetrical_uncertainty(lines, "supp", SU_VARS), "su")
+
+
 @query(
     f"WITH s AS ({su_sql(LABEL)}) SELECT variable, {r6('su', 'valor')}, "
     f"{r6('su / (SELECT MAX(su) FROM s)', 'importance_norm')} FROM s WHERE su > 0"
@@ -169,7 +188,7 @@ def discriminating_variables(spark, sf_dir):
 
 @query()
 def boosted_importance(spark, sf_dir):
-    return op.gbt_importance(_labelled(spark, sf_dir), "st", VARS, max_iter=5)
+    return op.gbt_importance(_labelled(spark, sf_dir), "st", VARS)
 
 
 @query()
