@@ -322,10 +322,14 @@ def draw_candidates(
 
 
 def _uniform(rows: np.ndarray, seed: int) -> np.ndarray:
-    """A number in (0, 1) for each row, from its values alone."""
+    """A number in (0, 1) for each row, from its values alone.
+
+    Values are taken in single precision, since scaling by sums that were added in another order
+    changes the last digits of a double.
+    """
     state = np.full(len(rows), (seed * 0x9E3779B97F4A7C15 + 1) % (1 << 64), np.uint64)
-    for column in np.ascontiguousarray(rows.T):
-        state ^= column.view(np.uint64)
+    for column in np.ascontiguousarray(rows.T.astype("float32")):
+        state ^= column.view(np.uint32).astype(np.uint64)
         state ^= state >> np.uint64(30)
         state *= np.uint64(0xBF58476D1CE4E5B9)
         state ^= state >> np.uint64(27)

@@ -212,6 +212,10 @@ class Taxonomy:
             "cluster_scalers": spark.createDataFrame(
                 per_cluster, "level int, cluster int, variable string, mean double, std double"
             ),
+            "diagnostics": spark.createDataFrame(
+                [(lv.number, lv.score, lv.exhausted, lv.converged) for lv in self.levels],
+                "level int, score double, exhausted boolean, converged boolean",
+            ),
         }
 
     def save(self, path: str, spark: SparkSession | None = None) -> None:
@@ -224,14 +228,20 @@ class Taxonomy:
         """The stored tables hold one row per variable or per center coordinate."""
         read = {
             name: spark.read.parquet(f"{path}/{name}").collect()
-            for name in ("level_variables", "scalers", "centers", "cluster_scalers")
+            for name in ("level_variables", "scalers", "centers", "cluster_scalers", "diagnostics")
         }
         levels = []
         for number in sorted({r["level"] for r in read["scalers"]}):
             mine = {name: [r for r in rows if r["level"] == number] for name, rows in read.items() if name != "level_variables"}
             stats = tuple(sorted((r["cluster"], r["variable"], r["mean"], r["std"]) for r in mine["cluster_scalers"]))
             levels.append(
-                Level(number, Scaler.from_rows(mine["scalers"]), Centers.from_rows(mine["centers"]), stats)
+                Level(
+                    number,
+                    Scaler.from_rows(mine["scalers"]),
+                    Centers.from_rows(mine["centers"]),
+                    stats,
+                    **{k: mine["diagnostics"][0][k] for k in ("score", "exhausted", "converged")},
+                )
             )
         groups = {r["variable"]: r["cluster"] for r in read["level_variables"]}
         return cls(tuple(levels), groups)
