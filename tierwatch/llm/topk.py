@@ -39,9 +39,9 @@ def quantised(vectors: DataFrame, scale: float = 64.0) -> DataFrame:
     return rows.groupBy("vec_id").agg(F.min("cells").alias("cells"))
 
 
-def _matrix(table: pa.Table) -> np.ndarray:
+def _matrix(cells: pa.ChunkedArray) -> np.ndarray:
     """Vectors as rows; shorter ones are filled up with zeros."""
-    lists = table.column("cells").combine_chunks()
+    lists = cells.combine_chunks()
     lengths = np.diff(lists.offsets.to_numpy())
     width = int(lengths.max()) if len(lengths) else 0
     out = np.zeros((len(lengths), width))
@@ -71,16 +71,19 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, fan: int = FAN
     spread = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = queries.withColumn("tile", spread(tiles)).withColumn("shard", every(shards))
-    right = candidates.withColumn("shard", spread(shards)).withColumn("tile", every(tiles))
+    # New names, since both tables may be parts of one, whose columns a plan would take for the same.
+    right = candidates.withColumn("shard", spread(shards)).select(
+        F.col("vec_id").alias("other_id"), F.col("cells").alias("other_cells"), "shard", every(tiles).alias("tile")
+    )
 
     def best(key, q, c):
         names = ["query_id", "shard", "vec_id", "score"]
         if not q.num_rows or not c.num_rows:
             return pa.table([pa.array([], t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64())], names)
-        q_ids, c_ids = (t.column("vec_id").to_numpy() for t in (q, c))
+        q_ids, c_ids = q.column("vec_id").to_numpy(), c.column("other_id").to_numpy()
         order = np.argsort(c_ids)
         c_ids = c_ids[order]
-        c_matrix, q_matrix = _matrix(c)[order], _matrix(q)
+        c_matrix, q_matrix = _matrix(c.column("other_cells"))[order], _matrix(q.column("cells"))
         out = []
         for first in range(0, len(q_ids), 256):
             own = q_ids[first : first + 256]
