@@ -78,6 +78,7 @@ TEXTS = [
     (6, "clean text, 123 and v1.2.3, 2024-01-02"),
     (2, "SSN 123-45-6789 UND.34@MAIL7.EXAMPLE.COM!!"),
     (None, "a@b.de c@d.de"),
+    (7, "IBAN GB29 NWBK 6016 1331 9268 19 or GB29NWBK60161331926819, not NU20 GAMMA17 UPSILON88 RHO3"),
 ]
 
 
@@ -103,6 +104,12 @@ def test_surrogates_of_persons_keep_titles_and_identity(replaced):
     assert sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits)) % 10 == 0
 
 
+def test_surrogates_of_accounts_keep_country_and_grouping(replaced):
+    seven = replaced[7, 2]
+    m = re.fullmatch(r"IBAN (GB\d\d [A-Z]{4} \d{4} \d{4} \d{4} \d\d) or (GB\d\d[A-Z]{4}\d{14}), not NU20 GAMMA17 UPSILON88 RHO3", seven)
+    assert m and m[1].replace(" ", "") == m[2] != "GB29NWBK60161331926819"
+
+
 def test_surrogates_leave_the_rest_alone(replaced):
     assert replaced[3, 0] is None and replaced[4, 0] == "" and replaced[6, 0] == TEXTS[5][1]
     five = replaced[5, 2]

@@ -44,7 +44,7 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _NAME = r"\p{Lu}[\p{Ll}\p{M}]++(?:-\p{Lu}\p{Ll}++)?"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)*+(?<=\.\p{L}{2,24})",
-    "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
+    "iban": r"\b(?=[A-Z]{2}(?:[A-Z ]{0,6}\d){10})[A-Z]{2}\d{2}(?:(?: [A-Z0-9]{4}){3,7}(?: [A-Z0-9]{1,3})?|[A-Z0-9]{11,30})\b",
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\d)"
     r"|(?<!\d)\(\d{3}\) ?\d{3}[ -]\d{4}(?!\d)",
     "card": r"(?<![\d.-])(?:\d{15,16}|\d{4}(?:[ -]\d{4}){3})(?![\d-])",
