@@ -314,7 +314,7 @@ def findings(docs: DataFrame, forest: Forest) -> DataFrame:
             ids, paths = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             for first, end, data, offsets in texts.slices(batch.column(1)):
                 found = list(described(data, offsets, paths[first:end]))
-                score = forest.scores(np.array([f[3] for f in found]).reshape(len(found), -1))
+                score = forest.scores(np.array([f[3] for f in found]).reshape(len(found), len(FEATURES)))
                 rows = [
                     (
                         ids[first + doc],
