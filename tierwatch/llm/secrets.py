@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tierwatch.functions.shared import stage
 from tierwatch.llm import texts
 from tierwatch.llm.rows import map_rows
 
@@ -288,7 +289,7 @@ def learn(docs: DataFrame, labelled_rows: int = LABELLED_ROWS) -> Forest:
                 )
 
     found = docs.select(F.col("text").cast("string"), _path_column(docs)).mapInArrow(label, "x array<double>, y int")
-    found = found.withColumn("order", F.xxhash64(F.col("x").cast("string")))
+    found = stage(found.withColumn("order", F.xxhash64(F.col("x").cast("string"))), "labelled", codec="zstd")
     parts = [found.where(F.col("y") == y).orderBy("order").limit(labelled_rows) for y in (0, 1)]
     rows = parts[0].unionByName(parts[1]).select("x", "y").collect()
     x, y = made_findings()
