@@ -164,11 +164,12 @@ def test_tree_is_a_distribution_and_uses_the_longest_context(spark):
 
 
 def test_held_out_text_of_the_same_kind_is_likelier(spark):
-    rows = [(i, prose(60, i), None, None, 0) for i in range(60)] + [(1000, "qzx jjq wvv kkz " * 20, None, None, 0)]
+    odd = next(i for i in range(1000, 1100) if fold(i, 5) == 1)
+    rows = [(i, prose(60, i), None, None, 0) for i in range(60)] + [(odd, "qzx jjq wvv kkz " * 20, None, None, 0)]
     got = {r["doc_id"]: r for r in suffixtree.corpus_scores(spark.createDataFrame(rows, DOC_TYPE)).collect()}
     size = {r[0]: len(r[1]) for r in rows}
     held = [i for i in range(60) if got[i]["held_out"]]
-    assert min(got[i]["score"] / size[i] for i in held) > got[1000]["score"] / size[1000]
+    assert min(got[i]["score"] / size[i] for i in held) > got[odd]["score"] / size[odd]
 
 
 def test_secrets_in_text(docs, clashing, nothing, rows):
