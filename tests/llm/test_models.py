@@ -205,3 +205,13 @@ def test_candidates_end_with_their_document():
     assert [(d, data[a:b].tobytes()) for d, a, b in secrets.candidates(data, offsets)] == [
         (0, b"x0123456789abcde"), (1, b"fghij0123456789klm"), (2, b"hunter"),
     ]
+
+
+def test_every_byte_is_a_symbol_of_its_own():
+    table = suffixtree.symbol_table()
+    assert len(set(table.tolist())) == 256 and suffixtree.END not in table
+    codes = set()
+    for text in ("а", "р", "é", "ù", "1", "2", "(", "/"):
+        symbols, _ = suffixtree.padded(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))
+        codes.add(int(suffixtree.context_codes(symbols)[-1]))
+    assert len(codes) == 8 and suffixtree.BITS * (suffixtree.DEPTH + 1) < 63

@@ -1,11 +1,10 @@
 """Language-model scores by a probabilistic suffix tree over characters.
 
-A text is its words in lower case, each followed by a blank or the end. Its bytes fall into 64
-symbols. Contexts of up to `DEPTH` symbols that make up at least `LEAST_SHARE` of all positions are
+A text is its words in lower case, each followed by a blank or the end. Every byte is a symbol of its
+own. Contexts of up to `DEPTH` symbols that make up at least `LEAST_SHARE` of all positions are
 candidates, and a candidate stays if the distribution of its next symbol diverges enough from that of
 the context without its oldest symbol, or if a longer one stays. Distributions are smoothed towards
-the shorter context; a symbol is scored in the state of the longest context that ends before it, and
-a byte by its share of its symbol.
+the shorter context; a symbol is scored in the state of the longest context that ends before it.
 
 Counting sees all training documents, in shuffles that grow with the corpus. The tree itself is
 bounded: at most 1 / LEAST_SHARE contexts of each length can have that share.
@@ -28,31 +27,16 @@ from tierwatch.llm.folds import held_out
 
 DEPTH = 5
 LEAST_SHARE = 5e-6
-DIRECT = 3  # contexts up to this length are found in one table
-SYMBOLS = 64
-BITS = 6
+SYMBOLS = 257  # the end and all bytes
+BITS = 9
 SMOOTHING = 8.0
 END = 0
 COUNT_BYTES = 4 << 20
 
-# The bytes that have a symbol of their own besides a-z and the blank.
-OWN_SYMBOL = b".,!\"-|&*#$%'"
-
 
 def symbol_table() -> np.ndarray:
-    """The symbol of each byte; the end of a text is symbol 0.
-
-    Letters, the blank and some signs have their own. Digits share one, other signs another. The
-    following bytes of longer characters go by their last four bits, their first bytes by range.
-    """
-    table = np.full(256, 1, np.uint8)
-    table[48:58] = 2
-    table[32] = 3
-    table[97:123] = np.arange(4, 30)
-    table[list(OWN_SYMBOL)] = np.arange(30, 30 + len(OWN_SYMBOL))
-    table[128:192] = 42 + np.arange(64) % 16
-    table[192:256] = 58 + np.searchsorted([0xC3, 0xC4, 0xD0, 0xE0, 0xF0], np.arange(192, 256), "right")
-    return table
+    """The symbol of each byte; the end of a text is symbol 0."""
+    return np.arange(1, 257, dtype=np.uint16)
 
 
 @dataclass(frozen=True)
@@ -63,32 +47,27 @@ class SuffixTree:
     log_symbols: np.ndarray
     log_bytes: np.ndarray
 
-    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The state for each `DIRECT` newest symbols, the state after one older symbol, and lengths."""
-        number = {c: i for i, c in enumerate(self.contexts)}
-        length = np.array([n for n, _ in self.contexts], np.int8)
-        direct = np.zeros(1, np.int32)
-        for size in range(1, DIRECT + 1):
-            direct = np.tile(direct, SYMBOLS)
-            for state in np.flatnonzero(length == size).tolist():
-                direct[self.contexts[state][1]] = state
-        older = np.repeat(np.arange(len(length), dtype=np.int32), SYMBOLS).reshape(-1, SYMBOLS)
-        for state in np.flatnonzero(length > DIRECT).tolist():
-            size, code = self.contexts[state]
-            shorter = number[size - 1, code & ((1 << BITS * (size - 1)) - 1)]
-            older[shorter, code >> BITS * (size - 1)] = state
-        return direct, older, length
-
-    def states(self, code: np.ndarray, tables: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    def tables(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The codes of each length from 1 on, sorted, and their states."""
+        length, code = (np.array(x, np.int64) for x in zip(*self.contexts))
+        found = []
+        for size in range(1, DEPTH + 1):
+            state = np.flatnonzero(length == size)
+            state = state[np.argsort(code[state])]
+            found.append((code[state], state))
+        return found
+
+    def states(self, code: np.ndarray, tables: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """The longest context that stays at the end of each code of `DEPTH` symbols."""
-        direct, older, length = tables
-        state = direct[code & ((1 << BITS * DIRECT) - 1)]
-        for size in range(DIRECT, DEPTH):
-            deep = np.flatnonzero(length[state] == size)
-            state[deep] = older[state[deep], code[deep] >> BITS * size & (SYMBOLS - 1)]
+        state = np.zeros(len(code), np.int64)
+        for size, (codes, states) in enumerate(tables, 1):
+            if len(codes):
+                own = code & ((1 << BITS * size) - 1)
+                at = np.minimum(np.searchsorted(codes, own), len(codes) - 1)
+                state = np.where(codes[at] == own, states[at], state)
         return state
 
-    def scores(self, data: np.ndarray, offsets: np.ndarray, tables: tuple) -> np.ndarray:
+    def scores(self, data: np.ndarray, offsets: np.ndarray, tables: list) -> np.ndarray:
         """log10 of the probability of each normalised text."""
         symbols, lengths = padded(data, offsets)
         logs = self.log_symbols[self.states(context_codes(symbols), tables), symbols[DEPTH:]]
@@ -103,7 +82,7 @@ def padded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """The symbols of each text after `DEPTH` ends, and an end after it; and the lengths of the texts."""
     lengths = np.diff(offsets)
     place = np.arange(len(data)) + np.repeat(np.arange(1, len(lengths) + 1) * DEPTH + np.arange(len(lengths)), lengths)
-    symbols = np.full(len(data) + len(lengths) * (DEPTH + 1), END, np.uint8)
+    symbols = np.full(len(data) + len(lengths) * (DEPTH + 1), END, np.uint16)
     symbols[place] = symbol_table()[data]
     return symbols, lengths
 
@@ -212,7 +191,7 @@ def grow(documents: DataFrame) -> tuple[list[tuple[int, int]], np.ndarray]:
 
     cells = (
         grams.withColumn("length", F.explode(F.sequence(F.lit(0), F.lit(DEPTH))))
-        .select("length", newest(code, F.col("length")).alias("code"), F.col("gram").bitwiseAND(SYMBOLS - 1).alias("symbol"), "n")
+        .select("length", newest(code, F.col("length")).alias("code"), F.col("gram").bitwiseAND((1 << BITS) - 1).alias("symbol"), "n")
         .groupBy("length", "code", "symbol")
         .agg(F.sum("n").alias("n"))
     )
@@ -256,7 +235,6 @@ def byte_shares(counts: np.ndarray) -> np.ndarray:
     """The share of each byte in its symbol, smoothed."""
     table = symbol_table()
     filled = counts + 0.5
-    filled[[9, 10, 11, 12, 13, *range(65, 91)]] = 0.0  # never in a normalised text
     sums = np.bincount(table, filled, SYMBOLS)
     return filled / sums[table]
 
