@@ -215,3 +215,25 @@ def test_every_byte_is_a_symbol_of_its_own():
         symbols, _ = suffixtree.padded(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))
         codes.add(int(suffixtree.context_codes(symbols)[-1]))
     assert len(codes) == 8 and suffixtree.BITS * (suffixtree.DEPTH + 1) < 63
+
+
+def test_contexts_grow_with_the_corpus_and_agree_with_the_tree(spark):
+    # "q" is followed by "x" only, 40 times in more than 20 M positions: a share of under 0.000005.
+    kept = {}
+    for filler in (1, 10_000_000):
+        code = lambda a, b: sum((x + 1) << suffixtree.BITS * i for i, x in enumerate(reversed([*a, b])))
+        rows = [(code(b"aaaaq", 120), 40), (code(b"aaaaa", 97), filler * 2), (code(b"aaaaa", 98), filler + 50)]
+        _, stay = suffixtree.context_levels(spark.createDataFrame(rows, "gram long, n long"))
+        kept[filler] = {r["code"] for r in stay[1].collect()}
+    assert ord("q") + 1 in kept[1] and ord("q") + 1 in kept[10_000_000]
+    texts_ = ["abracadabra cadabra " * 20, "other words, é and а", "unseen letters zzz 123"]
+    table = spark.createDataFrame([(bytearray(t.strip().encode()),) for t in texts_[:2]], "payload binary")
+    contexts, smooth = suffixtree.grow(table)
+    tree = suffixtree.SuffixTree(contexts, np.log10(smooth), np.zeros(256))
+    rows = [(i, t, None, None, 0) for i, t in zip([i for i in range(90) if fold(i, 5) != 1][:2], texts_)]
+    rows.append((next(i for i in range(90) if fold(i, 5) == 1), texts_[2], None, None, 0))
+    got = {r["doc_id"]: r["score"] for r in suffixtree.corpus_scores(spark.createDataFrame(rows, DOC_TYPE)).collect()}
+    for doc_id, text, *_ in rows:
+        raw = " ".join(text.split()).encode()
+        expected = tree.scores(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), tree.tables())[0]
+        assert abs(got[doc_id] - expected) < 1e-6

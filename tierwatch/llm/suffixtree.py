@@ -1,13 +1,14 @@
 """Language-model scores by a probabilistic suffix tree over characters.
 
 A text is its words in lower case, each followed by a blank or the end. Every byte is a symbol of its
-own. Contexts of up to `DEPTH` symbols that make up at least `LEAST_SHARE` of all positions are
-candidates, and a candidate stays if the distribution of its next symbol diverges enough from that of
+own. Contexts of up to `DEPTH` symbols that occur at least `LEAST_COUNT` times are candidates, and a
+candidate stays if the distribution of its next symbol diverges enough from that of
 the context without its oldest symbol, or if a longer one stays. Distributions are smoothed towards
 the shorter context; a symbol is scored in the state of the longest context that ends before it.
 
-Counting sees all training documents, in shuffles that grow with the corpus. The tree itself is
-bounded: at most 1 / LEAST_SHARE contexts of each length can have that share.
+The tree is a table that grows with the corpus and never leaves Spark: one row per context and next
+symbol that occurs in any document. Every block of documents brings its distinct rows and gets their
+probabilities back.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from tierwatch.llm import texts, wordtable
 from tierwatch.llm.folds import held_out
 
 DEPTH = 5
-LEAST_SHARE = 5e-6
+LEAST_COUNT = 2  # a context seen once has no distribution
 SYMBOLS = 257  # the end and all bytes
 BITS = 9
 SMOOTHING = 8.0
@@ -41,7 +42,9 @@ def symbol_table() -> np.ndarray:
 
 @dataclass(frozen=True)
 class SuffixTree:
-    """The contexts that stay, and log10 probabilities of symbols after them and of bytes in a symbol."""
+    """The contexts that stay, and log10 probabilities of symbols after them and of bytes in a symbol.
+
+    For a corpus that fits one process; `gram_scores` gives the same numbers as a table."""
 
     contexts: list[tuple[int, int]]  # (length, code), shorter ones first
     log_symbols: np.ndarray
@@ -113,19 +116,39 @@ def normalised(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return clean, cuts[before], words, before
 
 
-ROWS = "kind string, block long, doc_id long, learned boolean, place int, n long, payload binary, words binary"
-KINDS = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+ROWS = "kind string, block long, doc_id long, learned boolean, place long, n long, payload binary, words binary"
+KINDS = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+
+
+def _gram_codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each symbol of normalised texts with the `DEPTH` before it, as one code, and the cuts between texts."""
+    symbols, lengths = padded(data, offsets)
+    grams = context_codes(symbols) << BITS | symbols[DEPTH:]
+    heads = np.concatenate([[0], np.cumsum(lengths + 1 + DEPTH)])
+    inside = np.ones(len(grams), bool)
+    for back in range(1, DEPTH + 1):
+        inside[heads[1:-1] - back] = False  # the padding before each text is not part of it
+    return grams[inside], np.concatenate([[0], np.cumsum(lengths + 1)])
+
+
+def _summed(keys: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sums of their counts."""
+    coded = pa.array(np.concatenate(keys)).dictionary_encode()
+    found = coded.dictionary.to_numpy()
+    sums = np.bincount(coded.indices.to_numpy(), np.concatenate(times), len(found)).astype(np.int64)
+    order = np.argsort(found)
+    return found[order], sums[order]
 
 
 def _blocks(batches) -> Iterator[pa.RecordBatch]:
-    """For every block its documents (normalised text, positions of the words), its words with the
-    times that training documents have them, and the bytes of those documents."""
+    """For every block its documents (normalised text, positions of the words), and its words and its
+    contexts with the next symbol, each with the times that training documents have them."""
     numbers = wordtable.block_numbers()
     names = [part.split()[0] for part in ROWS.split(", ")]
     for table in wordtable.gathered(batches, column="text"):
         block = next(numbers)
         coded, ids, learned, text, counts = [], [], [], [], []
-        spelled = np.zeros(256, np.int64)
+        keys, seen = [np.zeros(0, np.int64)], [np.zeros(0)]
         flags = table.column("learned").to_numpy()
         for first, end, data, offsets in texts.slices(table.column("text").combine_chunks()):
             clean, cuts, words, before = normalised(data, offsets)
@@ -134,8 +157,12 @@ def _blocks(batches) -> Iterator[pa.RecordBatch]:
             cell = cuts.tolist()
             raw = clean.tobytes()
             text += [raw[a:b] for a, b in zip(cell, cell[1:])]
-            own = np.repeat(flags[first:end], np.diff(cuts))
-            spelled += np.bincount(clean[own], minlength=256)
+            for low, high in _runs(cuts):
+                grams, ends = _gram_codes(clean[cuts[low] : cuts[high]], cuts[low : high + 1] - cuts[low])
+                own = np.repeat(flags[first + low : first + high], np.diff(ends)).astype(np.float64)
+                found, times = _summed([grams], [own])
+                keys.append(found)
+                seen.append(times)
         counts = np.concatenate(counts)
         index, dictionary = wordtable.frequent_first(pa.chunked_array(coded).unify_dictionaries().combine_chunks())
         times = np.bincount(index[np.repeat(flags, counts)], minlength=len(dictionary))
@@ -157,76 +184,112 @@ def _blocks(batches) -> Iterator[pa.RecordBatch]:
         entries = rows("word", len(dictionary), place=np.arange(len(dictionary)), count=times, payload=dictionary)
         for first in range(0, len(dictionary), 50_000):
             yield entries.slice(first, 50_000)
-        yield rows("byte", 256, place=np.arange(256), count=spelled)
+        grams, times = _summed(keys, seen)
+        entries = rows("gram", len(grams), place=grams, count=times)
+        for first in range(0, len(grams), 50_000):
+            yield entries.slice(first, 50_000)
+
+
+def _runs(cuts: np.ndarray, limit: int = COUNT_BYTES) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about `limit` bytes, at least one text each."""
+    first, n = 0, len(cuts) - 1
+    while first < n:
+        end = min(max(int(np.searchsorted(cuts, cuts[first] + limit, "right")) - 1, first + 1), n)
+        yield first, end
+        first = end
 
 
 def _count(batches) -> Iterator[pa.RecordBatch]:
     """Contexts of `DEPTH` symbols with the next one, and how often."""
     for batch in batches:
         for _, _, data, offsets in texts.slices(batch.column(0), COUNT_BYTES):
-            symbols, lengths = padded(data, offsets)
-            grams = context_codes(symbols) << BITS | symbols[DEPTH:]
-            heads = np.concatenate([[0], np.cumsum(lengths + 1 + DEPTH)])[:-1]
-            inside = np.ones(len(grams), bool)
-            for back in range(1, DEPTH + 1):
-                inside[heads[1:] - back] = False
-            found, times = np.unique(grams[inside], return_counts=True)
+            grams, _ = _gram_codes(data, offsets)
+            found, times = np.unique(grams, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(times)], ["gram", "n"])
 
 
+def newest(code: Column, length: int) -> Column:
+    """The code of the newest `length` symbols."""
+    return code.bitwiseAND((1 << BITS * length) - 1)
+
+
+def context_levels(grams: DataFrame) -> tuple[list[DataFrame], list[DataFrame | None]]:
+    """For each length the rows (code, symbol, n, whole) of all contexts, and the codes of those that stay.
+
+    `grams` (gram, n) holds every gram once, also those that no training document has, with n = 0.
+    """
+    symbol = F.col("gram").bitwiseAND((1 << BITS) - 1).cast("int")
+    cells = [grams.select(F.shiftright("gram", BITS).alias("code"), symbol.alias("symbol"), "n")]
+    for length in reversed(range(DEPTH)):
+        shorter = cells[0].groupBy(newest(F.col("code"), length).alias("code"), "symbol").agg(F.sum("n").alias("n"))
+        cells.insert(0, stage(shorter, f"cells-{length}", codec="zstd"))
+    total = cells[0].agg(F.sum("n")).first()[0] or 0
+    context = Window.partitionBy("code")  # at most SYMBOLS rows each
+    levels, diverged = [cells[0].withColumn("whole", F.lit(total).cast("long"))], [None]
+    for length in range(1, DEPTH + 1):
+        parent = levels[-1].select(F.col("code").alias("short"), "symbol", (F.col("n") / F.greatest("whole", F.lit(1))).alias("p"))
+        gain = F.when(F.col("n") > 0, F.col("n") * F.log(F.col("n") / F.col("p"))).otherwise(0.0)
+        level = (
+            cells[length].withColumn("short", newest(F.col("code"), length - 1))
+            .join(parent, ["short", "symbol"])
+            .withColumn("whole", F.sum("n").over(context))
+            .withColumn("kinds", F.count_if(F.col("n") > 0).over(context))
+            .withColumn("gain", F.sum(gain).over(context) - F.col("whole") * F.log(F.greatest("whole", F.lit(1))))
+            .withColumn("apart", (F.col("whole") >= LEAST_COUNT) & (F.col("gain") > 0.5 * F.col("kinds") * float(np.log(max(total, 1)))))
+        )
+        level = stage(level.select("code", "symbol", "n", "whole", "apart"), f"level-{length}", codec="zstd")
+        levels.append(level.drop("apart"))
+        diverged.append(level.where("apart").select("code").distinct())
+    stay: list[DataFrame | None] = [None] * (DEPTH + 1)
+    for length in reversed(range(1, DEPTH + 1)):
+        own = diverged[length]
+        if length < DEPTH:  # a context brings all its shorter ones
+            own = own.union(stay[length + 1].select(newest(F.col("code"), length).alias("code"))).distinct()
+        stay[length] = stage(own, f"stay-{length}", codec="zstd")
+    return levels, stay
+
+
+def gram_scores(grams: DataFrame) -> DataFrame:
+    """(gram, log): log10 of the smoothed probability of the symbol after the longest context that stays."""
+    levels, stay = context_levels(grams)
+    smooth = levels[0].select("code", "symbol", ((F.col("n") + 0.5) / (F.col("whole") + 0.5 * SYMBOLS)).alias("p"))
+    for length in range(1, DEPTH + 1):
+        above = smooth.select(F.col("code").alias("short"), "symbol", F.col("p").alias("above"))
+        own = (F.col("n") + SMOOTHING * F.col("above")) / (F.col("whole") + SMOOTHING)
+        smooth = (
+            levels[length].join(stay[length].withColumn("stays", F.lit(True)), "code", "left")
+            .withColumn("short", newest(F.col("code"), length - 1))
+            .join(above, ["short", "symbol"])
+            .select("code", "symbol", F.when(F.col("stays"), own).otherwise(F.col("above")).alias("p"))
+        )
+        smooth = stage(smooth, f"smooth-{length}", codec="zstd")
+    gram = F.shiftleft("code", BITS).bitwiseOR(F.col("symbol").cast("long"))
+    return smooth.select(gram.alias("gram"), F.log10("p").alias("log"))
+
+
 def grow(documents: DataFrame) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """The contexts that stay, shorter ones first, and the smoothed distributions of the next symbol."""
-    grams = stage(
-        documents.mapInArrow(_count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams", codec="zstd"
-    )
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    if not total:
+    """The contexts that stay, shorter ones first, and the smoothed distributions of the next symbol.
+
+    On the driver: for a corpus that fits one process. `corpus_scores` does not use it."""
+    counted = documents.mapInArrow(_count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    levels, stay = context_levels(stage(counted, "grams", codec="zstd"))
+    rows = [(0, r["code"], r["symbol"], r["n"]) for r in levels[0].collect()]
+    for size in range(1, DEPTH + 1):
+        own = levels[size].join(stay[size], "code", "left_semi").collect()
+        rows += [(size, r["code"], r["symbol"], r["n"]) for r in own]
+    if not rows:
         return [(0, 0)], np.full((1, SYMBOLS), 1.0 / SYMBOLS)
-    code = F.shiftright("gram", BITS)
-    powers = F.array(*[F.lit(1 << BITS * d).cast("long") for d in range(DEPTH + 1)])
-
-    def newest(code: Column, length: Column) -> Column:
-        """The code of the newest `length` symbols."""
-        return F.pmod(code, F.element_at(powers, length + 1))
-
-    cells = (
-        grams.withColumn("length", F.explode(F.sequence(F.lit(0), F.lit(DEPTH))))
-        .select("length", newest(code, F.col("length")).alias("code"), F.col("gram").bitwiseAND((1 << BITS) - 1).alias("symbol"), "n")
-        .groupBy("length", "code", "symbol")
-        .agg(F.sum("n").alias("n"))
-    )
-    context = Window.partitionBy("length", "code")  # at most SYMBOLS rows each
-    cells = cells.withColumn("whole", F.sum("n").over(context)).withColumn("kinds", F.count("n").over(context))
-    cells = stage(cells.where((F.col("length") == 0) | (F.col("whole") >= LEAST_SHARE * total)), "contexts", codec="zstd")
-    shorter = cells.select(
-        (F.col("length") + 1).alias("length"), F.col("code").alias("short"), "symbol",
-        (F.col("n") / F.col("whole")).alias("p"),
-    )
-    diverged = (
-        cells.where("length > 0")
-        .withColumn("short", newest(F.col("code"), F.col("length") - 1))
-        .join(shorter, ["length", "short", "symbol"])
-        .groupBy("length", "code", "kinds")
-        .agg(F.sum(F.col("n") * F.log(F.col("n") / F.col("whole") / F.col("p"))).alias("gain"))
-        .where(F.col("gain") > 0.5 * F.col("kinds") * float(np.log(total)))
-    )
-    # A context brings all its shorter ones.
-    kept = diverged.select("code", F.explode(F.sequence(F.lit(0), F.col("length"))).alias("length")).select(
-        "length", newest(F.col("code"), F.col("length")).alias("code")
-    )
-    stay = cells.join(kept.distinct(), ["length", "code"], "left_semi").unionByName(cells.where("length = 0")).distinct()
-    table = stay.select("length", "code", "symbol", "n").toArrow()  # at most DEPTH * SYMBOLS / LEAST_SHARE rows
-    length, codes, symbol, n = (table.column(c).to_numpy() for c in ("length", "code", "symbol", "n"))
-    contexts = sorted(set(zip(length.tolist(), codes.tolist())))
+    contexts = sorted({r[:2] for r in rows})
     number = {c: i for i, c in enumerate(contexts)}
     counts = np.zeros((len(contexts), SYMBOLS))
-    np.add.at(counts, ([number[c] for c in zip(length.tolist(), codes.tolist())], symbol), n)
+    for size, code, symbol, n in rows:
+        counts[number[size, code], symbol] = n
     smooth = np.empty_like(counts)
-    for i, (size, code_) in enumerate(contexts):
+    for i, (size, code) in enumerate(contexts):
         if not size:
             smooth[i] = (counts[i] + 0.5) / (counts[i].sum() + 0.5 * SYMBOLS)
             continue
-        above = smooth[number[size - 1, code_ & ((1 << BITS * (size - 1)) - 1)]]
+        above = smooth[number[size - 1, code & ((1 << BITS * (size - 1)) - 1)]]
         smooth[i] = (counts[i] + SMOOTHING * above) / (counts[i].sum() + SMOOTHING)
     return contexts, smooth
 
@@ -263,12 +326,8 @@ def corpus_scores(docs: DataFrame, modulus: int = 5, remainder: int = 1) -> Data
     sums = counted.agg(F.sum("n").alias("n"), F.count_if(F.col("first") & (F.col("c") > 0)).alias("v")).first()
     ends = documents.where("learned").count()
     train_tokens, distinct = (sums["n"] or 0) + ends, sums["v"] + (ends > 0)
-    spelled = np.zeros(256)
-    for row in rows.where("kind = 'byte'").groupBy("place").agg(F.sum("n").alias("n")).collect():  # 256 rows
-        spelled[row["place"]] = row["n"]
-    contexts, smooth = grow(documents.where("learned").select("payload"))
-    tree = SuffixTree(contexts, np.log10(smooth).astype(np.float32), np.log10(np.maximum(byte_shares(spelled), 1e-300)))
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
+    grams = rows.where("kind = 'gram'").select("block", F.col("place").alias("gram"), "n")
+    logs_of = gram_scores(stage(grams.groupBy("gram").agg(F.sum("n").alias("n")), "grams", codec="zstd"))
     scale = train_tokens + 0.5 * (distinct + 1)
 
     def score(found, entries):
@@ -276,10 +335,11 @@ def corpus_scores(docs: DataFrame, modulus: int = 5, remainder: int = 1) -> Data
         names = ["doc_id", "learned", "n_tokens", "n_known", "base_score", "score"]
         if not found.num_rows:
             return pa.table([pa.array([], k) for k in kinds], names)
-        cache = texts.worker_cache()
-        if cache.get("tree") is not shared.value:
-            cache["tree"], cache["tables"] = shared.value, shared.value.tables()
-        place, c = entries.column("place").to_numpy(), entries.column("c").to_numpy()
+        is_word = entries.column("word").to_numpy()
+        keys, values = entries.column("key").to_numpy(), entries.column("value").to_numpy()
+        place, c = keys[is_word], values[is_word].astype(np.int64)
+        order = np.argsort(keys[~is_word])
+        known_grams, gram_logs = keys[~is_word][order], values[~is_word][order]
         times = np.zeros(int(place.max(initial=-1)) + 1, np.int64)
         times[place] = c
         logs = np.log10((times + 0.5) / scale)
@@ -291,7 +351,11 @@ def corpus_scores(docs: DataFrame, modulus: int = 5, remainder: int = 1) -> Data
             known.append(int((times[index] > 0).sum()) + (ends > 0))
         model = []
         for _, _, data, offsets in texts.slices(found.column("payload").combine_chunks(), COUNT_BYTES):
-            model.append(shared.value.scores(data, offsets, cache["tables"]))
+            codes, cuts = _gram_codes(data, offsets)
+            coded = pa.array(codes).dictionary_encode()
+            log = gram_logs[np.searchsorted(known_grams, coded.dictionary.to_numpy())]
+            total = np.concatenate([[0.0], np.cumsum(log[coded.indices.to_numpy()])])
+            model.append(np.diff(total[cuts]))
         columns = [
             found.column("doc_id"), found.column("learned"), np.asarray(found.column("n").to_numpy()) + 1, known,
             base, np.concatenate(model),
@@ -299,9 +363,11 @@ def corpus_scores(docs: DataFrame, modulus: int = 5, remainder: int = 1) -> Data
         return pa.table(columns, names)
 
     own = documents.select("block", "doc_id", "learned", "n", "payload", "words")
+    words_back = counted.select("block", F.lit(True).alias("word"), F.col("place").alias("key"), F.col("c").cast("double").alias("value"))
+    grams_back = grams.join(logs_of, "gram").select("block", F.lit(False).alias("word"), F.col("gram").alias("key"), F.col("log").alias("value"))
     result = (
         own.groupBy("block")
-        .cogroup(counted.select("block", "place", "c").groupBy("block"))
+        .cogroup(words_back.unionByName(grams_back).groupBy("block"))
         .applyInArrow(
             score, "doc_id long, learned boolean, n_tokens long, n_known long, base_score double, score double"
         )
