@@ -237,3 +237,29 @@ def test_contexts_grow_with_the_corpus_and_agree_with_the_tree(spark):
         raw = " ".join(text.split()).encode()
         expected = tree.scores(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), tree.tables())[0]
         assert abs(got[doc_id] - expected) < 1e-6
+
+
+GIVEN = {
+    'password = "P@ssw0rd!2024"': "P@ssw0rd!2024",
+    'password = "hunter2!xyzzy$abc"': "hunter2!xyzzy$abc",
+    'password => "hunter2abc"': "hunter2abc",
+    "the password is hunter2abc.": "hunter2abc",
+    "password:      hunter2abc": "hunter2abc",
+    "use postgres://admin:hunter2abc@host/ here": "hunter2abc",
+    "Authorization: Bearer abcdefghijklmnop": "abcdefghijklmnop",
+}
+
+
+def test_given_values_are_candidates_and_masked_whole(spark):
+    import pyarrow as pa
+
+    from tierwatch.llm import texts
+
+    for text, secret in GIVEN.items():
+        data, offsets = texts.byte_view(pa.array([text]))
+        assert secret.encode() in [data[a:b].tobytes() for _, a, b in secrets.candidates(data, offsets)], text
+    harmless = ["the password is required here", "token: invalid", 'password = "${PASSWORD}"', "mail: john.smith7@example.com"]
+    rows = [(i, t, "en", "src/app.py", 1) for i, t in enumerate([*GIVEN, *harmless])]
+    got = {r["doc_id"]: r["text"] for r in secrets.without_secrets(spark.createDataFrame(rows, DOC_TYPE)).collect()}
+    expected = [t.replace(v, secrets.MASK) for t, v in GIVEN.items()] + harmless
+    assert [got[i] for i in range(len(rows))] == expected

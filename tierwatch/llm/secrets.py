@@ -1,7 +1,8 @@
 """Secret scans: candidates in whole texts, and a random forest that drops the false ones.
 
-A candidate is a run of the characters that keys are made of: long ones with a digit, shorter ones
-after an assignment to something like a password. The forest looks at length, transitions between
+A candidate is a long run with a digit of the characters that keys are made of, or whatever is given to
+something like a password: the whole quoted value or all up to the next blank, what follows `Bearer`, and
+the password in a URL. Where both meet, both are candidates. The forest looks at length, transitions between
 kinds of characters, coverage by dictionary words, the path or source of the text, and the words
 around. It learns from labelled findings: those of the corpus whose assignment or shape decides them,
 up to a bound, and examples made by rule for formats that a corpus may lack. Every tree is grown in a
@@ -51,6 +52,12 @@ CREDENTIAL = re.compile(rb"token|secret|passw(?:or)?d|passphrase|api[ _-]?key|ac
 NOT_CREDENTIAL = re.compile(rb"commit|sha-?\d*|md5|checksum|digest|hash|uuid|guid|version|revision|etag|color|img|image|file|href|src|url|http|isbn|phone|tel|order|invoice|build")
 ASSIGNS = re.compile(rb"(?:=|:|=>|\bis)\s*[\"'`]?$|bearer\s+$", re.I)
 PREFIXES = (b"akia", b"asia", b"ghp_", b"gho_", b"ghs_", b"github_pat_", b"sk-", b"sk_live_", b"xoxb-", b"xoxp-", b"aiza", b"eyj", b"glpat-", b"hf_")
+# What leads to a value, and the value: quoted, or all up to the next blank.
+LEADS = re.compile(rb"(?:" + CREDENTIAL.pattern + rb")[\w.-]{0,64}+[\"'`\])]{0,3}+\s*+(?:[=-]>|:=|={1,3}|:|(?<=\s)(?:is|was)(?=[\s:]):?)\s*+|\bbearer\s++")
+VALUE = re.compile(rb"\"((?:[^\"\\\n]|\\.)*+)\"|'((?:[^'\\\n]|\\.)*+)'|`([^`\n]*+)`|(\S++)")
+URL_PASSWORD = re.compile(rb"://[^\s/:@]*+:([^\s/]+)@")
+IN_URL = re.compile(rb"://[^\s/:@]*:$")
+PAIRS = {41: b"(", 93: b"[", 125: b"{", 62: b"<"}
 SAMPLE_PATH = re.compile(r"test|example|sample|doc|demo|fixture|mock", re.I)
 
 _WORDS = sorted((w.encode() for w in DICTIONARY if len(w) > 2), key=len, reverse=True)
@@ -65,6 +72,7 @@ FEATURES = (
     "length", "digits", "lower", "upper", "signs", "hex_only", "transitions", "digit_transitions", "distinct",
     "entropy", "vowels", "longest_letters", "longest_same", "coverage", "prefix", "credential_near", "other_near",
     "assigned", "quoted", "after_at", "dots", "sample_path", "path_length", "mixed_case", "separators_even",
+    "in_url", "other_signs", "blanks",
 )
 
 
@@ -95,13 +103,42 @@ def features(run: bytes, before: bytes, after: bytes, path: str) -> list[float]:
         float(before[-1:] in (b'"', b"'", b"`") and after[:1] in (b'"', b"'", b"`")),
         float(before[-1:] == b"@" or after[:1] == b"@"), run.count(b".") / n, float(bool(SAMPLE_PATH.search(path))),
         np.log1p(len(path)), float((kind == 1).any() and (kind == 2).any()), float(len(parts) > 1 and min(parts) == max(parts)),
+        float(bool(IN_URL.search(before))), (kind == 0).mean(), float((codes == 32).mean()),
     ]
 
 
+def given_values(text: bytes) -> Iterator[tuple[int, int]]:
+    """(start, end) of the values given to a credential in a text in lower case, and of passwords in URLs."""
+    for lead in LEADS.finditer(text):
+        value = VALUE.match(text, lead.end())
+        if value is None:
+            continue
+        a, b = value.span(value.lastindex)
+        if value.lastindex == 4:
+            while a < b and text[a] in b"\"'`([{<":
+                a += 1
+            # Signs that end a sentence, and brackets that were opened before the value.
+            while a < b and (text[b - 1] in b".,;:~\"'`" or (text[b - 1] in PAIRS and PAIRS[text[b - 1]] not in text[a:b])):
+                b -= 1
+        if b - a >= LEAST_ASSIGNED:
+            yield a, b
+    for found in URL_PASSWORD.finditer(text):
+        yield found.span(1)
+
+
 def candidates(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(document, start, end) of the candidate runs of each text, in order."""
+    """(document, start, end) of the candidates of each text, in order; they may overlap."""
     if not len(data):
         return
+    found = set(_runs(data, offsets))
+    low = texts.lower_ascii(data).tobytes()
+    for doc, (first, end) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+        found.update((doc, first + a, first + b) for a, b in given_values(low[first:end]))
+    yield from sorted(found)
+
+
+def _runs(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(document, start, end) of the candidate runs of each text."""
     kind = _KINDS[data]
     inside = kind > 0
     first = inside.copy()
@@ -147,8 +184,11 @@ def label_of(run: bytes, before: bytes, after: bytes) -> int:
     """1 for a quoted value assigned to a credential, 0 for numbers, hosts and plain words, else -1."""
     tail = before.lower()[-24:]
     quoted = before[-1:] in (b'"', b"'") and after[:1] == before[-1:]
-    if quoted and ASSIGNS.search(before) and CREDENTIAL.search(tail) and not _COVER.search(run.lower()):
+    sound = b" " not in run and not _COVER.search(run.lower())
+    if quoted and ASSIGNS.search(before) and CREDENTIAL.search(tail) and sound:
         return 1
+    if IN_URL.search(before):
+        return -1
     if run.isdigit() or before[-1:] == b"@" or re.fullmatch(rb"[a-z]+(?:\.[a-z0-9]+)+", run.lower()):
         return 0
     return -1
@@ -175,6 +215,21 @@ def made_findings(n: int = MADE_ROWS, seed: int = 7) -> tuple[np.ndarray, np.nda
         lambda: f"20{draw(string.digits, 2)}-{draw('01', 2)}-{draw('012', 2)}T{draw('01', 2)}.{draw('0123', 2)}",
         lambda: draw(hexes, pick.choice((7, 32, 40, 64))), lambda: f"{word()}-{word()}-v{pick.randint(1, 9)}.{pick.randint(0, 20)}.{pick.randint(0, 9)}",
     )
+    letters, signs = string.ascii_lowercase, "!$%&*?@#^+="
+    spoken = lambda: "".join(draw("bcdfghjklmnprstvwxyz", 1) + draw("aeiou", 1) + draw(letters, pick.randint(0, 1)) for _ in range(pick.randint(2, 4)))
+    passwords = (
+        lambda: spoken() + draw(string.digits, pick.randint(1, 4)),
+        lambda: spoken().title() + draw(signs, 1) + draw(string.digits, pick.randint(1, 4)),
+        lambda: spoken() + draw(string.digits, 1) + draw(signs, 1) + spoken() + draw(signs, 1) + draw(letters, 3),
+        lambda: spoken() + draw(string.digits, pick.randint(1, 3)) + draw(letters, 3), lambda: draw(mixed + signs, pick.randint(8, 24)),
+        lambda: draw(mixed, pick.randint(8, 14)) + draw(string.digits, 1), lambda: spoken().title().replace("a", "@").replace("o", "0") + draw(signs, 1) + "20" + draw(string.digits, 2),
+    )
+    prose = "required missing invalid expired wrong needed shared stored stronger never always checked changed rotated generated".split()
+    harmless = (
+        lambda: pick.choice(prose), lambda: pick.choice(DICTIONARY) + pick.choice(("", "s", ".", "_name")), lambda: "${" + word().upper() + "}",
+        lambda: f"<your-{word()}>", lambda: f"os.environ['{word().upper()}']", lambda: " ".join(pick.choice((*prose, *DICTIONARY)) for _ in range(pick.randint(2, 8))),
+        lambda: pick.choice(("undefined", "******", "xxxxxxxx", "[redacted]", "{{ " + word() + " }}", word() + "()")),
+    )
     names = ("token", "secret", "api_key", "apiKey", "password", "client_secret", "access_key", "auth_token", "private_key")
     neutral = ("commit ", "sha256: ", "md5 = ", "checksum: \"", "see ", "file: ", "version ", "uuid=\"", "url: ", "image/", "", "order ", "id: \"")
     paths = ("src/app.py", "config/prod.env", "docs/readme.md", "tests/test_api.py", "src3", "web/page.html", "example/demo.ini")
@@ -189,6 +244,17 @@ def made_findings(n: int = MADE_ROWS, seed: int = 7) -> tuple[np.ndarray, np.nda
         else:
             before = f"{draw(string.ascii_lowercase + ' ', 14)} {pick.choice(neutral)}"
             after = '"' if before.endswith('"') else " and"
+        if pick.random() < 0.35:  # whatever is given to a credential, or stands in a URL
+            run, way = pick.choice(passwords if true else harmless)(), pick.random()
+            quote, lead = pick.choice(('"', "'", "")), f"{draw(string.ascii_lowercase + ' ', 12)} "
+            join = pick.choice((" = ", "=", ": ", " => ", " is ", ":   ", " : ")) + quote
+            before, after = lead + pick.choice(names) + join, quote + "\n"
+            if way < 0.2 and true:
+                before, after = f"{lead}{word()}://{word()}:", f"@{word()}/{word()}"
+            elif way < 0.35 and true:
+                before, run, after = lead + "Authorization: Bearer ", pick.choice((draw(mixed, 24), draw(letters, pick.randint(12, 40)))), "\n"
+            elif way < 0.1:
+                before, run, after = f"{lead}mail: ", f"{word()}.{word()}{pick.randint(1, 99)}", f"@{word()}.com"
         if pick.random() < 0.15:
             before, run = before.upper(), run.upper()
         rows.append(features(run.encode(), before.encode(), after.encode(), pick.choice(paths)))
@@ -302,6 +368,8 @@ def learn(docs: DataFrame, labelled_rows: int = LABELLED_ROWS) -> Forest:
 def findings(docs: DataFrame, forest: Forest) -> DataFrame:
     """One row per candidate: doc_id, start, length (in characters), score, secret, value_sha256.
 
+    A run inside a longer value that was given to a credential has a row of its own.
+
     The value itself is not returned. Null and empty texts have none. Rows that repeat an id are
     scanned each. Texts without a `source` column or value have an empty path. Other columns are
     ignored; an empty table gives an empty result.
@@ -320,7 +388,7 @@ def findings(docs: DataFrame, forest: Forest) -> DataFrame:
                     (
                         ids[first + doc],
                         int(np.count_nonzero((data[offsets[doc] : a] & 0xC0) != 0x80)),
-                        b - a,
+                        int(np.count_nonzero((data[a:b] & 0xC0) != 0x80)),
                         float(s),
                         bool(s >= 0.5),
                         hashlib.sha256(data[a:b].tobytes()).hexdigest(),
@@ -361,8 +429,9 @@ def without_secrets(docs: DataFrame) -> DataFrame:
                 for doc, own in spans.items():
                     parts, last = [], int(offsets[doc])
                     for a, b in own:
-                        parts += [data[last:a].tobytes(), MASK.encode()]
-                        last = b
+                        if a >= last:
+                            parts += [data[last:a].tobytes(), MASK.encode()]
+                        last = max(last, b)
                     changed[first + doc] = b"".join([*parts, data[last : offsets[doc + 1]].tobytes()]).decode()
             if changed:
                 rows = column.to_pylist()
