@@ -263,3 +263,11 @@ def test_given_values_are_candidates_and_masked_whole(spark):
     got = {r["doc_id"]: r["text"] for r in secrets.without_secrets(spark.createDataFrame(rows, DOC_TYPE)).collect()}
     expected = [t.replace(v, secrets.MASK) for t, v in GIVEN.items()] + harmless
     assert [got[i] for i in range(len(rows))] == expected
+
+
+def test_copies_do_not_fill_the_labelled_sample(spark):
+    texts_ = [f"number {'7' * (16 + i)} here" for i in range(6)]
+    for copied in texts_:  # whichever sorts first
+        rows = [(i, t, None, "a", 0) for i, t in enumerate(texts_ + [copied] * 20)]
+        got = secrets.labelled_sample(spark.createDataFrame(rows, DOC_TYPE), 4)
+        assert len(got) == 4 and len({tuple(r["x"]) for r in got}) == 4

@@ -340,9 +340,9 @@ def _path_column(docs: DataFrame):
     return F.coalesce(F.col("source").cast("string"), F.lit("")) if "source" in docs.columns else F.lit("")
 
 
-def learn(docs: DataFrame, labelled_rows: int = LABELLED_ROWS) -> Forest:
-    """A forest from findings of `docs` that label themselves, at most `labelled_rows` of either label
-    (those with the smallest hash), and from `made_findings`."""
+def labelled_sample(docs: DataFrame, labelled_rows: int = LABELLED_ROWS) -> list:
+    """(x, y) of findings of `docs` that label themselves: at most `labelled_rows` distinct vectors of
+    either label, those with the smallest hash. Copies of a finding count once."""
 
     def label(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -355,9 +355,15 @@ def learn(docs: DataFrame, labelled_rows: int = LABELLED_ROWS) -> Forest:
                 )
 
     found = docs.select(F.col("text").cast("string"), _path_column(docs)).mapInArrow(label, "x array<double>, y int")
-    found = stage(found.withColumn("order", F.xxhash64(F.col("x").cast("string"))), "labelled", codec="zstd")
+    found = found.distinct().withColumn("order", F.xxhash64(F.col("x").cast("string")))
+    found = stage(found, "labelled", codec="zstd")
     parts = [found.where(F.col("y") == y).orderBy("order").limit(labelled_rows) for y in (0, 1)]
-    rows = parts[0].unionByName(parts[1]).select("x", "y").collect()
+    return parts[0].unionByName(parts[1]).select("x", "y").collect()
+
+
+def learn(docs: DataFrame, labelled_rows: int = LABELLED_ROWS) -> Forest:
+    """A forest from `labelled_sample` and from `made_findings`."""
+    rows = labelled_sample(docs, labelled_rows)
     x, y = made_findings()
     if rows:
         x = np.concatenate([x, np.array([r["x"] for r in rows])])
