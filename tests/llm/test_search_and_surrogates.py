@@ -136,3 +136,29 @@ def test_surrogates_by_key_and_of_awkward_tables(spark, clashing, nothing, rows)
     got = {(r["doc_id"], r["text"]) for r in surrogates.with_surrogates(clashing, "k").collect()}
     same = {(r[0], r[1]) for r in rows if not (r[0] == 110 and "mail" in r[1])}
     assert same <= got and len(got) == len(same) + 1
+
+
+def test_usual_phones_and_mails_are_replaced_whole(spark):
+    from tierwatch.llm import surrogates as module
+
+    whole = [
+        "555-123-4567", "030 1234567", "+33 1 42 68 53 00", "+33 6 12 34 56 78", "+49 30 12 34 56 78", "06 12 34 56 78",
+        "+1 (555) 123-4567", "(555) 123-4567", "0171/1234567", "+4915112345678",
+    ]
+    rows = [(i, f"call {v} now", None, None, 0) for i, v in enumerate(whole)]
+    rows += [(100, "mail bob@example.com-y now", None, None, 0), (101, "mail bob@example.com.1 now", None, None, 0)]
+    left = ["on 01-02-2024 and 05.06.2023", "version 1.2.3, 12345 items, 2024-01-02 10:30"]
+    rows += [(200 + i, t, None, None, 0) for i, t in enumerate(left)]
+    types = "doc_id long, text string, lang string, source string, n_chars long"
+    got = {r["doc_id"]: r for r in module.with_surrogates(spark.createDataFrame(rows, types), "k").collect()}
+    shape = lambda t: "".join("0" if c.isdigit() else c for c in t)
+    for i, v in enumerate(whole):
+        text = got[i]["text"]
+        assert got[i]["n_entities"] == 1 and shape(text) == shape(rows[i][1]), (v, text)
+        assert v not in text and len({c for c, d in zip(text, rows[i][1]) if c != d}) >= 3
+        assert text.split(" now")[0][-2:] != v[-2:] or text.split(" now")[0][-4:] != v[-4:], (v, text)
+    assert all("bob@example" not in got[i]["text"] and got[i]["n_entities"] == 1 for i in (100, 101))
+    assert got[100]["text"].endswith(".com-y now") and got[101]["text"].endswith(".com.1 now")
+    assert [got[200 + i]["text"] for i in range(2)] == left
+    kind = lambda v: spark.range(1).select(module.kind_of(module.F.lit(v))).first()[0]
+    assert [kind(v) for v in ("012-34-5678", "0123 4567 8901 2345", "10.20.30.40")] == ["ssn", "card", "ip"]

@@ -43,10 +43,14 @@ ENDINGS = {
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _NAME = r"\p{Lu}[\p{Ll}\p{M}]++(?:-\p{Lu}\p{Ll}++)?"
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)*+(?<=\.\p{L}{2,24})",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]+\.)+\p{L}{2,24}(?![\p{L}\p{N}])",
     "iban": r"\b(?=[A-Z]{2}(?:[A-Z ]{0,6}\d){10})[A-Z]{2}\d{2}(?:(?: [A-Z0-9]{4}){3,7}(?: [A-Z0-9]{1,3})?|[A-Z0-9]{11,30})\b",
-    "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\d)"
-    r"|(?<!\d)\(\d{3}\) ?\d{3}[ -]\d{4}(?!\d)",
+    # 7 to 15 digits after a plus; a code in brackets; 3-3-4 digits; a leading zero and groups (but no date, ssn or card).
+    "phone": r"(?<![\d+])\+(?:[ ./-]?\(?\d\)?){6,14}[ ./-]?\d(?!\d)"
+    r"|(?<!\d)\(\d{2,5}\)(?:[ ./-]?\d){5,11}(?!\d)"
+    r"|(?<![\d.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-])"
+    r"|(?<![\d.,/:+-])(?!\d{2}[./-]\d{2}[./-]\d{4}(?!\d)|\d{3}-\d{2}-\d{4}(?!\d)|\d{4}(?:[ -]\d{4}){3}(?!\d))"
+    r"(?=0\d{1,4}[ ./-]\d{2})0(?:[ ./-]?\d){6,14}(?!\d)",
     "card": r"(?<![\d.-])(?:\d{15,16}|\d{4}(?:[ -]\d{4}){3})(?![\d-])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
@@ -56,7 +60,7 @@ PATTERNS = {
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 # What every entity but a person has: an at sign, five digits and separators in a row, or an account's head.
-MARK = r"@|[0-9][0-9.() -]{4}|[A-Z]{2}[0-9]{2}[A-Z0-9 ]{11}"
+MARK = r"@|[0-9][0-9./() -]{4}|[A-Z]{2}[0-9]{2}[A-Z0-9 ]{11}"
 WIDER_AFTER = 8
 
 
