@@ -127,3 +127,86 @@ def test_bins_undo_the_inflation_of_unique_values(spark):
     exact = scores(op.symmetrical_uncertainty(df, "prediction", ["noise"]))["noise"]
     binned = scores(op.symmetrical_uncertainty(df, "prediction", ["noise"], bins=5))["noise"]
     assert binned < 0.05 < exact
+
+
+def boost_by_hand(x, y, rounds, depth, rate=0.1):
+    """Importances of softmax boosting with all values as cuts, in plain Python."""
+    n, cols = x.shape
+    classes = sorted(set(y))
+    scores = np.log([[np.mean(y == c)] * n for c in classes])
+    gains = np.zeros(cols)
+    for _ in range(rounds):
+        odds = np.exp(scores - scores.max(axis=0))
+        p = odds / odds.sum(axis=0)
+        for k, c in enumerate(classes):
+            r = (y == c) - p[k]
+            leaves = [np.arange(n)]
+            done = []
+            for _ in range(depth):
+                after = []
+                for rows in leaves:
+                    best = (1e-20, None)
+                    for v in range(cols):
+                        for cut in sorted(set(x[rows, v]))[:-1]:
+                            left, right = rows[x[rows, v] <= cut], rows[x[rows, v] > cut]
+                            gain = len(left) * len(right) / len(rows) * (r[left].mean() - r[right].mean()) ** 2
+                            if gain > best[0] * (1 + 1e-9):
+                                best = (gain, (v, left, right))
+                    if best[1] is None:
+                        done.append(rows)
+                    else:
+                        gains[best[1][0]] += best[0]
+                        after += best[1][1:]
+                leaves = after
+            for rows in done + leaves:
+                size = (np.abs(r[rows]) * (1 - np.abs(r[rows]))).sum()
+                scores[k, rows] += rate * (len(classes) - 1) / len(classes) * r[rows].sum() / size
+    return gains / gains.sum()
+
+
+@pytest.mark.parametrize("classes", [2, 4])
+def test_boosting_equals_plain_python(spark, monkeypatch, classes):
+    from tierwatch.operators import boosting
+
+    monkeypatch.setattr(boosting, "WRITE_ROUNDS", 2)
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 37)
+    rng = np.random.default_rng(7)
+    y = rng.integers(0, classes, 120)
+    x = np.stack([np.round(y + rng.normal(0, 1, 120), 1), rng.integers(0, 5, 120), (y == 1) * 2 + rng.integers(0, 3, 120)], axis=1)
+    df = frame(spark, {"a": x[:, 0], "b": x[:, 1], "c": x[:, 2], "y": y})
+    model = boosting.fit_booster(df.repartition(3), "y", ["a", "b", "c"], rounds=5, depth=3)
+    assert model.importances() == pytest.approx(boost_by_hand(x, y, 5, 3), abs=1e-6)
+    again = boosting.fit_booster(df.coalesce(1), "y", ["a", "b", "c"], rounds=5, depth=3)
+    assert (again.importances() == model.importances()).all()
+
+
+def test_boosting_passes_do_not_grow_with_classes(spark, monkeypatch):
+    from tierwatch.operators import boosting
+
+    passes = []
+    plain = boosting._level_cuts
+    monkeypatch.setattr(boosting, "_level_cuts", lambda *a: passes.append(a[4]) or plain(*a))
+    rng = np.random.default_rng(8)
+    df = frame(spark, {"a": rng.normal(size=300), "b": rng.integers(0, 9, 300), "y": rng.integers(0, 9, 300)})
+    boosting.fit_booster(df, "y", ["a", "b"], rounds=2, depth=3, bins=8)
+    assert passes == [0, 1, 2, 0, 1, 2]
+
+
+def test_boosting_refuses_and_degenerates(spark):
+    from tierwatch.operators import boosting
+
+    df = spark.createDataFrame([(1.0, None, 0.0), (2.0, 1.0, 1.0)], "a double, b double, y double")
+    with pytest.raises(ValueError, match="b"):
+        boosting.fit_booster(df, "y", ["a", "b"])
+    with pytest.raises(ValueError, match="without a value"):
+        boosting.fit_booster(df, "b", ["a"])
+    assert boosting.fit_booster(df.limit(1), "y", ["a"]).importances().tolist() == [0.0]
+    flat = spark.createDataFrame([(1.0, 0.0), (1.0, 1.0)], "a double, y double")
+    assert op.gbt_importance(flat, "y", ["a"]).collect() == []
+
+
+def test_wide_and_null_symbols_count_once(spark):
+    df = spark.createDataFrame([(None, "x"), (None, "x"), ("p", None), ("p|", "x"), ("p", "|x")], "`a.b` string, `c` string")
+    got = op.entropies(df, [("a.b",), ("a.b", "c")])
+    assert got[("a.b",)] == pytest.approx(entropy([None, None, "p", "p|", "p"]))
+    assert got[("a.b", "c")] == pytest.approx(entropy([(None, "x"), (None, "x"), ("p", None), ("p|", "x"), ("p", "|x")]))

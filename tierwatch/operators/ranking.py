@@ -10,14 +10,18 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.feature import QuantileDiscretizer, VectorAssembler
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from tierwatch.functions.names import quoted
+from tierwatch.functions.shared import stage
+from tierwatch.operators.boosting import MAX_BINS, fit_booster
 from tierwatch.operators.cleaning import distinct_values
+from tierwatch.operators.counting import joint_counts, value_counts
+from tierwatch.operators.cutting import cut_columns, supervised_cuts
+from tierwatch.operators.ordering import exact_quantiles
 
 # Label values that fit as separate counters into one aggregation row.
 MAX_COUNTERS = 64
@@ -27,51 +31,25 @@ def _nlogn(n: Column) -> Column:
     return F.when(n > 0, n * F.log2(n)).otherwise(F.lit(0.0))
 
 
-# Types whose values a double holds exactly.
-_EXACT = {"double", "float", "integer", "short", "byte"}
+SUPERVISED = "supervised"
 
 
-def _kind(df: DataFrame, names: Sequence[str]) -> str:
-    """The common type of symbols: double if that keeps all values apart, else string."""
-    return "double" if {df.schema[c].dataType.typeName() for c in names} <= _EXACT else "string"
+def discretize(df: DataFrame, cols: Sequence[str], bins: int) -> DataFrame:
+    """Replace continuous columns by bin numbers at quantiles of their values; missing values stay missing."""
+    shares = [(i + 1) / bins for i in range(bins - 1)]
+    if not shares:
+        return cut_columns(df, {c: [] for c in cols})
+    found: dict[str, set[float]] = {c: set() for c in cols}
+    for r in exact_quantiles(df, cols, shares).collect():  # bins - 1 rows a column
+        found[r["variable"]].add(r["value"])
+    return cut_columns(df, {c: sorted(v) for c, v in found.items()})
 
 
-def _symbols(df: DataFrame, cols: Sequence[str], kind: str | None = None) -> dict[str, Column]:
-    """Columns as comparable symbols. Values that differ stay apart, and 0.0 equals -0.0."""
-    out = {}
-    for c in cols:
-        column = F.col(quoted(c))
-        if df.schema[c].dataType.typeName() in ("double", "float"):
-            column = column.cast("double") + F.lit(0.0)
-        out[c] = column.cast(kind or _kind(df, cols))
-    return out
-
-
-def discretize(df: DataFrame, cols: Sequence[str], bins: int, error: float = 0.001) -> DataFrame:
-    """Replace continuous columns by quantile bin numbers."""
-    outs = [f"__bin{i}" for i in range(len(cols))]
-    binner = QuantileDiscretizer(
-        numBuckets=bins, inputCols=list(cols), outputCols=outs, relativeError=error, handleInvalid="keep"
-    )
-    binned = binner.fit(df).transform(df)
-    return binned.drop(*cols).withColumnsRenamed(dict(zip(outs, cols, strict=True)))
-
-
-def _value_counts(df: DataFrame, label: str, cols: Sequence[str], labels: Sequence) -> DataFrame:
-    """One row per (variable index, value) with a counter for each label value.
-
-    This is the only shuffle that grows with the data. Variables travel as small integers.
-    """
-    symbols = _symbols(df, cols)
-    rows = [F.struct(F.lit(i).alias("v"), symbols[c].alias("value")) for i, c in enumerate(cols)]
-    return (
-        df.select(F.col(quoted(label)).alias("label"), F.inline(F.array(*rows)))
-        .groupBy("v", "value")
-        .agg(
-            F.count(F.lit(1)).alias("total"),
-            *[F.count_if(F.col("label").eqNullSafe(F.lit(y))).alias(f"n{j}") for j, y in enumerate(labels)],
-        )
-    )
+def _binned(df: DataFrame, label: str, cols: Sequence[str], bins: int | str | None) -> DataFrame:
+    """`df` with `cols` in bins: a number of quantiles, the cuts that say most about the label, or as they are."""
+    if bins == SUPERVISED:
+        return cut_columns(df, supervised_cuts(df, label, cols))
+    return discretize(df, cols, bins) if bins else df
 
 
 def _named(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -86,16 +64,16 @@ def _su(hx: Column, hy: Column, hxy: Column) -> Column:
 
 
 def symmetrical_uncertainty(
-    df: DataFrame, label: str, cols: Sequence[str], delta: float | None = 0.0, bins: int | None = None
+    df: DataFrame, label: str, cols: Sequence[str], delta: float | None = 0.0, bins: int | str | None = None
 ) -> DataFrame:
     """`(variable, su)` of each variable against a discrete label, keeping su > delta.
 
-    Every distinct value is a symbol, so near-unique columns score high; `bins` groups
-    values into quantile bins first. `delta=None` keeps all variables.
+    Every distinct value is a symbol, so near-unique columns score high; `bins` groups values first: a number
+    of quantile bins, or "supervised" for the cuts that say most about the label. `delta=None` keeps all
+    variables.
     """
-    if bins:
-        df = discretize(df, cols, bins)
-    seen = df.select(label).distinct().limit(MAX_COUNTERS + 1).collect()
+    df = _binned(df, label, cols, bins)
+    seen = df.select(quoted(label)).distinct().limit(MAX_COUNTERS + 1).collect()
     if len(seen) <= MAX_COUNTERS:
         scores = _su_few_labels(df, label, cols, [r[0] for r in seen])
     else:
@@ -104,7 +82,7 @@ def symmetrical_uncertainty(
 
 
 def _su_few_labels(df: DataFrame, label: str, cols: Sequence[str], labels: Sequence) -> DataFrame:
-    counts = _value_counts(df, label, cols, labels)
+    counts = value_counts(df, label, cols, labels)
     per_label = [F.col(f"n{j}") for j in range(len(labels))]
     n_value = sum(per_label[1:], per_label[0])
     sums = counts.groupBy("v").agg(
@@ -137,18 +115,7 @@ def _su_value(hx: float, hy: float, hxy: float) -> float:
 
 def entropies(df: DataFrame, groups: Sequence[tuple[str, ...]]) -> dict[tuple[str, ...], float]:
     """Entropy in bits of single columns and column pairs; one shuffle for all of them."""
-    names = sorted({c for g in groups for c in g})
-    symbols = _symbols(df, names)
-    null = F.lit(None)
-    cells = [
-        F.struct(
-            F.lit(i).alias("g"),
-            symbols[g[0]].alias("a"),
-            (symbols[g[1]] if len(g) > 1 else null.cast(_kind(df, names))).alias("b"),
-        )
-        for i, g in enumerate(groups)
-    ]
-    counted = df.select(F.inline(F.array(*cells))).groupBy("g", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    counted = joint_counts(df, groups)
     sums = counted.groupBy("g").agg(F.sum("n").alias("total"), F.sum(_nlogn(F.col("n"))).alias("f")).collect()
     return {groups[r["g"]]: math.log2(r["total"]) - r["f"] / r["total"] for r in sums}
 
@@ -161,22 +128,22 @@ def pairwise_su(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "variable string, other string, su double")
 
 
-def su_importance(df: DataFrame, label: str, cols: Sequence[str], bins: int | None = None) -> DataFrame:
+def su_importance(df: DataFrame, label: str, cols: Sequence[str], bins: int | str | None = None) -> DataFrame:
     """`(variable, valor, importance_norm)`: uncertainty and its share of the largest one."""
     scores = symmetrical_uncertainty(df, label, cols, bins=bins).withColumnRenamed("su", "valor")
     return scores.withColumn("importance_norm", F.col("valor") / F.max("valor").over(Window.partitionBy()))
 
 
 def fcbf(
-    df: DataFrame, label: str, cols: Sequence[str], delta: float = 0.0, bins: int | None = None
+    df: DataFrame, label: str, cols: Sequence[str], delta: float = 0.0, bins: int | str | None = None
 ) -> DataFrame:
     """Fast correlation-based filter: `(rank, variable, su, importance_norm)`.
 
     Takes the variable with the highest uncertainty and drops those it predicts at least
     as well as they predict the label. Each round counts only the pairs it needs.
     """
-    if bins:
-        df = discretize(df, cols, bins)
+    df = _binned(df, label, cols, bins)
+    df = stage(df.select(quoted(label), *[quoted(c) for c in cols]), "fcbf", codec="zstd")
     marginal = entropies(df, [(c,) for c in cols])
     scores = {r["variable"]: r["su"] for r in symmetrical_uncertainty(df, label, cols, delta).collect()}
     # Rounded, so that ties do not hang on the order in which counts were added up.
@@ -200,7 +167,7 @@ def fcbf(
 
 
 def cluster_weights(
-    df: DataFrame, label: str, cols: Sequence[str], labels: Sequence | None = None, bins: int | None = None
+    df: DataFrame, label: str, cols: Sequence[str], labels: Sequence | None = None, bins: int | str | None = None
 ) -> DataFrame:
     """Weight matrix: `variable, peso_<c>...`.
 
@@ -208,8 +175,7 @@ def cluster_weights(
     largest one. The count for "not in c" is the total minus the count for c, so one
     table of counts serves all clusters.
     """
-    if bins:
-        df = discretize(df, cols, bins)
+    df = _binned(df, label, cols, bins)
     found = distinct_values(df, label) if labels is None else list(labels)
     parts = [
         _weights_for(df, label, cols, found[i : i + MAX_COUNTERS]) for i in range(0, len(found), MAX_COUNTERS)
@@ -218,7 +184,7 @@ def cluster_weights(
 
 
 def _weights_for(df: DataFrame, label: str, cols: Sequence[str], labels: Sequence) -> DataFrame:
-    counts = _value_counts(df, label, cols, labels)
+    counts = value_counts(df, label, cols, labels)
     n = [F.col(f"n{j}") for j in range(len(labels))]
     total = F.col("total")
     sums = counts.groupBy("v").agg(
@@ -265,30 +231,19 @@ def gbt_importance(
     df: DataFrame,
     label: str,
     cols: Sequence[str],
-    seed: int = 0,
     max_iter: int = 100,
     max_depth: int = 3,
     floor: float = 1e-4,
+    rate: float = 0.1,
+    bins: int = MAX_BINS,
 ) -> DataFrame:
     """Boosted-tree importance of each variable for a cluster label, after `max_iter` rounds.
 
-    Spark boosts two classes only, so each cluster is set against the rest and the
-    importances are averaged.
+    One softmax booster over all clusters: a variable's importance is its share of what all cuts take off
+    the squared residuals. Values are cut at `bins` places at most.
     """
-    labels = distinct_values(df, label)
-    data = _vectors(df, label, cols).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        sums = [0.0] * len(cols)
-        targets = labels if len(labels) > 2 else labels[:1]
-        for y in targets:
-            one_vs_rest = data.withColumn("target", (F.col("y") == y).cast("double"))
-            model = GBTClassifier(
-                labelCol="target", maxIter=max_iter, maxDepth=max_depth, stepSize=0.1, seed=seed
-            ).fit(one_vs_rest)
-            sums = [s + float(v) for s, v in zip(sums, model.featureImportances.toArray(), strict=True)]
-    finally:
-        data.unpersist()
-    return _importance_table(df, cols, [s / len(targets) for s in sums], floor)
+    model = fit_booster(df, label, cols, max_iter, max_depth, rate, bins)
+    return _importance_table(df, cols, model.importances(), floor)
 
 
 def rf_importance(

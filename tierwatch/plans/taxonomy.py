@@ -15,6 +15,7 @@ from tierwatch.operators.clustering import MAX_ITER, Centers, best_ks, kmeans_fi
 from tierwatch.operators.components import pca_variance
 from tierwatch.operators.ordering import recode_levels
 from tierwatch.operators.ranking import (
+    SUPERVISED,
     cluster_weights,
     discriminating_variables,
     gbt_importance,
@@ -135,15 +136,16 @@ class Taxonomy:
         seed: int = 42,
         ranker: str = "gbt",
         grouping: str = "ward",
-        bins: int | None = None,
+        bins: int | str | None = SUPERVISED,
         max_iter: int = MAX_ITER,
         restarts: int = 1,
         check: bool = True,
     ) -> Taxonomy:
         """Learn the levels of the numeric variables of an imputed table.
 
-        `ranker` is "gbt", "rf" (fewer passes over the data) or "su". With `check`, a key that
-        repeats is refused.
+        `ranker` is "gbt", "rf" (fewer passes over the data) or "su". The weights take the values in
+        `bins`: at the cuts that say most about the clusters, a number of quantiles, or as they are (None).
+        With `check`, a key that repeats is refused.
         """
         names = list(cols) if cols is not None else numeric(df, exclude=[key, ts or key])
         data = stage(df.select(key, *[F.col(quoted(c)).cast("double").alias(c) for c in names]), "features", spread=True)
@@ -154,7 +156,7 @@ class Taxonomy:
         centers, _ = kmeans_fit(scaled, names, clusters, seed, key, max_iter=max_iter, restarts=restarts)
         z = [scaler.z(c) for c in names]
         labelled = data.withColumn("prediction", nearest(z, centers.points))
-        seeded = {} if ranker == "su" else {"seed": seed}
+        seeded = {"seed": seed} if ranker == "rf" else {}
         ranked = RANKERS[ranker](labelled, "prediction", names, **seeded)
         chosen = [r["variable"] for r in ranked.orderBy(F.desc("importance_norm"), "variable").limit(top).collect()]
         weights = stage(cluster_weights(labelled, "prediction", chosen, range(centers.k), bins), "weights")

@@ -310,5 +310,11 @@ def level_models(spark, sf_dir):
 
 @query()
 def learned_taxonomy(spark, sf_dir):
-    taxonomy = Taxonomy.fit(clean_profile(spark, sf_dir), "rec_id", VARS, ranker="rf")
+    """The default path: boosted importance, supervised cuts, Ward groups."""
+    return Taxonomy.fit(clean_profile(spark, sf_dir), "rec_id", VARS).levels_table(spark)
+
+
+@query()
+def learned_taxonomy_forest(spark, sf_dir):
+    taxonomy = Taxonomy.fit(clean_profile(spark, sf_dir), "rec_id", VARS, ranker="rf", bins=None)
     return taxonomy.levels_table(spark)

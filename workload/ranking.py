@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tierwatch.functions.shared import stage
+from tierwatch.operators import cutting as cut
 from tierwatch.operators import ranking as op
 from workload.common import CLEAN, VARS, clean_profile, query, r6, rounded, table, with_
 from workload.relational import FLAGS, SU_VARS, su_sql
@@ -186,9 +187,105 @@ def discriminating_variables(spark, sf_dir):
     return picked.withColumn("spread", F.round("spread", 9) + F.lit(0.0))
 
 
+# One round of stumps: the cut of each class that takes most off its squared residuals, by all values.
+_STUMP_VARS = ("v_lines", "v_supp", "v_ret", "v_qty_max")
+
+
+def _stumps_sql() -> str:
+    gains = []
+    for i, p in enumerate(PRIORITIES):
+        for v in _STUMP_VARS:
+            gains.append(
+                f"SELECT {i} AS k, {_STUMP_VARS.index(v)} AS v, '{v}' AS variable, x, n1, n - n1 AS n2, g1, g - g1 AS g2, n FROM ("
+                f"SELECT x, SUM(m) OVER (ORDER BY x) AS n1, SUM(r) OVER (ORDER BY x) AS g1, SUM(m) OVER () AS n, SUM(r) OVER () AS g FROM ("
+                f"SELECT {v} AS x, COUNT(*) AS m, SUM((CASE WHEN pri = '{p}' THEN 1.0 ELSE 0.0 END) - share) AS r FROM clean, "
+                f"(SELECT AVG(CASE WHEN pri = '{p}' THEN 1.0 ELSE 0.0 END) AS share FROM clean) GROUP BY x))"
+            )
+    return with_(
+        CLEAN
+        + f""",
+sides AS ({" UNION ALL ".join(gains)}),
+gains AS (SELECT k, v, variable, MAX(n1 * n2 / n * (g1 / n1 - g2 / n2) * (g1 / n1 - g2 / n2)) AS gain FROM sides WHERE n2 > 0 GROUP BY k, v, variable),
+best AS (SELECT variable, gain FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY k ORDER BY ROUND(gain, 9) DESC, v) AS nth FROM gains) WHERE nth = 1),
+shares AS (SELECT variable, SUM(gain) / (SELECT SUM(gain) FROM best) AS valor FROM best GROUP BY variable)""",
+        f"SELECT variable, {r6('valor')}, {r6('valor / (SELECT MAX(valor) FROM shares)', 'importance_norm')} FROM shares WHERE valor > 1e-4",
+    )
+
+
+@query(_stumps_sql())
+def boosted_stumps(spark, sf_dir):
+    """The first round of the booster, one level deep, which SQL can follow."""
+    found = op.gbt_importance(_labelled(spark, sf_dir), "pri", _STUMP_VARS, max_iter=1, max_depth=1)
+    return rounded(found, "valor", "importance_norm")
+
+
 @query()
 def boosted_importance(spark, sf_dir):
-    return op.gbt_importance(_labelled(spark, sf_dir), "st", VARS)
+    """All rounds at full depth, five classes at once."""
+    return op.gbt_importance(_labelled(spark, sf_dir), "pri", VARS)
+
+
+_CUT_VARS = ("v_qty", "v_tax")
+_CUT_DEPTH = 3
+
+
+def _level_sql(v: str, i: int) -> str:
+    """One pass over the intervals iv{i}(lo, hi) of variable v: the cut of each that pays."""
+    nlogn = lambda x: f"CASE WHEN {x} > 0 THEN {x} * LOG2({x}) ELSE 0.0 END"
+    return f"""
+{v}_s{i} AS (
+  SELECT lo, hi, x, SUM(l) AS n1, SUM(t - l) AS n2, SUM(t) AS n, SUM({nlogn('l')}) AS f1, SUM({nlogn('(t - l)')}) AS f2, SUM({nlogn('t')}) AS f,
+         COUNT_IF(t > 0) AS k, COUNT_IF(l > 0) AS k1, COUNT_IF(t > l) AS k2
+  FROM (
+    SELECT iv.lo, iv.hi, m.x, CAST(m.upto - COALESCE(a.upto, 0) AS DOUBLE) AS l, CAST(b.upto - COALESCE(a.upto, 0) AS DOUBLE) AS t
+    FROM {v}_iv{i} iv JOIN {v}_run m ON m.x > iv.lo AND m.x < iv.hi JOIN {v}_run b ON b.x = iv.hi AND b.y = m.y
+    LEFT JOIN {v}_run a ON a.x = iv.lo AND a.y = m.y)
+  GROUP BY lo, hi, x),
+{v}_h{i} AS (
+  SELECT *, LOG2(n) - f / n AS h, LOG2(n1) - f1 / n1 AS h1, LOG2(n2) - f2 / n2 AS h2,
+         ROUND(n1 * LOG2(n1) - f1 + n2 * LOG2(n2) - f2, 6) AS cost FROM {v}_s{i}),
+{v}_c{i} AS (
+  SELECT lo, hi, x FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY lo, hi ORDER BY cost, x) AS nth FROM {v}_h{i})
+  WHERE nth = 1 AND h - (n1 * h1 + n2 * h2) / n > (LOG2(n - 1) + LOG2(POW(3, k) - 2) - (k * h - k1 * h1 - k2 * h2)) / n),
+{v}_iv{i + 1} AS (SELECT lo, x AS hi FROM {v}_c{i} UNION ALL SELECT x AS lo, hi FROM {v}_c{i})"""
+
+
+def _cuts_cte(v: str) -> str:
+    start = f"""
+{v}_xy AS (SELECT {v} AS x, v_lines AS y, COUNT(*) AS n FROM clean GROUP BY ALL),
+{v}_run AS (
+  SELECT x, y, SUM(COALESCE(n, 0)) OVER (PARTITION BY y ORDER BY x) AS upto
+  FROM (SELECT DISTINCT x FROM {v}_xy) CROSS JOIN (SELECT DISTINCT y FROM {v}_xy) LEFT JOIN {v}_xy USING (x, y)),
+{v}_iv0 AS (SELECT CAST('-infinity' AS DOUBLE) AS lo, MAX(x) AS hi FROM {v}_run)"""
+    cuts = f"{v}_cuts AS (" + " UNION ALL ".join(f"SELECT x FROM {v}_c{i}" for i in range(_CUT_DEPTH)) + ")"
+    return ",".join([start, *[_level_sql(v, i) for i in range(_CUT_DEPTH)]]) + ",\n" + cuts
+
+
+_CUTS = CLEAN + "," + ",".join(map(_cuts_cte, _CUT_VARS))
+
+
+@query(with_(_CUTS, " UNION ALL ".join(f"SELECT '{v}' AS variable, ROUND(x, 6) + 0.0 AS cut FROM {v}_cuts" for v in _CUT_VARS)))
+def supervised_cuts(spark, sf_dir):
+    """Where two sums over the lines of an order are cut to tell the number of its lines."""
+    clean = stage(clean_profile(spark, sf_dir).select("v_lines", *_CUT_VARS), "cuts")
+    cuts = cut.supervised_cuts(clean, "v_lines", _CUT_VARS, depth=_CUT_DEPTH)
+    return rounded(spark.createDataFrame([(v, x) for v in cuts for x in cuts[v]], "variable string, cut double"), "cut")
+
+
+_BINNED = ", ".join(f"(SELECT COUNT(*) FROM {v}_cuts WHERE x < {v}) AS {v}" for v in _CUT_VARS)
+
+
+@query(
+    with_(
+        _CUTS + f",\nbinned AS MATERIALIZED (SELECT v_lines, {_BINNED} FROM clean)",
+        f"SELECT variable, {r6('su')} FROM ({su_sql('v_lines', _CUT_VARS, 'binned')}) WHERE su > 0",
+    )
+)
+def supervised_uncertainty(spark, sf_dir):
+    """Uncertainty of variables that were cut for the label."""
+    clean = stage(clean_profile(spark, sf_dir).select("v_lines", *_CUT_VARS), "cuts")
+    cuts = cut.supervised_cuts(clean, "v_lines", _CUT_VARS, depth=_CUT_DEPTH)
+    return rounded(op.symmetrical_uncertainty(cut.cut_columns(clean, cuts), "v_lines", _CUT_VARS), "su")
 
 
 @query()
@@ -196,6 +293,18 @@ def forest_importance(spark, sf_dir):
     return op.rf_importance(_labelled(spark, sf_dir), "pri", VARS)
 
 
-@query()
+_TENTHS = [(i + 1) / 10 for i in range(9)]
+_IN_TENTHS = ", ".join(f"LEN(LIST_FILTER(LIST_DISTINCT(q.{v}), lambda e: e < clean.{v})) AS {v}" for v in VARS)
+
+
+@query(
+    with_(
+        CLEAN
+        + f""",
+q AS (SELECT {", ".join(f"QUANTILE_CONT({v}, {_TENTHS}) AS {v}" for v in VARS)} FROM clean),
+binned AS MATERIALIZED (SELECT clean.pri, {_IN_TENTHS} FROM clean, q)""",
+        f"SELECT variable, {r6('su')} FROM ({su_sql('pri', VARS, 'binned')}) WHERE su > 0",
+    )
+)
 def binned_uncertainty(spark, sf_dir):
-    return op.symmetrical_uncertainty(_labelled(spark, sf_dir), "pri", VARS, bins=10)
+    return rounded(op.symmetrical_uncertainty(_labelled(spark, sf_dir), "pri", VARS, bins=10), "su")
