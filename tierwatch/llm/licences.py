@@ -285,10 +285,12 @@ def find_licences(docs: DataFrame, known: list[Template] | None = None) -> DataF
     """
     known = templates() if known is None else known
     words = vocabulary(known)
-    shared = docs.sparkSession.sparkContext.broadcast((known, words, document_counts(docs, words)))
+    plain = [(t.label, t.words, t.phrases, t.base, t.slack) for t in known]
+    shared = docs.sparkSession.sparkContext.broadcast((plain, words, document_counts(docs, words)))
 
     def search(batches) -> Iterator[pa.RecordBatch]:
-        index = Index(*shared.value)
+        plain, words, df = shared.value
+        index = Index([Template(*t) for t in plain], words, df)
         labels = pa.array([t.label for t in index.known], pa.string())
         base = pa.array(index.base)
         for batch in batches:
