@@ -9,24 +9,24 @@ VECTORS = "vec_id long, embedding array<float>, label int"
 
 
 def by_hand(rows, every=20, k=20):
-    sound = {}
-    for i, x, _ in rows:
-        if i is None or x is None or any(v is None or not math.isfinite(v) for v in x):
-            continue
-        cells = [float(math.floor(64 * v)) for v in x]
-        sound[i] = min(sound.get(i, cells), cells)
+    """Every row by itself, also those that repeat an id."""
+    sound = [
+        (i, [float(math.floor(64 * v)) for v in x])
+        for i, x, _ in rows
+        if i is not None and x is not None and all(v is not None and math.isfinite(v) for v in x)
+    ]
     out = []
-    for q in sorted(sound):
+    for at, (q, a) in enumerate(sound):
         if q % every:
             continue
         scored = []
-        for c in sound:
-            if c != q:
-                n = max(len(sound[q]), len(sound[c]))
+        for other, (c, b) in enumerate(sound):
+            if other != at:
+                n = max(len(a), len(b))
                 pad = lambda v: v + [0.0] * (n - len(v))
-                scored.append((-int(sum(int(a) * int(b) for a, b in zip(pad(sound[q]), pad(sound[c])))), c))
+                scored.append((-int(sum(int(x) * int(y) for x, y in zip(pad(a), pad(b)))), c))
         out += [(q, r, c, max(-(1 << 63), min((1 << 63) - 1, -s))) for r, (s, c) in enumerate(sorted(scored)[:k], 1)]
-    return out
+    return sorted(out)
 
 
 @pytest.fixture(scope="module")
@@ -43,16 +43,27 @@ def vectors():
 
 def test_top_k_by_hand(spark, vectors, monkeypatch):
     expected = by_hand(vectors)
-    for shard, tile, fan in ((8192, 2048, 8), (10, 4, 2)):
+    frame = spark.createDataFrame(vectors, VECTORS)
+    for shard, tile, block, fan in ((4096, 256, 16 << 20, 8), (10, 2, 1000, 2)):
         monkeypatch.setattr(topk, "SHARD_ROWS", shard)
         monkeypatch.setattr(topk, "TILE_ROWS", tile)
-        cells = topk.quantised(spark.createDataFrame(vectors, VECTORS))
-        from pyspark.sql import functions as F
-
-        got = topk.top_k(cells.where(F.col("vec_id") % 20 == 0), cells, 20, fan).collect()
+        monkeypatch.setattr(topk, "BLOCK_BYTES", block)
+        cells = topk.numbered(topk.quantised(frame.repartition(5)))
+        got = topk.top_k(cells.where("vec_id % 20 = 0"), cells, 20, fan).collect()
         assert sorted(tuple(r) for r in got) == expected
 
 
+def test_rows_that_repeat_an_id_are_candidates(spark):
+    rows = [(20, [1.0, 0.0], 0), (1, [2.0, 0.0], 0), (1, [3.0, 0.0], 0), (2, [1.0, 1.0], 0)]
+    frame = spark.createDataFrame(rows, VECTORS)
+    got = topk.search_embeddings(frame).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(1, 12_288), (1, 8_192), (2, 4_096)]
+    from pyspark.sql import functions as F
+
+    clashing = frame.withColumns({c: F.lit(7) for c in ("tile", "shard", "rank", "row", "cells", "score", "query", "query_id")})
+    assert sorted(map(tuple, topk.search_embeddings(clashing).collect())) == sorted(map(tuple, got))
+
+
 def test_top_k_with_few_rows_and_large_numbers(spark):
     rows = [(0, [1e17, 3.0], 0), (1, [1e17, 1.0], 0), (2, [-1e17, 5.0], 0), (20, [0.015625, 1.0], 0)]
     got = sorted(tuple(r) for r in topk.search_embeddings(spark.createDataFrame(rows, VECTORS)).collect())
