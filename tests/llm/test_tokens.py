@@ -53,7 +53,6 @@ def test_encoding_nothing(nothing):
 
 def check_packing(got, rows, window=packing.WINDOW):
     tokenizer = Tokenizer.from_file(WORDS)
-    tokenizer.encode_special_tokens = True
     wanted = sorted(
         ((r[0], tuple(tokenizer.encode(r[1] or "", add_special_tokens=False).ids) + (1,)) for r in rows), key=str
     )
@@ -98,7 +97,6 @@ def test_packing_nothing(nothing):
 def test_ids_of_awkward_texts():
     texts = ["", " ", "It's I'LL <|endoftext|>", "ΣΑΣ ΟΔΟΣ İx é １2½", "́a", "a\x00b\x1cc \x85d", "it' s 're"]
     tokenizer = Tokenizer.from_file(WORDS)
-    tokenizer.encode_special_tokens = True
     ids, offsets = packing.document_ids(texts, WORDS)
     for i, text in enumerate(texts):
         own = ids[offsets[i] : offsets[i + 1]].tolist()
@@ -137,3 +135,16 @@ def test_powers_leave_no_padding():
         for w in range(n):
             own = sorted(zip(offset[where == w].tolist(), sizes[where == w].tolist()))
             assert [o for o, _ in own] == np.cumsum([0, *[s for _, s in own]])[:-1].tolist()
+
+
+def test_ids_of_many_odd_texts():
+    import random
+
+    pick = random.Random(11)
+    marks = ["İ", "̧", "̇", "́", "Σ", "ς", "ß", "Ǆ", "ﬁ", "中", "🙂", "İ", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>"]
+    plain = list("abcABC019 \t\n.,'<|>-_") + ["'s", "'LL", " the", " ", " ", "\u0085"]
+    odd = ["".join(pick.choice(marks if pick.random() < 0.3 else plain) for _ in range(pick.randint(0, 14))) for _ in range(20_000)]
+    ids, offsets = packing.document_ids(odd, WORDS)
+    tokenizer = Tokenizer.from_file(WORDS)
+    for i, text in enumerate(odd):
+        assert ids[offsets[i] : offsets[i + 1]].tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, packing.END_ID], repr(text)

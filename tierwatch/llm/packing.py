@@ -30,6 +30,7 @@ GROUP_PIECES = 16384
 LOOSE = 1 / 16
 SLICE_BYTES = 8 << 20
 CACHED_WORDS = 400_000
+CAPITAL_DOTTED_I = "\u0130"
 
 PIECE = "slot long, doc_id long, start long, length int, ids_crc32 long, bits array<long>, doc_tokens long"
 
@@ -146,17 +147,44 @@ def _tokenizer(path: str, definition: str | None = None):
     return *cache["tokenizer", path], cache["words", path]
 
 
+def _whole_tokenizer(path: str, definition: str | None = None):
+    """The tokenizer as it comes, which knows its special tokens in a text, and their strings."""
+    cache = texts.worker_cache()
+    if ("whole", path) not in cache:
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_str(definition) if definition else Tokenizer.from_file(path)
+        cache["whole", path] = tokenizer, [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    return cache["whole", path]
+
+
 def document_ids(documents: list[str], path: str, definition: str | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The ids of each text, `END_ID` after each, joined, and the n + 1 offsets of the documents.
 
-    Each distinct word is encoded once.
+    Each distinct word is encoded once. Texts that hold the string of a special token, or the one letter
+    whose lower case depends on the marks after it, are given to the tokenizer whole.
     """
-    tokenizer, last, known = _tokenizer(path, definition)
+    whole, special = _whole_tokenizer(path, definition)
     clean = [unicodedata.normalize("NFC", d).replace("Σ", "σ").lower() for d in documents]
+    odd = [i for i, c in enumerate(clean) if CAPITAL_DOTTED_I in documents[i] or any(t in c or t in documents[i] for t in special)]
+    for i in odd:
+        clean[i] = ""
+    ids, offsets = _ids_by_word(clean, path, definition)
+    if not odd:
+        return ids, offsets
+    own = [ids[a:b] for a, b in zip(offsets, offsets[1:])]
+    for i in odd:
+        own[i] = np.array([*whole.encode(documents[i], add_special_tokens=False).ids, END_ID], np.uint32)
+    return np.concatenate(own), np.concatenate([[0], np.cumsum([len(x) for x in own])])
+
+
+def _ids_by_word(clean: list[str], path: str, definition: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """`document_ids` of texts in lower case."""
+    tokenizer, last, known = _tokenizer(path, definition)
     sizes = np.array([len(d) for d in clean], np.int64)
     bounds = np.concatenate([[0], np.cumsum(sizes)])
     joined = "".join(clean)
-    n_docs = len(documents)
+    n_docs = len(clean)
     if not joined:
         return np.full(n_docs, END_ID, np.uint32), np.arange(n_docs + 1)
     points = texts.code_points(joined)
@@ -237,7 +265,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, group_piece
 
     A null text is empty; an empty text still has its end id. Rows that repeat an id are packed as
     documents of their own. Sequence ids are unique but not dense. Strings that name special tokens
-    are ordinary text. Other columns are ignored; an empty table gives an empty result.
+    have the tokens' ids, as the tokenizer gives them. Other columns are ignored; an empty table gives an empty result.
     """
     cut = stage(pieces(docs, tokenizer_path, window), "pieces", codec="zstd")
     rest = cut.where(F.col("length") < window)
