@@ -271,3 +271,21 @@ def test_copies_do_not_fill_the_labelled_sample(spark):
         rows = [(i, t, None, "a", 0) for i, t in enumerate(texts_ + [copied] * 20)]
         got = secrets.labelled_sample(spark.createDataFrame(rows, DOC_TYPE), 4)
         assert len(got) == 4 and len({tuple(r["x"]) for r in got}) == 4
+
+
+def test_many_short_texts_in_blocks(monkeypatch):
+    import random
+
+    pick = random.Random(5)
+    short = ["".join(chr(0x4E00 + pick.randrange(8000)) for _ in range(12)) for _ in range(3000)] + [None, "", "abc def"]
+    rng = np.random.default_rng(1)
+    model = langid.Prototypes(["a", "b"], rng.normal(size=(2, langid.DIMENSIONS)).astype(np.float32))
+    sizes = []
+    plain = np.bincount
+    monkeypatch.setattr(langid.np, "bincount", lambda *a, **k: sizes.append(len(out := plain(*a, **k))) or out)
+    names, score = model.predict(short)
+    assert max(sizes) <= langid.CELLS
+    monkeypatch.setattr(langid, "CELLS", 1)
+    again, same = model.predict(short)
+    assert names == again and np.allclose(score, same, atol=1e-6)
+    assert names[-3:-1] == ["und", "und"]

@@ -21,6 +21,7 @@ from tierwatch.llm.folds import held_out
 DIMENSIONS = 1024
 SLICE_BYTES = 384 << 10
 CACHED_TRIGRAMS = 60_000
+CELLS = 4 << 20
 UNKNOWN = "und"
 _POINT_BITS = np.uint64(21)
 
@@ -78,6 +79,22 @@ def trigrams(documents: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.nd
     return coded.dictionary.to_numpy(), coded.indices.to_numpy(), owner[whole], letters
 
 
+def _bundles(grams: np.ndarray, index: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """The sum of the vectors of each document's trigrams, over blocks of documents with at most `CELLS`
+    counts (a single document is never cut). The sums are whole numbers, so blocks do not change them."""
+    out = np.zeros((n, DIMENSIONS), np.float32)
+    step = max(1, CELLS // len(grams))
+    begin = np.searchsorted(owner, np.arange(0, n + step, step))
+    for first, a, b in zip(range(0, n, step), begin.tolist(), begin[1:].tolist()):
+        if a == b:
+            continue
+        rows = min(step, n - first)
+        some, at = np.unique(index[a:b], return_inverse=True)
+        counts = np.bincount((owner[a:b] - first) * len(some) + at, minlength=rows * len(some)).reshape(rows, -1)
+        out[first : first + rows] = counts.astype(np.float32) @ cached_vectors(grams[some]).astype(np.float32)
+    return out
+
+
 @dataclass(frozen=True)
 class Prototypes:
     languages: list[str]
@@ -87,8 +104,7 @@ class Prototypes:
         grams, index, owner, letters = trigrams(documents)
         if not self.languages or not len(grams):
             return [UNKNOWN] * len(documents), np.zeros(len(documents))
-        cells = np.bincount(owner * len(grams) + index, minlength=len(documents) * len(grams))
-        bundle = cells.reshape(len(documents), -1).astype(np.float32) @ cached_vectors(grams).astype(np.float32)
+        bundle = _bundles(grams, index, owner, len(documents))
         size = np.maximum(np.linalg.norm(bundle, axis=1), 1e-9)
         cosine = (bundle @ self.vectors.T) / size[:, None]
         best = np.argmax(cosine, axis=1)
