@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -59,6 +60,43 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{root}/{label}-{uuid.uuid4().hex}"
 
 
+class scratch:
+    """A scope whose staged tables are deleted at its end, but for those that are kept.
+
+    Kept tables pass to the scope around it, if there is one. A table may be left out only if nothing
+    that is still to be read comes from it.
+
+        with scratch(spark) as own:
+            steps = stage(first(df), "steps")
+            out = own.keep(stage(second(steps), "out"))
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths, self.kept = spark, [], []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """`df`, as `stage` returned it, whose files stay after the scope."""
+        self.kept.append(df.staged_path)
+        return df
+
+    def __enter__(self) -> scratch:
+        _SCOPES.append(self)
+        return self
+
+    def __exit__(self, kind, *_) -> None:
+        _SCOPES.remove(self)
+        for path in set(self.paths) - set(self.kept):
+            delete_path(self.spark, path)
+        for scope in _SCOPES[-1:]:
+            scope.paths += dict.fromkeys(self.kept)
+        # Shuffle files go once the driver has collected the plans that name them.
+        gc.collect()
+        self.spark._jvm.System.gc()
+
+
+_SCOPES: list[scratch] = []
+
+
 def stage(df: DataFrame, label: str, spread: bool = False, codec: str | None = None) -> DataFrame:
     """Write `df` once to the shared folder and read it back.
 
@@ -71,9 +109,13 @@ def stage(df: DataFrame, label: str, spread: bool = False, codec: str | None = N
     if spread and estimated_bytes(df) < cores * SPLIT_BYTES:
         df = df.repartition(cores)
     path = scratch_path(df.sparkSession, label)
+    for scope in _SCOPES[-1:]:
+        scope.paths.append(path)
     writer = df.write.option("compression", codec) if codec else df.write
     writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
 
 
 def measured(df: DataFrame) -> DataFrame | None:
