@@ -1,11 +1,12 @@
 """Exact duplicates by a tree merge of sorted digest runs.
 
-Every document falls into one of `runs` runs by a hash of its id. A run holds one row per digest:
-the smallest id seen and the number of rows. In each round the runs whose numbers agree above the
-last `log2(fan)` bits are merged, digest by digest, keeping the smallest id, until one run is left;
-then the answers go back down the same tree. A digest that a third of all rows share is therefore
-never gathered under one key: each level meets it at most `fan` times per key. All rows that are
-merged agree in SHA-256, in an independent 64-bit hash and in length.
+Every document falls into one of `runs` runs by a hash of its id; `runs` is a power of two. A run holds
+one row per digest, in order: the smallest id seen and the number of rows. In binomial rounds the runs
+whose numbers agree above the next `log2(fan)` bits exchange their rows and are merged in the order of
+(digest, id): the first row of a digest has its smallest id, and the rows that meet are verified to agree
+in an independent 64-bit hash and in length, else the job fails. When one run is left, the answers
+go back down the same tree. A digest that a third of all rows share is therefore never gathered under
+one key: each level meets it at most `fan` times per key.
 
 Only DataFrame functions are used.
 """
@@ -14,8 +15,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tierwatch.functions.shared import stage
+from tierwatch.functions.shared import scratch, stage
 
 FAN = 8
 SAME_TEXT = ("digest", "check", "size")
@@ -50,19 +52,42 @@ def with_digests(docs: DataFrame, runs: int) -> DataFrame:
     ).drop("clean")
 
 
+def first_runs(rows: DataFrame) -> DataFrame:
+    """The leaves of the tree: one row per run and digest with the smallest id and the number of rows, in order."""
+    merged = rows.groupBy("run", *SAME_TEXT).agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("n"))
+    return merged.sortWithinPartitions("run", "digest")
+
+
 def merge_runs(rows: DataFrame) -> DataFrame:
-    """One row per run and digest: the smallest id, how many rows, and how many of them bear that id."""
-    return rows.groupBy("run", *SAME_TEXT).agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("n"))
+    """Runs that now bear one number, merged digest by digest in one ordered scan.
+
+    Of the rows that meet, at most one from each run, the first has the smallest id. Every row must agree
+    with the one before it in hash and length.
+    """
+    meet = Window.partitionBy("run", "digest")
+    order = meet.orderBy(F.asc_nulls_last("keep_id"), "check", "size")
+    said = F.struct("check", "size")
+    before = F.lag(said).over(order)
+    verified = F.when(before.isNull() | (before == said), F.lit(True)).otherwise(
+        F.raise_error(F.concat(F.lit("different texts share the digest "), F.hex("digest"))).cast("boolean")
+    )
+    scanned = rows.select(
+        "run", *SAME_TEXT, "keep_id",
+        F.sum("n").over(meet).alias("n"),
+        F.min(verified).over(meet).alias("verified"),
+        F.row_number().over(order).alias("nth"),
+    )
+    return scanned.where("nth = 1 and verified").drop("nth", "verified")
 
 
 def exact_groups(digests: DataFrame, runs: int, fan: int = FAN) -> DataFrame:
     """For each run and digest of `digests`: `keep_id` and `group_size` over all runs."""
     leaf = digests.select("run", *SAME_TEXT, F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("n"))
-    levels = [stage(merge_runs(leaf).sortWithinPartitions("run", "digest"), "runs", codec="zstd")]
+    levels = [stage(first_runs(leaf), "runs", codec="zstd")]
     while runs > 1:
         runs //= fan
         merged = merge_runs(levels[-1].withColumn("run", (F.col("run") / fan).cast("int")))
-        levels.append(stage(merged.sortWithinPartitions("run", "digest"), "runs", codec="zstd") if runs > 1 else merged)
+        levels.append(stage(merged, "runs", codec="zstd") if runs > 1 else merged)
     known = levels.pop().withColumnRenamed("n", "group_size")
     while levels:
         above = known.withColumnRenamed("run", "above")
@@ -95,16 +120,21 @@ def exact_duplicates(docs: DataFrame, fan: int = FAN) -> DataFrame:
     )
 
 
+def _kept_rows(docs: DataFrame, runs: int, fan: int) -> DataFrame:
+    """(doc_id, kept_digest, times) of the ids that stay, and how many rows bear id and text."""
+    digests = stage(with_digests(docs.select("doc_id", "text"), runs).drop("text"), "digests", codec="zstd")
+    keys = digests.groupBy("run", "doc_id", *SAME_TEXT).agg(F.count(F.lit(1)).alias("times"))
+    kept = keys.join(exact_groups(digests, runs, fan), ["run", *SAME_TEXT])
+    kept = kept.where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    return kept.select("doc_id", F.col("digest").alias("kept_digest"), "times")
+
+
 def distinct_documents(docs: DataFrame, fan: int = FAN) -> DataFrame:
     """The rows of `docs`, all columns, that `exact_duplicates` keeps; repeated rows once."""
     runs = run_count(docs, fan)
+    with scratch(docs.sparkSession) as own:
+        kept = own.keep(stage(_kept_rows(docs, runs, fan), "kept", codec="zstd"))
     inner = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"))
-    digests = stage(with_digests(docs.select("doc_id", "text"), runs).drop("text"), "digests", codec="zstd")
-    keys = digests.groupBy("run", "doc_id", *SAME_TEXT).agg(F.count(F.lit(1)).alias("times"))
-    kept = keys.join(exact_groups(digests, runs, fan), ["run", *SAME_TEXT]).where(
-        F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    )
-    kept = stage(kept.select("doc_id", F.col("digest").alias("kept_digest"), "times"), "kept", codec="zstd")
     slim = inner.withColumn("digest", F.unhex(F.sha2(normalised(F.col("text")), 256))).drop("text")
     same = slim["doc_id"].eqNullSafe(kept["doc_id"]) & (F.col("digest") == F.col("kept_digest"))
 
