@@ -51,7 +51,7 @@ def sigma_labels(df: DataFrame, cols: dict[str, str], n: float = 3.0) -> DataFra
 
 
 def _sigma_by(df: DataFrame, col: str, n: float, by: str, out: str) -> DataFrame:
-    stats = df.groupBy(by).agg(F.avg(quoted(col)).alias("__m"), F.stddev_samp(quoted(col)).alias("__s"))
+    stats = df.groupBy(quoted(by)).agg(F.avg(quoted(col)).alias("__m"), F.stddev_samp(quoted(col)).alias("__s"))
     joined = join_small(df, stats, by)
     return joined.withColumn(out, _label(F.col(quoted(col)), F.col("__m"), F.col("__s"), n)).drop("__m", "__s")
 
@@ -106,8 +106,8 @@ def anomaly_fields(
     joined, outside, found = _banded(df, sorted(cols), label, n, min_cluster_size)
     return (
         joined.filter(outside)
-        .select(key, F.col(label).alias("cluster"), F.explode(found).alias("f"))
-        .select(key, "cluster", "f.variable", "f.value")
+        .select(quoted(key), F.col(quoted(label)).alias("cluster"), F.explode(found).alias("f"))
+        .select(quoted(key), "cluster", "f.variable", "f.value")
     )
 
 
@@ -158,10 +158,15 @@ def time_group_counts(
 
     Timestamps may sit in a table of their own, joined by record key.
     """
-    rows = df if times is None else df.join(times.select(key, ts), key)
-    at = F.date_trunc(bucket, F.col(ts)) if bucket else F.col(ts)
+    at, name = F.col(quoted(ts)), F.col(quoted(group))
+    if times is None:
+        rows = df.select(at.alias("at"), name.alias("grupo"))
+    else:
+        stamped = times.select(F.col(quoted(key)).alias("key"), at.alias("at"))
+        rows = df.select(F.col(quoted(key)).alias("key"), name.alias("grupo")).join(stamped, "key")
+    point = F.date_trunc(bucket, "at") if bucket else F.col("at")
     return (
-        rows.groupBy(at.alias("timestamp"), F.col(group).alias("grupo"))
+        rows.groupBy(point.alias("timestamp"), "grupo")
         .agg(F.count(F.lit(1)).alias("n"))
     )
 

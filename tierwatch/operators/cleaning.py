@@ -92,7 +92,7 @@ def null_audit(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 
 def distinct_values(df: DataFrame, col: str, limit: int = 10_000) -> list:
     """The values of a low-cardinality column; fails rather than truncating a long list."""
-    rows = df.select(col).distinct().limit(limit + 1).collect()
+    rows = df.select(quoted(col)).distinct().limit(limit + 1).collect()
     if len(rows) > limit:
         raise ValueError(f"{col} has more than {limit} distinct values")
     return sorted((r[0] for r in rows), key=lambda v: (v is None, v))
@@ -106,8 +106,8 @@ def one_hot(df: DataFrame, col: str, prefix: str | None = None, values: Sequence
 def dummies(df: DataFrame, col: str, prefix: str | None = None, values: Sequence | None = None) -> DataFrame:
     """Put 0/1 columns for the values of `col` in front of the existing columns."""
     found = distinct_values(df, col) if values is None else list(values)
-    flags = [F.when(F.col(col) == v, 1).otherwise(0).alias(f"{prefix or col}_{v}") for v in found]
-    return df.select(*flags, *df.columns)
+    flags = [F.when(F.col(quoted(col)) == v, 1).otherwise(0).alias(f"{prefix or col}_{v}") for v in found]
+    return df.select(*flags, *[quoted(c) for c in df.columns])
 
 
 def transpose(df: DataFrame, id_col: str) -> DataFrame:

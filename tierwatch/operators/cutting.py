@@ -85,6 +85,8 @@ def supervised_cuts(
     `depth` limits how often an interval may be cut again; None means as often as it pays.
     """
     found = distinct_values(df, label) if labels is None else list(labels)
+    if not found:
+        return {c: [] for c in cols}
     running = running_counts(df, label, cols, found)
     ends = running.groupBy("v").agg(F.max_by("upto", "value").alias("upto"), F.max("value").alias("high"))
     none = (0,) * len(found)

@@ -13,6 +13,7 @@ from tierwatch.functions.shared import stage
 from tierwatch.functions.vectors import nearest
 from tierwatch.operators.clustering import MAX_ITER, Centers, best_ks, kmeans_fit, ward_groups
 from tierwatch.operators.components import pca_variance
+from tierwatch.operators.moments import cluster_scalers_from, moments
 from tierwatch.operators.ordering import recode_levels
 from tierwatch.operators.ranking import (
     SUPERVISED,
@@ -23,7 +24,7 @@ from tierwatch.operators.ranking import (
     su_importance,
 )
 from tierwatch.operators.relational import attach_levels, require_unique
-from tierwatch.operators.scaling import Scaler, cluster_scalers
+from tierwatch.operators.scaling import Scaler
 
 # Score given to a group whose cumulative variances sum to 1 at most.
 SINGLETON_SCORE = 9.0
@@ -72,14 +73,14 @@ class Level:
         return nearest(self.scaled(), self.centers.points)
 
 
-def _with_cluster_scalers(df: DataFrame, level: Level) -> Level:
-    cols = level.centers.cols
-    labelled = df.select(
-        level.predict().alias("prediction"), *[z.alias(c) for z, c in zip(level.scaled(), cols, strict=True)]
-    )
-    rows = cluster_scalers(labelled, "prediction", cols).collect()
-    stats = tuple(sorted((r["cluster"], r["variable"], r["mean"], r["std"]) for r in rows))
-    return replace(level, cluster_scalers=stats)
+def level_moments(df: DataFrame, levels: Sequence[Level]) -> DataFrame:
+    """Mergeable statistics of the scaled variables of all levels by cluster, from one pass over `df`."""
+    return moments(df, [(lv.number, lv.predict(), list(zip(lv.variables, lv.scaled(), strict=True))) for lv in levels])
+
+
+def _with_cluster_scalers(df: DataFrame, levels: Sequence[Level]) -> list[Level]:
+    """`levels` with the scalers of their clusters, all from one pass."""
+    return list(Taxonomy(tuple(levels), {}).with_statistics(level_moments(df, levels)).levels)
 
 
 def fit_levels(
@@ -100,20 +101,18 @@ def fit_levels(
     scaler = Scaler.fit(df, cols)
     scaled = df.select(*([quoted(key)] if key else []), *[scaler.z(c).alias(c) for c in cols])
     best = best_ks(scaled, members, max_k, patience, seed, key, max_iter, restarts)
-    return [
-        _with_cluster_scalers(
-            df,
-            Level(
-                n,
-                scaler.only(members[n]),
-                best[n].centers,
-                score=best[n].score,
-                exhausted=best[n].exhausted,
-                converged=best[n].converged,
-            ),
+    fitted = [
+        Level(
+            n,
+            scaler.only(members[n]),
+            best[n].centers,
+            score=best[n].score,
+            exhausted=best[n].exhausted,
+            converged=best[n].converged,
         )
         for n in sorted(members)
     ]
+    return _with_cluster_scalers(df, fitted)
 
 
 @dataclass(frozen=True)
@@ -177,10 +176,16 @@ class Taxonomy:
         built = []
         groups = {}
         for number, cols, centers in levels:
-            level = Level(number, Scaler.fit(df, cols), centers)
-            built.append(_with_cluster_scalers(df, level))
+            built.append(Level(number, Scaler.fit(df, cols), centers))
             groups.update(dict.fromkeys(cols, number))
-        return cls(tuple(built), groups)
+        return cls(tuple(_with_cluster_scalers(df, built)), groups)
+
+    def with_statistics(self, table: DataFrame) -> Taxonomy:
+        """The same levels with cluster scalers from mergeable statistics, such as the merged ones of several days."""
+        found: dict[int, list[tuple]] = {}
+        for r in cluster_scalers_from(table).collect():  # one row for each cluster and variable
+            found.setdefault(r["level"], []).append((r["cluster"], r["variable"], r["mean"], r["std"]))
+        return replace(self, levels=tuple(replace(lv, cluster_scalers=tuple(sorted(found.get(lv.number, [])))) for lv in self.levels))
 
     def levels_table(self, spark: SparkSession) -> DataFrame:
         rows = [(c, self.groups.get(c, -1), lv.number) for lv in self.levels for c in lv.variables]

@@ -289,6 +289,19 @@ def component_scores(spark, sf_dir):
     return pca_project(scaled_profile(spark, sf_dir), VARS, 3, keep=["rec_id"])
 
 
+@query(
+    with_(
+        CLEAN,
+        f"""SELECT rec_id, {r6('c * v_qty + s * v_supp', 'pca_0')}, {r6('c * v_supp - s * v_qty', 'pca_1')}
+FROM clean, (SELECT COS(a) AS c, SIN(a) AS s FROM (SELECT 0.5 * ATAN2(2 * COVAR_SAMP(v_qty, v_supp), VAR_SAMP(v_qty) - VAR_SAMP(v_supp)) AS a FROM clean))""",
+    )
+)
+def component_scores_pair(spark, sf_dir):
+    """Two components of two variables, whose directions SQL has in closed form."""
+    found = pca_project(clean_profile(spark, sf_dir), ["v_qty", "v_supp"], 2, keep=["rec_id"])
+    return rounded(found, "pca_0", "pca_1")
+
+
 @query(with_(CLEAN, "SELECT rec_id, " + ", ".join(f"{v} AS x_{i}" for i, v in enumerate(VARS)) + " FROM clean"))
 def assembled_vectors(spark, sf_dir):
     vectors = op.assemble(clean_profile(spark, sf_dir), exclude=["rec_id", "ts", "pri", "st"])

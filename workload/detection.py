@@ -4,6 +4,9 @@ from pyspark.sql import functions as F
 
 from tierwatch.functions.shared import stage
 from tierwatch.operators import anomaly as op
+from tierwatch.operators import drift as change
+from tierwatch.operators import moments as mom
+from tierwatch.operators import rollup as roll
 from tierwatch.operators.clustering import centroid_distance, group_means
 from tierwatch.operators.ordering import recode_levels
 from tierwatch.operators.scaling import zscore
@@ -227,6 +230,90 @@ def detect_time_points(spark, sf_dir):
     return _as_text(_detected(spark, sf_dir).time_points)
 
 
+@query(
+    f"WITH {_NIVELES} SELECT nivel_0, nivel_1, CAST(2 - BIT_COUNT(g) AS INTEGER) AS depth, g AS grouping_id, n FROM "
+    "(SELECT nivel_0, nivel_1, CAST(GROUPING_ID(nivel_0, nivel_1) AS BIGINT) AS g, COUNT(*) AS n FROM grp GROUP BY ROLLUP (nivel_0, nivel_1))"
+)
+def level_rollup(spark, sf_dir):
+    """Sizes of the composite group's prefixes."""
+    return roll.level_rollup(_levelled(spark, sf_dir), ["nivel_0", "nivel_1"])
+
+
+@query(
+    f"""WITH {_NIVELES}, c AS (
+  SELECT DATE_TRUNC('month', ts)::TIMESTAMP AS t, nivel_0, nivel_1, CAST(GROUPING_ID(nivel_0, nivel_1) AS BIGINT) AS g, COUNT(*) AS n
+  FROM grp GROUP BY GROUPING SETS ((t), (t, nivel_0), (t, nivel_0, nivel_1))),
+b AS (SELECT nivel_0, nivel_1, g, AVG(n) AS m, STDDEV_SAMP(n) AS s FROM c GROUP BY ALL)
+SELECT CAST(t AS VARCHAR) AS timestamp, c.nivel_0, c.nivel_1, CAST(2 - BIT_COUNT(c.g) AS INTEGER) AS depth, n,
+  CASE WHEN COALESCE(ABS(n - m) < 1.5 * s, FALSE) THEN 'Normal' ELSE 'Outlier' END AS outliers
+FROM c JOIN b ON c.nivel_0 IS NOT DISTINCT FROM b.nivel_0 AND c.nivel_1 IS NOT DISTINCT FROM b.nivel_1 AND c.g = b.g"""
+)
+def rollup_time_anomalies(spark, sf_dir):
+    """Months that stand out at any depth of the composite group."""
+    found = roll.rollup_time_anomalies(_levelled(spark, sf_dir), "ts", ["nivel_0", "nivel_1"], n=1.5, bucket="month")
+    return found.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz").cast("string"))
+
+
+# A second run that renames all groups, moves each fiftieth record, and lacks some.
+_RUNS = f"""WITH {_NIVELES},
+old AS (SELECT rec_id, nivel_0 AS nivel FROM grp),
+renamed AS (SELECT rec_id, CAST(CASE WHEN rec_id % 50 = 0 THEN nivel ELSE (nivel + 2) % 5 END AS INTEGER) AS nivel FROM old WHERE rec_id % 997 <> 5)"""
+
+
+def _two_runs(spark, sf_dir):
+    old = stage(_levelled(spark, sf_dir).select("rec_id", F.col("nivel_0").alias("nivel")), "run")
+    shifted = F.when(F.col("rec_id") % 50 == 0, F.col("nivel")).otherwise((F.col("nivel") + 2) % 5)
+    return old, old.where("rec_id % 997 <> 5").withColumn("nivel", shifted.cast("int"))
+
+
+@query(
+    f"""{_RUNS},
+best AS (SELECT old, new FROM (
+  SELECT o.nivel AS old, n.nivel AS new, ROW_NUMBER() OVER (PARTITION BY o.nivel ORDER BY COUNT(*) DESC) AS nth
+  FROM old o JOIN renamed n USING (rec_id) GROUP BY 1, 2) WHERE nth = 1)
+SELECT rec_id, o.nivel AS old, n.nivel AS new, CASE WHEN n.rec_id IS NULL THEN 'gone' ELSE 'moved' END AS change
+FROM old o LEFT JOIN renamed n USING (rec_id) JOIN best ON best.old = o.nivel WHERE n.nivel IS DISTINCT FROM best.new"""
+)
+def moved_between_runs(spark, sf_dir):
+    """Records that changed their group between two runs which name the groups differently."""
+    return change.moved_records(*_two_runs(spark, sf_dir), "rec_id", "nivel")
+
+
+_REPORT = "SELECT outliers_0, outliers_1, nivel_0, nivel_1 FROM detected WHERE rec_id % 2"
+
+
+@query(
+    with_(
+        _DETECT,
+        f"SELECT outliers_0, outliers_1, nivel_0, nivel_1, COUNT(*) AS missing FROM ({_REPORT} = 0 EXCEPT ALL {_REPORT} = 1) GROUP BY ALL",
+    )
+)
+def report_difference(spark, sf_dir):
+    """Rows of the report on even records that the report on odd ones lacks."""
+    rows = _detected(spark, sf_dir).staged
+    cols = ["outliers_0", "outliers_1", "nivel_0", "nivel_1"]
+    found = change.multiset_difference(rows.where("rec_id % 2 = 0"), rows.where("rec_id % 2 = 1"), cols)
+    return found.where("before > after").select(*cols, (F.col("before") - F.col("after")).alias("missing"))
+
+
+_PER_LEVEL = " UNION ALL ".join(
+    f"SELECT {i} AS level, t.c AS cluster, l.variable, COUNT(value) AS n, AVG(value) AS mean, STDDEV_POP(value) AS std, "
+    f"AVG(value) - 3 * STDDEV_SAMP(value) AS low FROM t{i} t JOIN ({long_form('clean', names, 'rec_id')}) l USING (rec_id) GROUP BY ALL"
+    for i, names in enumerate((TIER0, TIER1))
+)
+
+
+@query(with_(_ASSIGNED, f"SELECT level, cluster, variable, n, {r6('mean')}, {r6('std')}, {r6('low')} FROM ({_PER_LEVEL})"))
+def merged_level_statistics(spark, sf_dir):
+    """Scalers and bands of every level, merged from the statistics of four quarters that were stored apart."""
+    clean = clean_profile(spark, sf_dir)
+    levels = [(lv.number, lv.predict(), [(c, F.col(c)) for c in lv.variables]) for lv in given_taxonomy(clean).levels]
+    quarters = [stage(mom.moments(clean.where(F.quarter("ts") == q), levels), "quarter") for q in range(1, 5)]
+    merged = stage(mom.merge_moments(*quarters), "merged")
+    both = mom.cluster_scalers_from(merged).join(mom.bands_from(merged).drop("high"), list(mom.KEYS))
+    return rounded(both.join(merged.select(*mom.KEYS, "n"), list(mom.KEYS)), "mean", "std", "low")
+
+
 @query()
 def detect_refitted(spark, sf_dir):
     clean = clean_profile(spark, sf_dir)
