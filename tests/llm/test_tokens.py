@@ -148,3 +148,14 @@ def test_ids_of_many_odd_texts():
     tokenizer = Tokenizer.from_file(WORDS)
     for i, text in enumerate(odd):
         assert ids[offsets[i] : offsets[i + 1]].tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, packing.END_ID], repr(text)
+
+
+def test_digests_are_of_ids_and_bytes(docs, rows):
+    import hashlib
+
+    got = bpe.encode(docs, RANKS, public_tokenizers.PATTERN, digests=True).collect()
+    encode, sha = library().encode_ordinary, lambda b: hashlib.sha256(b).hexdigest()
+    expected = [
+        (r[0], len(ids := encode(r[1] or "")), sha(np.array(ids, "<u4").tobytes()), sha((r[1] or "").encode())) for r in rows
+    ]
+    assert sorted(map(tuple, got), key=str) == sorted(expected, key=str)

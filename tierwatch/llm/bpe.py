@@ -2,23 +2,24 @@
 
 Texts are split into pre-tokens, which stay with their positions in their block; the distinct ones of
 every block are shuffled by the word and encoded once, and the ids are joined back to the blocks and
-laid out by position (`wordtable`). Decoding looks every id up in the table of token bytes. That table
-and the ranks are a fixed vocabulary, whose size does not depend on the data; it is broadcast.
+laid out by position (`wordtable`). Decoding explodes the ids of every distinct word with their positions,
+joins them with the table of token bytes and lays the bytes back by position. That table and the ranks
+are a fixed vocabulary, whose size does not depend on the data; it is broadcast.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierwatch.llm import texts, wordtable
 
-PART_TOKENS = 2 << 20
 SPLIT_BYTES = 2 << 20
 
 
@@ -82,34 +83,39 @@ def vocabulary(ranks_path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-def token_bytes(ranks: dict[bytes, int]) -> list[bytes | None]:
-    """The table of token bytes by id."""
-    tokens: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
-    for token, rank in ranks.items():
-        tokens[rank] = token
-    return tokens
+def token_table(spark: SparkSession, ranks: dict[bytes, int]) -> DataFrame:
+    """`(id, bytes)` of a vocabulary, which does not grow with the data."""
+    rows = pa.table([pa.array(list(ranks.values()), pa.int32()), pa.array(list(ranks), pa.binary())], ["id", "bytes"])
+    return spark.createDataFrame(rows)
 
 
-def joined_bytes(table: pa.Array, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
-    """The token bytes of the ids between neighbouring offsets, joined."""
-    found, cuts = texts.byte_view(table.take(pa.array(ids)))
-    found, cuts = found.tobytes(), cuts[offsets].tolist()
-    return [found[a:b] for a, b in zip(cuts, cuts[1:])]
+def spelled(words: DataFrame, coded: DataFrame, tokens: DataFrame) -> DataFrame:
+    """`words` (block, place, word) with the ids of each word in `coded` (word, ids) and the bytes these stand for.
+
+    Every distinct word is exploded into its ids with their positions, joined with the table of token bytes,
+    and laid back by position.
+    """
+    placed = coded.select("word", F.posexplode("ids").alias("at", "id")).join(F.broadcast(tokens), "id")
+    again = placed.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("at", "id", "bytes"))).alias("cells"))
+    joined = F.aggregate("cells", F.lit(b""), lambda done, cell: F.concat(done, cell["bytes"]))
+    table = again.select("word", F.transform("cells", lambda cell: cell["id"]).alias("ids"), joined.alias("bytes"))
+    return words.join(table, "word")
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, decoded: bool = False) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, decoded: bool = False, digests: bool = False) -> DataFrame:
     """(doc_id, ids) of every row: the ids of its text as little-endian unsigned 32-bit integers.
 
-    With `decoded`, also the bytes that the ids stand for, looked up while a block is at hand. Every match of `pattern` is encoded by itself, without special tokens. Null and empty texts have
-    no ids. Rows that repeat an id are encoded each. Other columns are ignored; an empty table gives
-    an empty result.
+    With `decoded`, also the bytes that the ids stand for. With `digests`, n_tokens and the SHA-256 of ids and of
+    decoded bytes instead, so that neither leaves the task. Every match of `pattern` is encoded by itself,
+    without special tokens. Null and empty texts have no ids. Rows that repeat an id are encoded each. Other
+    columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     known = vocabulary(ranks_path)
     ranks = spark.sparkContext.broadcast(known)
     width = "<u2" if max(known.values(), default=0) < 1 << 16 else "<u4"
 
-    def ids_of(words: list[bytes]) -> list[bytes]:
+    def to_ids(batches) -> Iterator[pa.RecordBatch]:
         cache = texts.worker_cache()
         if ("encoding", ranks_path) not in cache:
             import tiktoken
@@ -118,57 +124,68 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, decoded: bool = False
                 "ranks", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={}
             )
         one = cache["encoding", ranks_path].encode_ordinary
-        return [np.array(one(w.decode()), width).tobytes() for w in words]
+        for batch in batches:
+            ids = [one(w.decode()) for w in texts.byte_strings(batch.column(0))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
 
-    names = ["doc_id", "ids", *["decoded"] * decoded]
-    schema = "doc_id long, ids binary" + ", decoded binary" * decoded
+    if digests:
+        schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    else:
+        schema = "doc_id long, ids binary" + ", decoded binary" * decoded
+    names = [part.split()[0] for part in schema.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()] if digests else [pa.int64(), *[pa.binary()] * (1 + decoded)]
 
     def lay_out(documents, answers):
-        kinds = [pa.int64(), pa.binary(), *[pa.binary()] * decoded]
         if not documents.num_rows:
             return pa.table([pa.array([], k) for k in kinds], names)
-        data, offsets = (
-            wordtable.assembled(answers) if answers.num_rows else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
-        )
-        table, offsets = np.frombuffer(data.tobytes(), width), offsets // int(width[2])
-        lengths = np.diff(offsets)
-        coded, text = [], []
-        tokens = pa.array(token_bytes(ranks.value), pa.large_binary()) if decoded else None
+        table, offsets = wordtable.assembled(answers, "id_sizes", "ids", width)
+        data, cuts = wordtable.assembled(answers, "byte_sizes", "bytes", "u1")
+        out: list[list] = [[] for _ in names[1:]]
         for packed in documents.column("payload"):
             index = wordtable.unpack_positions(packed.as_py())
-            size = lengths[index]
-            after = np.concatenate([[0], np.cumsum(size)])
-            ids = table[np.repeat(offsets[index] - after[:-1], size) + np.arange(after[-1])].astype("<u4")
-            coded.append(ids.tobytes())
-            if decoded:
-                text += joined_bytes(tokens, ids, np.array([0, len(ids)]))
-        columns = [pa.array(coded, pa.binary()), *[pa.array(text, pa.binary())] * decoded]
-        return pa.table([documents.column("doc_id"), *columns], names)
+            ids = _laid(table, offsets, index).astype("<u4")
+            if digests:
+                text = _laid(data, cuts, index)
+                values = (len(ids), hashlib.sha256(ids).hexdigest(), hashlib.sha256(text).hexdigest())
+            else:
+                values = (ids.tobytes(), *[_laid(data, cuts, index).tobytes()] * decoded)
+            for column, value in zip(out, values):
+                column.append(value)
+        return pa.table([documents.column("doc_id"), *[pa.array(c, k) for c, k in zip(out, kinds[1:])]], names)
 
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = wordtable.staged_by_block(whole.mapInArrow(_blocks, ROWS), "pretokens")
     words = rows.where("kind = 'word'").select("block", "place", F.col("payload").alias("word"))
-    found = wordtable.answered(words, ids_of)
+    coded = words.select("word").distinct().mapInArrow(to_ids, "word binary, ids array<int>")
+    found = wordtable.packed_answers(spelled(words, coded, token_table(spark, known)), width)
     documents = rows.where("kind = 'doc'").select("block", "doc_id", "payload")
     return documents.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(lay_out, schema)
 
 
+def _laid(table: np.ndarray, offsets: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """What the words at `index` were answered, one after the other."""
+    size = offsets[index + 1] - offsets[index]
+    after = np.concatenate([[0], np.cumsum(size)])
+    return table[np.repeat(offsets[index] - after[:-1], size) + np.arange(after[-1])]
+
+
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
-    """`encoded` (doc_id, ids) with `decoded`, the bytes of its ids; null ids give null."""
-    shared = encoded.sparkSession.sparkContext.broadcast(token_bytes(vocabulary(ranks_path)))
+    """`encoded` (doc_id, ids) with `decoded`, the bytes of its ids; null ids give null.
 
-    def look_up(batches) -> Iterator[pa.RecordBatch]:
-        table = pa.array(shared.value, pa.large_binary())
-        for batch in batches:
-            column = batch.column(1)
-            out: list[bytes | None] = []
-            for first, end, data, offsets in texts.slices(column, 4 * PART_TOKENS):
-                ids = np.frombuffer(data.tobytes(), "<u4")
-                found = joined_bytes(table, ids, offsets // 4)
-                sound = column.slice(first, end - first).is_valid().to_pylist()
-                out += [x if ok else None for x, ok in zip(found, sound)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), column, pa.array(out, pa.binary())], ["doc_id", "ids", "decoded"]
-            )
+    The ids of a row are exploded with their positions, joined with the table of token bytes, and laid back by
+    position. Ids that the vocabulary lacks stand for no bytes. Rows that repeat an id are decoded each.
+    """
+    spark = encoded.sparkSession
 
-    return encoded.select("doc_id", "ids").mapInArrow(look_up, "doc_id long, ids binary, decoded binary")
+    def numbers(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [None if i is None else np.frombuffer(i, "<u4").tolist() for i in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int64()))], ["ids", "parts"])
+
+    distinct = encoded.where("ids is not null").select("ids").distinct()  # equal sequences are decoded once
+    parts = distinct.mapInArrow(numbers, "ids binary, parts array<long>").select("ids", F.posexplode("parts").alias("at", "id"))
+    cells = parts.join(F.broadcast(token_table(spark, vocabulary(ranks_path))), "id")
+    laid = cells.groupBy("ids").agg(F.sort_array(F.collect_list(F.struct("at", "bytes"))).alias("cells"))
+    joined = F.aggregate("cells", F.lit(b""), lambda done, cell: F.concat(done, cell["bytes"]))
+    found = encoded.select("doc_id", "ids").join(laid.select("ids", joined.alias("decoded")), "ids", "left")
+    return found.select("doc_id", "ids", F.when(F.col("ids").isNotNull(), F.coalesce("decoded", F.lit(b""))).alias("decoded"))

@@ -11,13 +11,14 @@ from __future__ import annotations
 import atexit
 import contextlib
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tierwatch.functions.shared import scratch_path
+from tierwatch.llm.texts import byte_view
 
 BLOCK_BYTES = 32 << 20
 HEAD_WORDS = 4096
@@ -116,51 +117,52 @@ def unsqueezed(packed: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
-def answered(words: DataFrame, answer: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
-    """`words` (block, place, word) met by word: (block, places, sizes, answers), packed.
+PACKED = "block long, places binary, id_sizes binary, ids binary, byte_sizes binary, bytes binary"
 
-    `answer` gives some bytes for each distinct word and sees each word once; equal words lie side
-    by side, and only one that continues in the next batch is remembered.
-    """
 
-    def meet(batches) -> Iterator[pa.RecordBatch]:
-        last, said = None, b""
+def packed_answers(found: DataFrame, width: str) -> DataFrame:
+    """`found` (block, place, ids, bytes): a few rows for each block, with the places, the ids as numbers of
+    `width`, and the bytes of many words."""
+
+    def pack(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            coded = batch.column(2).cast(pa.large_binary()).dictionary_encode()
-            distinct = coded.dictionary.to_pylist()
-            new = [w for w in distinct if w != last]
-            known = dict(zip(new, answer(new)))
-            if last is not None:
-                known[last] = said
-            values = pa.array([known[w] for w in distinct], pa.large_binary())
-            last, said = (w := coded[-1].as_py()), known[w]
             block, place = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             order = np.argsort(block, kind="stable")
-            place, given = place[order], values.take(coded.indices.take(pa.array(order)))
-            size = pa.compute.binary_length(given).to_numpy()
+            place, lists, text = place[order], batch.column(2).take(pa.array(order)), batch.column(3).take(pa.array(order))
+            ends = lists.offsets.to_numpy()
+            ids, begin = lists.values.to_numpy().astype(width), ends - ends[0]
+            raw, cuts = byte_view(text)
             heads = np.flatnonzero(np.diff(block[order], prepend=block[order][0] - 1))
-            rows = [[], [], [], []]
+            rows: list[list] = [[] for _ in range(6)]
             for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(order)]):
-                rows[0].append(int(block[order[a]]))
-                rows[1].append(squeezed(np.diff(place[a:b], prepend=0)))  # wraps around where it falls
-                rows[2].append(squeezed(size[a:b]))
-                rows[3].append(b"".join(given.slice(a, b - a).to_pylist()))
-            kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(r, k) for r, k in zip(rows, kinds)], ["block", "places", "sizes", "answers"]
-            )
-
-    met = words.select("block", "place", "word").repartition("word").sortWithinPartitions("word")
-    return met.mapInArrow(meet, "block long, places binary, sizes binary, answers binary")
-
-
-def assembled(answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """The answers of a block, joined in the order of its dictionary, and their n + 1 offsets in bytes."""
+                values = (
+                    int(block[order[a]]),
+                    squeezed(np.diff(place[a:b], prepend=0)),  # wraps around where it falls
+                    squeezed(np.diff(begin[a : b + 1])),
+                    ids[begin[a] : begin[b]].tobytes(),
+                    squeezed(np.diff(cuts[a : b + 1])),
+                    raw[cuts[a] : cuts[b]].tobytes(),
+                )
+                for row, value in zip(rows, values):
+                    row.append(value)
+            kinds = [pa.int64(), *[pa.binary()] * 5]
+            yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds)], [p.split()[0] for p in PACKED.split(", ")])
+
+    return found.select("block", "place", "ids", "bytes").mapInArrow(pack, PACKED)
+
+
+def assembled(answers: pa.Table, sizes: str, values: str, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """What the words of a block were answered, joined in the order of its dictionary, and the n + 1 offsets.
+
+    `sizes` and `values` name the columns, `kind` the type of a value.
+    """
+    if not answers.num_rows:
+        return np.zeros(0, kind), np.zeros(1, np.int64)
     place = np.concatenate([np.cumsum(unsqueezed(p), dtype=np.uint32) for p in answers.column("places").to_pylist()])
-    size = np.concatenate([unsqueezed(s) for s in answers.column("sizes").to_pylist()]).astype(np.int64)
-    data = np.frombuffer(b"".join(answers.column("answers").to_pylist()), np.uint8)
+    size = np.concatenate([unsqueezed(s) for s in answers.column(sizes).to_pylist()]).astype(np.int64)
+    data = np.frombuffer(b"".join(answers.column(values).to_pylist()), kind)
     source = np.concatenate([[0], np.cumsum(size)])[:-1]
     order = np.argsort(place)
     lengths = size[order]
