@@ -210,6 +210,15 @@ def time_anomalies(counts: DataFrame, n: float = 3.0, center: str = "zero") -> D
     return sigma_label(distances, "distancia", n)
 
 
+def time_report(counts: DataFrame, groups: Sequence, n: float = 3.0, center: str = "zero") -> DataFrame:
+    """`(timestamp, <a count for each group>, distancia, outliers)` from long counts; absent combinations are 0.
+
+    Wide, so meant for a modest number of groups; `time_anomalies` is the same report without the counts.
+    """
+    wide = counts.groupBy("timestamp").pivot("grupo", list(groups)).agg(F.sum("n")).na.fill(0)
+    return wide.join(time_anomalies(counts, n, center), "timestamp")
+
+
 def anomaly_summary(df: DataFrame) -> DataFrame:
     """Distinct combinations of outlier flags and responsible-field texts, with their sizes."""
     pattern = starting(df, "outliers_", "fieldsAnomaly_Nivel_")

@@ -213,42 +213,64 @@ def best_ks(
 ) -> dict[int, BestK]:
     """`best_k` for several groups of columns at once.
 
-    Every k of every group, and every restart, is fitted side by side, so that a pass over the
-    rows serves all of them; a fit that no longer moves is left out of later passes. The stopping
-    rule is then applied to the scores in order. The result depends on the values of the rows only.
+    Several k of every group, and every restart, are fitted side by side, so that a pass over the rows
+    serves all of them; a fit that no longer moves is left out of later passes. After the first few k the
+    stopping rule is applied to the scores in order, and a group that it stops takes no part in the next.
+    The result depends on the values of the rows only.
     """
     candidates = draw_candidates(df, groups, max(1, max_k - 1), seed)
-    starts: dict[tuple[int, int, int], Centers] = {}
-    for g, members in groups.items():
-        for k in range(1, max(2, max_k)):
-            for r in range(restarts if k > 1 else 1):
-                points = spread_points(*candidates[g], k, seed + r)
-                if len(points) == k:
-                    starts[g, k, r] = Centers.given(members, points)
-    converged: dict = {}
-    every = lloyd_sweep(df, starts, max_iter, converged=converged)
-    fitted, settled = {}, {}
-    inertia = _inertia(df, every) if restarts > 1 else {}
-    for g, k in dict.fromkeys((g, k) for g, k, _ in every):
-        r = min((r for own, n, r in every if (own, n) == (g, k)), key=lambda r: (inertia.get((g, k, r), 0.0), r))
-        fitted[g, k], settled[g, k] = every[g, k, r], converged[g, k, r]
-    scores = silhouette_sweep(df, {i: c for i, c in fitted.items() if i[1] > 1})
+    fitted: dict[tuple[int, int], Centers] = {}
+    settled: dict[tuple[int, int], bool] = {}
+    scores: dict[tuple[int, int], float] = {}
+    open_ = list(groups)
+    for some in _batches(max_k, patience):
+        starts: dict[tuple[int, int, int], Centers] = {}
+        for g in open_:
+            for k in some:
+                for r in range(restarts if k > 1 else 1):
+                    points = spread_points(*candidates[g], k, seed + r)
+                    if len(points) == k:
+                        starts[g, k, r] = Centers.given(groups[g], points)
+        if not starts:
+            break
+        converged: dict = {}
+        every = lloyd_sweep(df, starts, max_iter, converged=converged)
+        inertia = _inertia(df, every) if restarts > 1 else {}
+        new = {}
+        for g, k in dict.fromkeys((g, k) for g, k, _ in every):
+            r = min((r for own, n, r in every if (own, n) == (g, k)), key=lambda r: (inertia.get((g, k, r), 0.0), r))
+            new[g, k], settled[g, k] = every[g, k, r], converged[g, k, r]
+        fitted |= new
+        scores |= silhouette_sweep(df, {i: c for i, c in new.items() if i[1] > 1})
+        tried = {g for g, _ in new}
+        open_ = [g for g in open_ if g in tried and not _replayed(scores, g, patience).stopped]
     chosen = {}
     for g in groups:
-        sweep = KSweep.replay([(k, s) for (own, k), s in scores.items() if own == g], patience)
-        tried = max(k for own, k in fitted if own == g)
-        winner = sweep.k or min(2, tried)
+        sweep = _replayed(scores, g, patience)
+        last = max(k for own, k in fitted if own == g)
+        winner = sweep.k or min(2, last)
         chosen[g] = BestK(
             winner,
             sweep.score,
             fitted[g, winner].canonical(),
             sweep.table(df.sparkSession),
-            tried < max_k - 1 and not sweep.stopped,
+            last < max_k - 1 and not sweep.stopped,
             settled[g, winner],
         )
     return chosen
 
 
+def _batches(max_k: int, patience: int) -> list[list[int]]:
+    """The k to try: first those that the rule needs before it can stop, then as many more as may stop it again."""
+    ks = list(range(1, max(2, max_k)))
+    first = 2 + patience  # 1, 2, and `patience` that are no better
+    return [ks[:first], *[ks[i : i + patience] for i in range(first, len(ks), max(1, patience))]]
+
+
+def _replayed(scores: Mapping[tuple[int, int], float], group: int, patience: int) -> KSweep:
+    return KSweep.replay(sorted((k, s) for (own, k), s in scores.items() if own == group), patience)
+
+
 # Passes that look for starts, and rows that each pass brings for every center wanted.
 DRAW_PASSES = 5
 DRAW_FACTOR = 2

@@ -6,7 +6,7 @@ from tierwatch.functions.shared import scratch_path
 from tierwatch.operators.clustering import group_means
 from tierwatch.operators.scaling import zscore
 from tierwatch.plans.taxonomy import Taxonomy
-from tierwatch.sources import read_table, write_report
+from tierwatch.sources import read_table, register_taxonomy, write_report
 from workload.common import (
     SCALED,
     PROFILE,
@@ -80,6 +80,37 @@ def taxonomy_centers_round_trip(spark, sf_dir):
     return rounded(Taxonomy.load(spark, path).tables(spark)["centers"], "value")
 
 
+_VARIABLE_ROWS = " UNION ALL ".join(
+    f"SELECT '{v}' AS variable, {level} AS cluster, {level} AS \"Nivel\"" for level, names in enumerate((TIER0, TIER1)) for v in names
+)
+
+
+@query(_VARIABLE_ROWS + " WHERE EXISTS (SELECT 1 FROM orders)")
+def taxonomy_variables_round_trip(spark, sf_dir):
+    """The index of variables by level, saved and loaded."""
+    path = scratch_path(spark, "taxonomy")
+    given_taxonomy(clean_profile(spark, sf_dir)).save(path, spark)
+    return Taxonomy.load(spark, path).tables(spark)["level_variables"]
+
+
+_ODD_LINES = "o_orderkey % 10 = 3"
+
+
+@query(
+    f"""SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 OR {_ODD_LINES} THEN NULL ELSE o_totalprice END AS o_totalprice,
+CASE WHEN {_ODD_LINES} THEN CAST(o_orderkey AS VARCHAR) || ';oops;' || o_orderstatus END AS rejected, o_orderstatus FROM orders"""
+)
+def strict_scan(spark, sf_dir):
+    """Lines with words for missing values, and lines whose price is no number, which are kept apart."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    price = F.when(F.expr(_ODD_LINES), "oops").when(F.col("o_orderkey") % 7 == 0, F.lit("N/A"))
+    lines = orders.select("o_orderkey", F.coalesce(price, F.col("o_totalprice").cast("string")).alias("o_totalprice"), "o_orderstatus")
+    path = scratch_path(spark, "lines")
+    lines.write.csv(path, sep=";", header=True)
+    shape = "o_orderkey bigint, o_totalprice double, o_orderstatus string"
+    return read_table(spark, path, schema=shape, null_values=["N/A", "-"], rejected="rejected")
+
+
 def _scaler_rows(level, names):
     return " UNION ALL ".join(
         f"SELECT {level} AS level, '{v}' AS variable, {r6('a_' + v, 'mean')}, {r6('s_' + v, 'std')} FROM moments"
@@ -125,6 +156,24 @@ def classify(spark, sf_dir):
     return given_taxonomy(clean).classify(clean).select("rec_id", "nivel_0", "nivel_1", "group")
 
 
+@query(
+    with_(
+        _ASSIGNED,
+        """SELECT t0.rec_id AS rec_id, t0.c AS nivel_0, t1.c AS nivel_1,
+  CONCAT(CAST(t0.c AS VARCHAR), '_', CAST(t1.c AS VARCHAR)) AS "group"
+FROM t0 JOIN t1 ON t0.rec_id = t1.rec_id""",
+    )
+)
+def classify_in_sql(spark, sf_dir):
+    """The same in SQL text: a table function that takes the records and a saved taxonomy."""
+    path = scratch_path(spark, "taxonomy")
+    clean = clean_profile(spark, sf_dir)
+    given_taxonomy(clean).save(path, spark)
+    register_taxonomy(spark, path, "classify_records")
+    clean.select("rec_id", *TIER0, *TIER1).createOrReplaceTempView("records_to_classify")
+    return spark.sql("SELECT rec_id, nivel_0, nivel_1, `group` FROM classify_records(TABLE(records_to_classify))")
+
+
 @query(with_(_ASSIGNED, "SELECT t0.rec_id AS rec_id, t0.c AS nivel_0, t1.c AS nivel_1 FROM t0 JOIN t1 ON t0.rec_id = t1.rec_id"))
 def level_labels(spark, sf_dir):
     clean = clean_profile(spark, sf_dir)

@@ -136,3 +136,19 @@ def _streamed(spark, sf_dir):
     count_windows(records, "ts", "event_type", counts, scratch_path(spark, "checkpoint")).awaitTermination()
     follow_windows(spark, counts, points, scratch_path(spark, "checkpoint")).awaitTermination()
     return spark.read.schema(POINT).parquet(points).where("grupo is not null")
+
+
+_KINDS = ("click", "error", "purchase", "signup", "view")
+
+
+@query(
+    f"WITH {_VERDICTS}, {_EVENTS.removeprefix('WITH ')}, wide AS (SELECT timestamp, "
+    + ", ".join(f"CAST(SUM(CASE WHEN grupo = '{k}' THEN n ELSE 0 END) AS BIGINT) AS {k}" for k in _KINDS)
+    + f" FROM counts GROUP BY timestamp) SELECT CAST(timestamp AS VARCHAR) AS timestamp, {', '.join(_KINDS)}, {r6('distancia')}, outliers "
+    "FROM wide JOIN v USING (timestamp)"
+)
+def hourly_report(spark, sf_dir):
+    """The verdict on every hour beside the counts that it comes from."""
+    counts = stage(anomaly.time_group_counts(table(spark, sf_dir, "events"), "ts", "event_type", bucket="hour"), "counts")
+    report = anomaly.time_report(counts, _KINDS)
+    return rounded(report.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz").cast("string")), "distancia")
