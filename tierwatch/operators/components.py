@@ -85,7 +85,7 @@ def variance_shares(df: DataFrame, groups: Mapping[int, Sequence[str]]) -> DataF
     in a task of its own, and the driver sees none of it.
     """
     spark = df.sparkSession
-    cols = [c for g in sorted(groups) for c in groups[g]]
+    cols = list(dict.fromkeys(c for g in sorted(groups) for c in groups[g]))
     scaler = Scaler.fit(df, cols)
     inside = {g: [c for c in groups[g] if scaler.std[c]] for g in groups}
     inside = {g: own for g, own in inside.items() if own}
@@ -93,7 +93,7 @@ def variance_shares(df: DataFrame, groups: Mapping[int, Sequence[str]]) -> DataF
         return spark.createDataFrame([], _SHARES)
     n = df.count()
     sizes = {int(g): (len(inside[g]), len(groups[g])) for g in inside}
-    scaled = df.select(*[scaler.z(c).alias(c) for g in sorted(inside) for c in inside[g]])
+    scaled = df.select(*[scaler.z(c).alias(c) for c in cols if scaler.std[c]])
 
     def spectrum(table: pa.Table) -> pa.Table:
         g = table.column("cluster")[0].as_py()
