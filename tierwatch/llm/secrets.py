@@ -1,10 +1,10 @@
 """Secret scans: candidates in whole texts, and a random forest that drops the false ones.
 
-A candidate is a long run with a digit of the characters that keys are made of, or whatever is given to
-something like a password: the whole quoted value or all up to the next blank, what follows `Bearer`, and
-the password in a URL. Where both meet, both are candidates. The forest looks at length, transitions between
-kinds of characters, coverage by dictionary words, the path or source of the text, and the words
-around. It learns from labelled findings: those of the corpus whose assignment or shape decides them,
+A candidate is a long run with a digit of the characters that keys are made of, a whole block of a private
+key, or whatever is given to something like a password, at any length: the whole quoted value or all up to the
+next blank, what follows `Bearer`, and the password in a URL. Where several meet, all are candidates. The
+forest looks at length, transitions between kinds of characters, coverage by dictionary words, the path or
+source of the text, and the words around. It learns from labelled findings: those of the corpus whose assignment or shape decides them,
 up to a bound, and examples made by rule for formats that a corpus may lack. Every tree is grown in a
 task of its own.
 """
@@ -28,7 +28,7 @@ from tierwatch.llm import texts
 from tierwatch.llm.rows import map_rows
 
 LEAST_RUN = 16
-LEAST_ASSIGNED = 6
+LEAST_NEAR = 6  # of a run that only stands near a credential; what is given to one has no least length
 LABELLED_ROWS = 4000
 MADE_ROWS = 4000
 TREES = 24
@@ -48,14 +48,33 @@ DICTIONARY = (
     "service session site size sort source static status store string style system table tag task template test text "
     "time title token type update upload url user users value version video view web week word work www year your"
 ).split()
-CREDENTIAL = re.compile(rb"token|secret|passw(?:or)?d|passphrase|api[ _-]?key|access[ _-]?key|auth|bearer|credential|private[ _-]?key|client[ _-]?key|pwd")
+COMMON = (
+    "a about after again all also an and any are as at be because been before being both but by can could did do does "
+    "each few for from had has have he her here him his how if in into is it its just like more most must my new no not "
+    "now of off old on once one only or other our out over own same set she should so some such than that the their them "
+    "then there these they this too two under until up us very was we were what when where which while who why will with you"
+).split()
+# `pass` and the like count as a part of a name, or where a name ends with it before its value.
+PASSWORD = re.compile(
+    rb"passw(?:or)?d|passphrase|pwd|(?<![a-z])(?:pass(?:code|key)?|pin(?:[ _-]?code)?|otp|creds?)(?![a-z])|pass(?=[\"'`\])]{0,3}\s*[=:])"
+)
+CREDENTIAL = re.compile(
+    rb"token|secret|api[ _-]?key|access[ _-]?key|auth|bearer|credential|private[ _-]?key|client[ _-]?key|" + PASSWORD.pattern
+)
+MEASURED = re.compile(rb"tokens|count|length|size|limit|max|min(?![a-z])|number|policy|ttl|expir|timeout|retries|attempts|type|field|name|label")
 NOT_CREDENTIAL = re.compile(rb"commit|sha-?\d*|md5|checksum|digest|hash|uuid|guid|version|revision|etag|color|img|image|file|href|src|url|http|isbn|phone|tel|order|invoice|build")
 ASSIGNS = re.compile(rb"(?:=|:|=>|\bis)\s*[\"'`]?$|bearer\s+$", re.I)
-PREFIXES = (b"akia", b"asia", b"ghp_", b"gho_", b"ghs_", b"github_pat_", b"sk-", b"sk_live_", b"xoxb-", b"xoxp-", b"aiza", b"eyj", b"glpat-", b"hf_")
+PREFIXES = (b"akia", b"asia", b"ghp_", b"gho_", b"ghs_", b"github_pat_", b"sk-", b"sk_live_", b"xoxb-", b"xoxp-", b"aiza", b"eyj", b"glpat-", b"hf_", b"-----begin")
 # What leads to a value, and the value: quoted, or all up to the next blank.
 LEADS = re.compile(rb"(?:" + CREDENTIAL.pattern + rb")[\w.-]{0,64}+[\"'`\])]{0,3}+\s*+(?:[=-]>|:=|={1,3}|:|(?<=\s)(?:is|was)(?=[\s:]):?)\s*+|\bbearer\s++")
 VALUE = re.compile(rb"\"((?:[^\"\\\n]|\\.)*+)\"|'((?:[^'\\\n]|\\.)*+)'|`([^`\n]*+)`|(\S++)")
 URL_PASSWORD = re.compile(rb"://[^\s/:@]*+:([^\s/]+)@")
+_KEY_HEAD = rb"[a-z0-9 ]{0,40}private key(?: block)?-----"
+# To its end, or where the end is missing, as far as lines of a key go on.
+KEY_BLOCK = re.compile(
+    rb"-----begin " + _KEY_HEAD + rb"(?:(?:(?!-----)[a-z0-9+/=\s,:.;()\\\"'-])*+-----end " + _KEY_HEAD
+    + rb"|(?:(?:\s|\\[nr]|[\"',])*+[a-z0-9+/=]{16,}+)*+)"
+)
 IN_URL = re.compile(rb"://[^\s/:@]*:$")
 PAIRS = {41: b"(", 93: b"[", 125: b"{", 62: b"<"}
 SAMPLE_PATH = re.compile(r"test|example|sample|doc|demo|fixture|mock", re.I)
@@ -72,7 +91,7 @@ FEATURES = (
     "length", "digits", "lower", "upper", "signs", "hex_only", "transitions", "digit_transitions", "distinct",
     "entropy", "vowels", "longest_letters", "longest_same", "coverage", "prefix", "credential_near", "other_near",
     "assigned", "quoted", "after_at", "dots", "sample_path", "path_length", "mixed_case", "separators_even",
-    "in_url", "other_signs", "blanks",
+    "in_url", "other_signs", "blanks", "password_near", "measured",
 )
 
 
@@ -93,6 +112,7 @@ def features(run: bytes, before: bytes, after: bytes, path: str) -> list[float]:
     parts = [len(p) for p in re.split(rb"[-_./]", run)]
     credential = max((m.end() for m in CREDENTIAL.finditer(head)), default=0)
     other = max((m.end() for m in NOT_CREDENTIAL.finditer(head)), default=0)
+    password = max((m.end() for m in PASSWORD.finditer(head)), default=0)
     return [
         np.log1p(n), (kind == 3).mean(), (kind == 1).mean(), (kind == 2).mean(), (kind == 4).mean(),
         float(_HEX[codes].all()), change.mean() if n > 1 else 0.0,
@@ -104,11 +124,13 @@ def features(run: bytes, before: bytes, after: bytes, path: str) -> list[float]:
         float(before[-1:] == b"@" or after[:1] == b"@"), run.count(b".") / n, float(bool(SAMPLE_PATH.search(path))),
         np.log1p(len(path)), float((kind == 1).any() and (kind == 2).any()), float(len(parts) > 1 and min(parts) == max(parts)),
         float(bool(IN_URL.search(before))), (kind == 0).mean(), float((codes == 32).mean()),
+        password / (len(head) + 1), float(bool(MEASURED.search(head[-24:]))),
     ]
 
 
 def given_values(text: bytes) -> Iterator[tuple[int, int]]:
-    """(start, end) of the values given to a credential in a text in lower case, and of passwords in URLs."""
+    """(start, end) of the values given to a credential in a text in lower case, of passwords in URLs, and of
+    blocks of private keys."""
     for lead in LEADS.finditer(text):
         value = VALUE.match(text, lead.end())
         if value is None:
@@ -120,10 +142,12 @@ def given_values(text: bytes) -> Iterator[tuple[int, int]]:
             # Signs that end a sentence, and brackets that were opened before the value.
             while a < b and (text[b - 1] in b".,;:~\"'`" or (text[b - 1] in PAIRS and PAIRS[text[b - 1]] not in text[a:b])):
                 b -= 1
-        if b - a >= LEAST_ASSIGNED:
+        if b > a:
             yield a, b
     for found in URL_PASSWORD.finditer(text):
         yield found.span(1)
+    for found in KEY_BLOCK.finditer(text):
+        yield found.span()
 
 
 def candidates(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -159,7 +183,7 @@ def _runs(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int
         at = starts - back
         near = np.where(at >= offsets[owner], data[np.maximum(at, 0)], 0)
         sign |= (near == 61) | (near == 58)
-    for i in np.flatnonzero(long | (sign & (length >= LEAST_ASSIGNED))).tolist():
+    for i in np.flatnonzero(long | (sign & (length >= LEAST_NEAR))).tolist():
         a, b, doc = int(starts[i]), int(ends[i]), int(owner[i])
         if not long[i]:
             before = data[max(a - AROUND, int(offsets[doc])) : a].tobytes().lower()
@@ -185,9 +209,11 @@ def label_of(run: bytes, before: bytes, after: bytes) -> int:
     tail = before.lower()[-24:]
     quoted = before[-1:] in (b'"', b"'") and after[:1] == before[-1:]
     sound = b" " not in run and not _COVER.search(run.lower())
-    if quoted and ASSIGNS.search(before) and CREDENTIAL.search(tail) and sound:
+    if KEY_BLOCK.fullmatch(run.lower()) and len(run) > 80:
+        return 1
+    if quoted and ASSIGNS.search(before) and CREDENTIAL.search(tail) and sound and len(run) >= LEAST_NEAR:
         return 1
-    if IN_URL.search(before):
+    if IN_URL.search(before) or (ASSIGNS.search(before) and PASSWORD.search(tail)):
         return -1
     if run.isdigit() or before[-1:] == b"@" or re.fullmatch(rb"[a-z]+(?:\.[a-z0-9]+)+", run.lower()):
         return 0
@@ -231,6 +257,17 @@ def made_findings(n: int = MADE_ROWS, seed: int = 7) -> tuple[np.ndarray, np.nda
         lambda: pick.choice(("undefined", "******", "xxxxxxxx", "[redacted]", "{{ " + word() + " }}", word() + "()")),
     )
     names = ("token", "secret", "api_key", "apiKey", "password", "client_secret", "access_key", "auth_token", "private_key")
+    words = ("pass", "DB_PASS", "db_pass", "dbPass", "pin", "user_pin", "passcode", "otp", "creds", "pwd", "password", "PIN")
+    rounds = "max_tokens token_count tokens password_length pin_length token_limit pass_count min_pass auth_timeout token_ttl passes pin_number_size".split()
+    short = (
+        *[lambda: draw(string.digits, pick.choice((4, 4, 5, 6, 8)))] * 4, lambda: draw("bcdfghjklmnpqrstvwxz", 3) + draw(string.digits, pick.randint(1, 3)),
+        lambda: draw(mixed, pick.randint(4, 7)) + draw(string.digits, 1), lambda: spoken() + draw(string.digits, 2),
+        lambda: spoken() + draw(string.digits, pick.randint(1, 2)) + draw(letters, 3), lambda: draw(letters, 3) + draw(signs, 1) + draw(string.digits, 2),
+    )
+    plain = (
+        lambda: pick.choice(COMMON), lambda: pick.choice(prose), lambda: pick.choice(("true", "false", "null", "none", "yes", "no", "on", "off", "0", "1")),
+        lambda: pick.choice(DICTIONARY), lambda: pick.choice(COMMON) + pick.choice((".", ",")),
+    )
     neutral = ("commit ", "sha256: ", "md5 = ", "checksum: \"", "see ", "file: ", "version ", "uuid=\"", "url: ", "image/", "", "order ", "id: \"")
     paths = ("src/app.py", "config/prod.env", "docs/readme.md", "tests/test_api.py", "src3", "web/page.html", "example/demo.ini")
     rows, labels = [], []
@@ -255,6 +292,19 @@ def made_findings(n: int = MADE_ROWS, seed: int = 7) -> tuple[np.ndarray, np.nda
                 before, run, after = lead + "Authorization: Bearer ", pick.choice((draw(mixed, 24), draw(letters, pick.randint(12, 40)))), "\n"
             elif way < 0.1:
                 before, run, after = f"{lead}mail: ", f"{word()}.{word()}{pick.randint(1, 99)}", f"@{word()}.com"
+        if pick.random() < 0.2:  # short values, and numbers that only measure something
+            quote, join = pick.choice(('"', "'", "", "")), pick.choice((" = ", "=", ": ", ":", " is ", " => "))
+            lead = draw(letters + " ", pick.randint(0, 14)) + pick.choice((" ", "\n")) if pick.random() < 0.7 else ""
+            before, after = f"{lead}{pick.choice(words)}{join}{quote}", quote + pick.choice("\n ;")
+            run = pick.choice(short if true else plain)()
+            if not true and pick.random() < 0.4:
+                before, run = f"{lead}{pick.choice(rounds)}{join}", draw(string.digits, pick.randint(1, 5))
+            elif not true and pick.random() < 0.3:
+                before = f"{lead}{pick.choice(names)}{join}"
+            if true and pick.random() < 0.15:
+                kind, lines = pick.choice(("", "RSA ", "EC ", "OPENSSH ")), [draw(mixed + "+/", 64) for _ in range(pick.randint(1, 24))]
+                before, after = draw(letters + " ", 14) + "\n", "\n"
+                run = f"-----BEGIN {kind}PRIVATE KEY-----\n" + "\n".join(lines) + f"\n-----END {kind}PRIVATE KEY-----"
         if pick.random() < 0.15:
             before, run = before.upper(), run.upper()
         rows.append(features(run.encode(), before.encode(), after.encode(), pick.choice(paths)))
