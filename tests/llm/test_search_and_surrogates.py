@@ -173,3 +173,37 @@ def test_usual_phones_and_mails_are_replaced_whole(spark):
     assert [got[200 + i]["text"] for i in range(2)] == left
     kind = lambda v: spark.range(1).select(module.kind_of(module.F.lit(v))).first()[0]
     assert [kind(v) for v in ("012-34-5678", "0123 4567 8901 2345", "10.20.30.40")] == ["ssn", "card", "ip"]
+
+
+def test_names_and_numbers_that_stayed_in_clear(spark):
+    types = "doc_id long, text string"
+    cases = {
+        "met Alice Johnson there": r"met (?!Alice)[A-Z][a-z]+ (?!Johnson)[A-Z][a-z]+ there",
+        "met MARY SMITH there": r"met (?!MARY)[A-Z]+ (?!SMITH)[A-Z]+ there",
+        "met John  Smith there": r"met (?!John)[A-Z][a-z]+  (?!Smith)[A-Z][a-z]+ there",
+        "ask Mr McDonald.": r"ask Mr (?!McDonald)[A-Z][a-z]+\.",
+        "ask Mr O'Brien.": r"ask Mr (?!O'Brien)[A-Z][a-z]+\.",
+        "saw Priya Patel": r"saw (?!Priya)[A-Z][a-z]+ (?!Patel)[A-Z][a-z]+",
+        "call 5551234567 now": r"call (?!5551234567)\d{10} now",
+        "host fe80::1 up": r"host (?!fe80::1)[0-9a-f]{4}::[0-9a-f] up",
+        "host 2001:DB8:0:0:8:800:200C:417A.": r"host (?!2001)[0-9A-F]{4}:[0-9A-F]{3}:[0-9A-F]:[0-9A-F]:[0-9A-F]:[0-9A-F]{3}:[0-9A-F]{4}:[0-9A-F]{4}\.",
+        "ring 0049 30 123456": r"ring 00(?!49 30 123456)\d\d \d\d \d{6}",
+        "Mr Smith came. Later Smith left; SMITH's coat, Smithson not": r"Mr (\w+) came\. Later (\w+) left; (\w+)'s coat, Smithson not",
+    }
+    left = ["at 10:30:00 and 12:15", "std::vector and add::be", "order 5551234567 of 2024", "Later Smith left", "ratio 1:2:3:4"]
+    rows = list(enumerate([*cases, *left]))
+    got = {r["doc_id"]: r["text"] for r in surrogates.with_surrogates(spark.createDataFrame(rows, types), "k").collect()}
+    for i, (text, pattern) in enumerate(cases.items()):
+        assert re.fullmatch(pattern, got[i]) and got[i] != text, (text, got[i])
+    one, two, loud = re.fullmatch(cases["Mr Smith came. Later Smith left; SMITH's coat, Smithson not"], got[len(cases) - 1]).groups()
+    assert one == two != "Smith" and loud == one.upper()
+    assert one == re.match(r"met \w+  (\w+)", got[2])[1]  # the same name in another document
+    assert [got[len(cases) + i] for i in range(len(left))] == left
+
+
+def test_a_long_text_with_many_entities_and_ties(spark):
+    text = " ".join(f"Mr Smith wrote to x{i % 40}@mail.example.com from 10.0.{i % 5}.1;" for i in range(3000))
+    got = surrogates.with_surrogates(spark.createDataFrame([(1, text), (1, text)], "doc_id long, text string"), "k").collect()
+    assert [r["n_entities"] for r in got] == [9000, 9000] and got[0]["text"] == got[1]["text"]
+    words = got[0]["text"].split()
+    assert "Smith" not in words and len(set(words[1::7])) == 1 and len(set(words[4::7])) == 40 and len(set(words[6::7])) == 5

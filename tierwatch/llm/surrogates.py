@@ -4,7 +4,9 @@ Entities are found by patterns, their forms are reduced to what they refer to (l
 lower case; the name parts of a person), and every referent gets one surrogate from a keyed hash, so
 all its mentions stay the same referent wherever they occur. A surrogate keeps the kind: digits stay
 digits, letters keep script and case, separators stay, host endings stay, octets keep their width, card
-numbers their check digit, and given names their gender. Surrogates that two referents share, or that
+numbers their check digit, phones their leading zeros, and given names their gender; octets keep their width and other
+kinds their length for the first `WIDER_AFTER` draws, after which a full space is widened. A person is found by a
+title or a listed given name; the surname is then replaced wherever else the same text has it. Surrogates that two referents share, or that
 occur as a referent in the corpus, are drawn again until all are distinct.
 
 Only DataFrame functions are used.
@@ -20,13 +22,16 @@ from tierwatch.functions.shared import stage
 # Titles and given names that tell a gender, by script.
 MALE_TITLES = "Mr Herr Monsieur Señor Sr Don г-н господин Κος".split()
 FEMALE_TITLES = "Mrs Ms Miss Frau Madame Mme Señora Sra Doña г-жа госпожа Κα".split()
+LOUD_TITLES = "MR MRS HERR FRAU".split()  # the others are words in capitals, too
 MALE_NAMES = (
     "James John Robert Michael William David Richard Thomas Daniel Paul Hans Peter Klaus Jürgen Wolfgang Pierre Jean "
-    "Michel Louis Henri Carlos José Juan Luis Miguel Иван Сергей Алексей Дмитрий Николай Γιώργος Νίκος Δημήτρης"
+    "Michel Louis Henri Carlos José Juan Luis Miguel Charles Joseph Mark George Edward Brian Kevin Steven Andrew "
+    "Matthew Anthony Ali Ahmed Mohammed Omar Raj Arjun Rahul Wei Giovanni Marco Luca Antonio Stefan Andreas Иван Сергей Алексей Дмитрий Николай Γιώργος Νίκος Δημήτρης"
 ).split()
 FEMALE_NAMES = (
     "Mary Patricia Jennifer Linda Elizabeth Susan Sarah Karen Anna Emma Ursula Monika Petra Sabine Marie Claire "
-    "Isabelle Sophie Camille María Carmen Ana Laura Lucía Анна Мария Елена Ольга Наталья Μαρία Ελένη Κατερίνα"
+    "Isabelle Sophie Camille María Carmen Ana Laura Lucía Alice Emily Margaret Barbara Nancy Lisa Helen Julia Rachel "
+    "Olivia Priya Anjali Fatima Aisha Mei Yuki Giulia Francesca Chiara Katharina Birgit Heike Анна Мария Елена Ольга Наталья Μαρία Ελένη Κατερίνα"
 ).split()
 # Syllables of invented names, by script, and endings by gender.
 SYLLABLES = {
@@ -41,7 +46,10 @@ ENDINGS = {
 }
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-_NAME = r"\p{Lu}[\p{Ll}\p{M}]++(?:-\p{Lu}\p{Ll}++)?"
+_WORD = r"\p{Lu}[\p{Ll}\p{M}]++(?:\p{Lu}[\p{Ll}\p{M}]++)?"
+# Inner capitals, an apostrophe after the first letter, a hyphen; or capitals throughout.
+_NAME = rf"(?:(?:\p{{Lu}}['’])?{_WORD}(?:-{_WORD})?|\p{{Lu}}['’]?\p{{Lu}}{{2,}}+(?:-\p{{Lu}}{{2,}}+)?)"
+_HEX = "[0-9A-Fa-f]{1,4}"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]+\.)+\p{L}{2,24}(?![\p{L}\p{N}])",
     "iban": r"\b(?=[A-Z]{2}(?:[A-Z ]{0,6}\d){10})[A-Z]{2}\d{2}(?:(?: [A-Z0-9]{4}){3,7}(?: [A-Z0-9]{1,3})?|[A-Z0-9]{11,30})\b",
@@ -50,24 +58,28 @@ PATTERNS = {
     r"|(?<!\d)\(\d{2,5}\)(?:[ ./-]?\d){5,11}(?!\d)"
     r"|(?<![\d.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-])"
     r"|(?<![\d.,/:+-])(?!\d{2}[./-]\d{2}[./-]\d{4}(?!\d)|\d{3}-\d{2}-\d{4}(?!\d)|\d{4}(?:[ -]\d{4}){3}(?!\d))"
-    r"(?=0\d{1,4}[ ./-]\d{2})0(?:[ ./-]?\d){6,14}(?!\d)",
+    r"(?=0\d{1,4}[ ./-]\d{2})0(?:[ ./-]?\d){6,14}(?!\d)"
+    # A run of bare digits only where a word says so.
+    r"|(?<=\b(?i:phone|tel|telephone|call|mobile|cell|fax|dial)[.:]? {0,2})\d{7,14}(?!\d)",
     "card": r"(?<![\d.-])(?:\d{15,16}|\d{4}(?:[ -]\d{4}){3})(?![\d-])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
+    "ip6": rf"(?<![\w:.])(?=[A-Fa-f:]{{0,39}}+\d)(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}}|:(?::{_HEX}){{1,7}})(?![\w:])",
     # The class of first letters is looked at before anything else, as it fails almost everywhere.
-    "person": rf"(?=[{''.join(sorted({w[0] for w in MALE_TITLES + FEMALE_TITLES + MALE_NAMES + FEMALE_NAMES}))}])(?<!\p{{L}})(?:(?:{'|'.join(MALE_TITLES + FEMALE_TITLES)})\.? {_NAME}(?: {_NAME}){{0,2}}"
-    rf"|(?:{'|'.join(MALE_NAMES + FEMALE_NAMES)}) {_NAME})(?!\p{{L}})",
+    "person": rf"(?=[{''.join(sorted({w[0] for w in MALE_TITLES + FEMALE_TITLES + MALE_NAMES + FEMALE_NAMES}))}])(?<!\p{{L}})(?:(?:{'|'.join(MALE_TITLES + FEMALE_TITLES + LOUD_TITLES)})\.? ++{_NAME}(?: ++{_NAME}){{0,2}}"
+    rf"|(?:{'|'.join([*MALE_NAMES, *FEMALE_NAMES, *map(str.upper, MALE_NAMES + FEMALE_NAMES)])}) ++{_NAME})(?!\p{{L}})",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-# What every entity but a person has: an at sign, five digits and separators in a row, or an account's head.
-MARK = r"@|[0-9][0-9./() -]{4}|[A-Z]{2}[0-9]{2}[A-Z0-9 ]{11}"
+# What every entity but a person has: an at sign, five digits and separators in a row, an account's head, or colons.
+MARK = rf"@|[0-9][0-9./() -]{{4}}|[A-Z]{{2}}[0-9]{{2}}[A-Z0-9 ]{{11}}|::{_HEX}|(?:{_HEX}:){{4}}"
 WIDER_AFTER = 8
 
 
 def kind_of(span: Column) -> Column:
     """The kind of a span that `ANY` matched."""
     return F.coalesce(
-        *[F.when(span.rlike(f"^(?:{PATTERNS[k]})$"), k) for k in ("email", "ip", "phone", "ssn", "card", "iban")],
+        *[F.when(span.rlike(f"^(?:{PATTERNS[k]})$"), k) for k in ("email", "ip", "ip6", "phone", "ssn", "card", "iban")],
+        F.when(span.rlike(r"^\d+$"), "phone"),
         F.lit("person"),
     )
 
@@ -82,25 +94,37 @@ def script_of(text: Column) -> Column:
 
 
 def name_parts(span: Column) -> Column:
-    """The words of a person as (part, kind, form): titles stay, given names have a gender."""
+    """The words of a person as (part, kind, form): titles stay, given names have a gender.
+
+    Between blanks that follow each other lies an empty word, which stays, too."""
     words = F.split(span, " ")
-    title = lambda w, names: F.regexp_replace(w, r"\.$", "").isin(names)
+    listed = lambda w, names: w.isin(names) | F.initcap(w).isin(names)
+    title = lambda w, names: listed(F.regexp_replace(w, r"\.$", ""), names)
     titled = title(words[0], MALE_TITLES + FEMALE_TITLES)
     gender = (
-        F.when(title(words[0], MALE_TITLES) | words[0].isin(MALE_NAMES), "male")
-        .when(title(words[0], FEMALE_TITLES) | words[0].isin(FEMALE_NAMES), "female")
+        F.when(title(words[0], MALE_TITLES) | listed(words[0], MALE_NAMES), "male")
+        .when(title(words[0], FEMALE_TITLES) | listed(words[0], FEMALE_NAMES), "female")
         .otherwise("surname")
     )
     return F.transform(
         words,
         lambda w, i: F.struct(
             i.alias("part"),
-            F.when(titled & (i == 0), "title").when(i < F.size(words) - 1, gender).otherwise("surname").alias("kind"),
+            F.when((titled & (i == 0)) | (w == ""), "title").when(i < F.size(words) - 1, gender).otherwise("surname").alias("kind"),
             w.alias("form"),
         ),
     )
 
 
+def with_later_mentions(spans: Column) -> Column:
+    """The pattern of a text's entities: `ANY`, and the surnames of the persons among `spans` by themselves."""
+    persons = F.filter(spans, lambda s: ~s.rlike(r"[@:\p{N}]"))
+    surnames = F.transform(persons, lambda s: F.element_at(F.split(s, " "), -1))
+    both = F.array_distinct(F.concat(surnames, F.transform(surnames, F.upper)))
+    alone = F.concat(F.lit(ANY + r"|(?<!\p{L})(?:"), F.array_join(both, "|"), F.lit(r")(?!\p{L})"))
+    return F.when(F.size(persons) > 0, alone).otherwise(F.lit(ANY))
+
+
 def number_at(digest: Column, at: Column, n: Column | int) -> Column:
     """A number below n from the hex digits of a digest at a place; places wrap around."""
     four = F.conv(F.substr(digest, (at * 3) % 60 + 1, F.lit(4)), 16, 10).cast("int")
@@ -175,8 +199,14 @@ def draw(key: str) -> Column:
         .otherwise(1 + number_at(digest, i, 9))
         .cast("string"),
     )
+    groups = F.when(attempt >= WIDER_AFTER, F.regexp_replace(refers, "[0-9a-f]+", "0000")).otherwise(refers)
+    hexes = F.transform(F.split(groups, ""), lambda c, i: F.when(c == ":", c).otherwise(_letter("0123456789abcdef", number_at(digest, i, 16))))
+    zeros = F.length(F.regexp_extract(refers, "^0*", 0))
+    phone = F.concat(F.substr(refers, F.lit(1), zeros), F.substr(shaped, zeros + 1), extra)
     return (
         F.when(kind == "ip", F.array_join(octets, "."))
+        .when(kind == "ip6", F.array_join(hexes, ""))
+        .when(kind == "phone", phone)
         .when(kind == "email", email)
         .when(kind == "card", F.when(refers.rlike(r"^\d+$"), F.concat(card, extra)).otherwise(F.concat(shaped, extra)))
         .when(kind == "iban", F.concat(iban, extra))
@@ -202,7 +232,8 @@ def in_form(form: Column, surrogate: Column, kind: Column) -> Column:
     kept = F.array_join(F.transform(F.split(form, ""), one), "")
     upper = ~form.rlike(r"\p{Ll}")
     named = F.when(upper, F.upper(surrogate)).otherwise(F.initcap(surrogate))
-    return F.when(kind == "ip", surrogate).when(kind.isin(*ENDINGS), named).otherwise(kept)
+    six = F.when(form.rlike("[A-F]"), F.upper(surrogate)).otherwise(surrogate)
+    return F.when(kind == "ip", surrogate).when(kind == "ip6", six).when(kind.isin(*ENDINGS), named).otherwise(kept)
 
 
 def assign(referents: DataFrame, key: str) -> DataFrame:
@@ -237,11 +268,16 @@ def with_surrogates(docs: DataFrame, key: str) -> DataFrame:
     whole = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # Cheap necessary conditions first: most texts have nothing that the patterns need to look at.
     hit = F.coalesce(F.col("text").rlike(MARK) | F.col("text").rlike(PATTERNS["person"]), F.lit(False))
-    found = whole.where(hit).select(
-        F.monotonically_increasing_id().alias("row"),
-        "doc_id",
-        F.split("text", ANY, -1).alias("gaps"),
-        F.regexp_extract_all("text", F.lit(ANY), F.lit(0)).alias("spans"),
+    found = (
+        whole.where(hit)
+        .select("doc_id", "text", F.regexp_extract_all("text", F.lit(ANY), F.lit(0)).alias("first"))
+        .select("doc_id", "text", with_later_mentions(F.col("first")).alias("pattern"))
+        .select(
+            F.monotonically_increasing_id().alias("row"),
+            "doc_id",
+            F.split("text", F.col("pattern"), -1).alias("gaps"),
+            F.regexp_extract_all("text", F.col("pattern"), F.lit(0)).alias("spans"),
+        )
     )
     found = stage(found, "entities", codec="zstd")
     spans = found.select("row", F.posexplode("spans").alias("at", "span")).withColumn("kind", kind_of(F.col("span")))
@@ -250,7 +286,7 @@ def with_surrogates(docs: DataFrame, key: str) -> DataFrame:
         "row", "at", F.explode(F.when(F.col("kind") == "person", name_parts(F.col("span"))).otherwise(alone)).alias("p")
     ).select("row", "at", "p.*")
     ending = F.length(F.regexp_extract("form", r"\.(\p{L}+)$", 1))
-    parts = parts.withColumn("refers", F.when(F.col("kind") == "ip", F.col("form")).otherwise(referent(F.col("form"))))
+    parts = parts.withColumn("refers", F.when(F.col("kind") == "ip", F.col("form")).when(F.col("kind") == "ip6", F.lower("form")).otherwise(referent(F.col("form"))))
     parts = parts.withColumn("tail", F.when(F.col("kind") == "email", ending).otherwise(0))
     parts = stage(parts, "mentions", codec="zstd")
     given = assign(parts.where("kind != 'title'"), key)
