@@ -45,6 +45,16 @@ ENDINGS = {
     "surname": {"latin": "ner mann son ez".split(), "cyrillic": "ко ич ук ян".split(), "greek": "δης κος πος της".split()},
 }
 
+
+
+def any_of(words: list[str]) -> str:
+    """A pattern of any of the words, by their first letters, so that few of them are tried at a place."""
+    heads: dict[str, list[str]] = {}
+    for word in dict.fromkeys(words):
+        heads.setdefault(word[0], []).append(word[1:])
+    return "|".join(f"{head}(?:{'|'.join(rest)})" for head, rest in heads.items())
+
+
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _WORD = r"\p{Lu}[\p{Ll}\p{M}]++(?:\p{Lu}[\p{Ll}\p{M}]++)?"
 # Inner capitals, an apostrophe after the first letter, a hyphen; or capitals throughout.
@@ -66,12 +76,12 @@ PATTERNS = {
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "ip6": rf"(?<![\w:.])(?=[A-Fa-f:]{{0,39}}+\d)(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}}|:(?::{_HEX}){{1,7}})(?![\w:])",
     # The class of first letters is looked at before anything else, as it fails almost everywhere.
-    "person": rf"(?=[{''.join(sorted({w[0] for w in MALE_TITLES + FEMALE_TITLES + MALE_NAMES + FEMALE_NAMES}))}])(?<!\p{{L}})(?:(?:{'|'.join(MALE_TITLES + FEMALE_TITLES + LOUD_TITLES)})\.? ++{_NAME}(?: ++{_NAME}){{0,2}}"
-    rf"|(?:{'|'.join([*MALE_NAMES, *FEMALE_NAMES, *map(str.upper, MALE_NAMES + FEMALE_NAMES)])}) ++{_NAME})(?!\p{{L}})",
+    "person": rf"(?=[{''.join(sorted({w[0] for w in MALE_TITLES + FEMALE_TITLES + MALE_NAMES + FEMALE_NAMES}))}])(?<!\p{{L}})(?:(?:{any_of(MALE_TITLES + FEMALE_TITLES + LOUD_TITLES)})\.? ++{_NAME}(?: ++{_NAME}){{0,2}}"
+    rf"|(?:{any_of([*MALE_NAMES, *FEMALE_NAMES, *map(str.upper, MALE_NAMES + FEMALE_NAMES)])}) ++{_NAME})(?!\p{{L}})",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 # What every entity but a person has: an at sign, five digits and separators in a row, an account's head, or colons.
-MARK = rf"@|[0-9][0-9./() -]{{4}}|[A-Z]{{2}}[0-9]{{2}}[A-Z0-9 ]{{11}}|::{_HEX}|(?:{_HEX}:){{4}}"
+MARK = rf"@|[0-9][0-9./() -]{{4}}|[A-Z]{{2}}[0-9]{{2}}[A-Z0-9 ]{{11}}|::[0-9A-Fa-f]|(?::{_HEX}){{4}}"
 WIDER_AFTER = 8
 
 
