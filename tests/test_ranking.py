@@ -192,6 +192,38 @@ def test_boosting_passes_do_not_grow_with_classes(spark, monkeypatch):
     assert passes == [0, 1, 2, 0, 1, 2]
 
 
+def test_boosting_places_rows_by_bytes_as_a_walk_does():
+    from tierwatch.operators import boosting
+
+    rng = np.random.default_rng(9)
+    for levels in range(5):
+        variable, cut = rng.integers(-1, 4, 31), rng.integers(0, 256, 31)
+        cells = rng.integers(0, 256, (4, 500)).astype(np.uint8)
+        by_hand = []
+        for row in cells.T:
+            node = 0
+            for _ in range(levels):
+                if variable[node] >= 0:
+                    node = 2 * node + 1 + int(row[variable[node]] > cut[node])
+            by_hand.append(node)
+        got = boosting._reached(variable, levels)[boosting._places(variable, cut, cells, levels)]
+        assert got.tolist() == by_hand
+        assert boosting._places(variable, cut, cells, levels).itemsize == 1
+
+
+def test_boosting_works_on_a_bounded_number_of_rows_at_once(spark, monkeypatch):
+    from tierwatch.operators import boosting
+
+    # A count and the largest sum of curvatures of a chunk fit into one exact double.
+    assert boosting.CHUNK_ROWS * boosting.UNIT / 4 < boosting.CURVATURES and boosting.CHUNK_ROWS * boosting.CURVATURES < 1 << 53
+    rng = np.random.default_rng(10)
+    df = frame(spark, {"a": rng.normal(size=400), "b": rng.integers(0, 9, 400), "y": rng.integers(0, 3, 400)})
+    whole = boosting.fit_booster(df, "y", ["a", "b"], rounds=4)
+    monkeypatch.setattr(boosting, "CHUNK_ROWS", 7)
+    again = boosting.fit_booster(df.coalesce(1), "y", ["a", "b"], rounds=4)
+    assert (again.gains == whole.gains).all()
+
+
 def test_boosting_refuses_and_degenerates(spark):
     from tierwatch.operators import boosting
 
