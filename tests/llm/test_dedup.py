@@ -125,6 +125,27 @@ def test_cells_connect_what_is_alike_and_send_few_links(spark):
             assert len(got) <= 4
 
 
+def test_a_bucket_of_many_components_is_met_whole_in_cells(spark):
+    """Rows that share one band only, very many of them outside the largest component, lose no link."""
+    packed = [neardup.pack_set(np.sort(np.arange(8, dtype=np.uint64) + np.uint64(100 * (i // 2)) << np.uint64(20))) for i in range(120)]
+    rows = [(1, i, i, bytearray(128), bytearray(packed[i]), 120, 0, 119) for i in range(120)]
+    shape = "key long, row long, component long, sketch binary, hashes binary, size long, top long, outside long"
+    got = {(r["a"], r["b"]) for r in neardup.links_in_cells(spark.createDataFrame(rows, shape), 70, 75, 16).collect()}
+    assert got == {(i, i + 1) for i in range(0, 120, 2)}
+
+
+def test_rows_that_share_one_band_are_linked_at_any_size_of_the_bucket(spark, monkeypatch):
+    sets = [np.sort(np.arange(8, dtype=np.uint64) + np.uint64(1000 + 100 * (i // 2)) << np.uint64(20)) for i in range(24)]
+    # One band is common to all rows, every other one is a row's own.
+    rows = [(i, [7] + [1000 * i + b for b in range(1, 32)], bytearray(128)) for i in range(24)]
+    table = spark.createDataFrame(rows, "row long, bands array<long>, sketch binary")
+    full = spark.createDataFrame([(i, bytearray(neardup.pack_set(s))) for i, s in enumerate(sets)], "row long, hashes binary")
+    for rows_a_cell in (1024, 4):
+        monkeypatch.setattr(neardup, "CELL_ROWS", rows_a_cell)
+        got = {r["node"]: r["component"] for r in neardup.linked_rows(table, full).collect()}
+        assert got == {i: i - i % 2 for i in range(24)}
+
+
 def test_a_large_group_of_loose_copies(spark, monkeypatch):
     """A group in which most pairs are below the threshold, found whole by every way of searching."""
     import random

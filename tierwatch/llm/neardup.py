@@ -9,10 +9,9 @@ candidates. With 32 bands of 4 values, a pair at the threshold is missed with a
 Texts with equal sets are one class, represented by one row, before anything else. Candidates are
 then confirmed on the full sets without ever listing the pairs of a bucket: first each member against the
 smallest of its bucket; what is linked becomes one component. Buckets that still hold several
-components are dealt into cells of bounded size: the rows outside the largest component meet all of the
-cell, and pairs whose signatures may reach the threshold are compared on their full sets inside the
-task. What leaves it are links that connect what was apart, fewer than its rows. A bucket with very many rows outside its largest component is first cut by a second band: a pair at the
-threshold shares two bands but for a chance of about 0.00008.
+components are dealt into cells of bounded size, in which every row outside the largest component meets every row
+of its bucket, however many there are of either; pairs whose signatures may reach the threshold are compared on
+their full sets inside the task. What leaves it are links that connect what was apart, fewer than its rows.
 """
 
 from __future__ import annotations
@@ -225,16 +224,20 @@ def links_in_cells(members: DataFrame, threshold_agree: int, percent: int, cell_
     """Links (a, b) that join the components which meet in a bucket of `members` (key, row, component, top, size,
     sketch, hashes).
 
-    A bucket is dealt into chunks of about `cell_rows` rows, and the rows outside its largest component, `top`,
-    go to all of them. Inside a task, pairs of different components whose signatures may reach the threshold
-    are compared on their full sets, and a link is sent unless those found in the cell already connect the
-    pair. So a cell sends fewer links than it has components, and loses no connection.
+    A bucket is dealt into chunks of about `cell_rows` rows, and its rows outside its largest component, `top`, into
+    parts of as many; each part meets each chunk in a cell. `members` may give the number of those rows as
+    `outside`; else they are one part. Inside a task, pairs of different components whose signatures may reach the
+    threshold are compared on their full sets, and a link is sent unless those found in the cell already connect
+    the pair. So a cell sends fewer links than it has components, and loses no connection.
     """
     chunks = F.ceil(F.col("size") / cell_rows).cast("int")
-    named = members.withColumn("chunk", F.pmod(F.xxhash64("row"), chunks).cast("int"))
-    asking = named.where("component != top").withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    shape = lambda rows, asks: rows.select("key", "chunk", "row", "component", "sketch", "hashes", F.lit(asks).alias("asks"))
-    dealt = shape(named, False).unionByName(shape(asking, True))
+    parts = F.ceil(F.col("outside") / cell_rows).cast("int") if "outside" in members.columns else F.lit(1)
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    some = lambda n, seed: F.pmod(F.xxhash64("row", F.lit(seed)), n).cast("int")
+    shape = lambda rows, asks: rows.select("key", "part", "chunk", "row", "component", "sketch", "hashes", F.lit(asks).alias("asks"))
+    asked = members.withColumns({"part": every(parts), "chunk": some(chunks, 0)})
+    asking = members.where("component != top").withColumns({"part": some(parts, 1), "chunk": every(chunks)})
+    dealt = shape(asked, False).unionByName(shape(asking, True))
 
     def meet(cell: pa.Table) -> pa.Table:
         row, component = (cell.column(c).to_numpy() for c in ("row", "component"))
@@ -266,7 +269,7 @@ def links_in_cells(members: DataFrame, threshold_agree: int, percent: int, cell_
                     b.append(max(row[at], row[i]))
         return pa.table([np.array(a, np.int64), np.array(b, np.int64)], ["a", "b"])
 
-    return dealt.groupBy("key", "chunk").applyInArrow(meet, "a long, b long")
+    return dealt.groupBy("key", "part", "chunk").applyInArrow(meet, "a long, b long")
 
 
 def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -359,15 +362,9 @@ def linked_rows(table: DataFrame, sets: DataFrame, percent: int = 75) -> DataFra
     rest = stage(mixed(buckets.where("size > 2"), found), "mixed", codec="zstd")
     if not rest.limit(1).count():
         return found
-    # Buckets with very many rows outside their largest component are first cut by a second band.
-    few = rest.where(F.col("outside") <= CELL_ROWS)
-    second = rest.where(F.col("outside") > CELL_ROWS).select("key", "row").join(table.select("row", "bands"), "row")
-    second = second.select("key", "row", F.explode("bands").alias("band")).where("key != band")
-    met = few.unionByName(mixed(second.select(F.xxhash64("key", "band").alias("key"), "row"), found))
     with scratch(spark) as own:
-        met = stage(met, "cells", codec="zstd")
-        full = stage(only_wanted(sets, met.select("row")), "sets", codec="zstd")
-        cells = links_in_cells(met.join(sketches, "row").join(full, "row"), least, percent)
+        full = stage(only_wanted(sets, rest.select("row")), "sets", codec="zstd")
+        cells = links_in_cells(rest.join(sketches, "row").join(full, "row"), least, percent, CELL_ROWS)
         more = own.keep(stage(cells, "more-links", codec="zstd"))
     return components(links.unionByName(more))
 
