@@ -122,3 +122,28 @@ def test_stream_scores_equal_batch_scores(spark, fitted, tmp_path):
     scored = spark.read.parquet(str(tmp_path / "out"))
     assert scored.count() == 400
     assert scored.exceptAll(taxonomy.classify(df).select(scored.columns)).count() == 0
+
+
+def test_table_function_takes_rows_in_batches_and_keeps_all_columns(spark, tmp_path, monkeypatch):
+    from datetime import datetime
+
+    from tierwatch.operators.clustering import Centers
+    from tierwatch.sources import table_function
+
+    made = []
+    plain = table_function.udtf
+    monkeypatch.setattr(table_function, "udtf", lambda cls, **how: made.append(how) or plain(cls, **how))
+    monkeypatch.setattr(table_function, "HELD_ROWS", 3)
+    rows = [(i, None if i == 4 else float(i % 5), float(i), datetime(2024, 1, 1 + i), [i, None], None if i == 2 else "x") for i in range(11)]
+    df = spark.createDataFrame(rows, "id long, a double, `b.c` double, ts timestamp, list array<long>, word string")
+    filled = df.fillna(0.0, ["a"])
+    levels = [(0, ["a"], Centers.given(["a"], [[-1.0], [1.0]])), (1, ["b.c"], Centers.given(["b.c"], [[-1.0], [0.0], [1.0]]))]
+    taxonomy = Taxonomy.given(filled, levels)
+    taxonomy.save(str(tmp_path / "t"), spark)
+    table_function.register_taxonomy(spark, str(tmp_path / "t"), "classify_here")
+    filled.createOrReplaceTempView("records_here")
+    got = spark.sql("SELECT * FROM classify_here(TABLE(records_here))")
+    expected = taxonomy.classify(filled)
+    assert got.columns == expected.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, expected.collect()), key=str)
+    assert made == [{"useArrow": False}]  # over Arrow, each row's result would be a table of its own

@@ -59,16 +59,21 @@ def register_taxonomy(spark: SparkSession, path: str, name: str, group: str = "g
 
         def classified(self) -> Iterator[tuple]:
             rows, self.rows = self.rows, []
+            if not rows:
+                return
+            columns = list(zip(*rows))
+            place = {c: i for i, c in enumerate(rows[0].__fields__)}
             found = []
             for _, cols, mean, std, points in levels:
-                x = np.array([[row[c] for c in cols] for row in rows], float).reshape(len(rows), len(cols))
-                z = (x - np.array(mean)) / np.array(std)
                 # Added up column by column, as the projection does, so that ties fall alike.
-                gaps = np.zeros((len(z), len(points)))
-                for i in range(len(cols)):
-                    gaps += (z[:, i, None] - np.array([p[i] for p in points])) ** 2
+                gaps = np.zeros((len(rows), len(points)))
+                for i, c in enumerate(cols):
+                    z = (np.array(columns[place[c]], float) - mean[i]) / std[i]
+                    gaps += (z[:, None] - np.array([p[i] for p in points])) ** 2
                 found.append(gaps.argmin(axis=1).tolist())
-            for row, labels in zip(rows, zip(*found)):
-                yield (*row, *labels, "_".join(map(str, labels)))
+            labels = list(zip(*found))
+            names = {own: "_".join(map(str, own)) for own in set(labels)}
+            yield from zip(*columns, *found, [names[own] for own in labels])
 
-    spark.udtf.register(name, udtf(Classify, useArrow=True))
+    # Over Arrow, Spark makes a table of what each single row gives; rows as they are go in batches.
+    spark.udtf.register(name, udtf(Classify, useArrow=False))
