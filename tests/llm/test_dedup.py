@@ -134,6 +134,39 @@ def test_a_bucket_of_many_components_is_met_whole_in_cells(spark):
     assert got == {(i, i + 1) for i in range(0, 120, 2)}
 
 
+def test_no_row_comes_to_a_cell_twice(spark):
+    rows = [(1, i, i // 2, bytearray(128), bytearray(6), 40, 0, 38) for i in range(40)]
+    shape = "key long, row long, component long, sketch binary, hashes binary, size long, top long, outside long"
+    for cell_rows in (7, 1024):
+        dealt = neardup.dealt_cells(spark.createDataFrame(rows, shape), cell_rows).collect()
+        assert len({(r["part"], r["chunk"], r["row"]) for r in dealt}) == len(dealt)
+        met = {(a["row"], b["row"]) for a in dealt if a["asks"] for b in dealt if b["asked"] and (a["part"], a["chunk"]) == (b["part"], b["chunk"])}
+        assert met == {(a, b) for a in range(2, 40) for b in range(40)}
+        if cell_rows == 1024:
+            assert len(dealt) == 40
+
+
+def test_buckets_are_dealt_by_key_once(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    plans = []
+    staged = neardup.stage
+
+    def watched(df: DataFrame, label: str, **options):
+        plans.append((label, df._jdf.queryExecution().executedPlan().toString()))
+        return staged(df, label, **options)
+
+    monkeypatch.setattr(neardup, "stage", watched)
+    rows = [(i, [7] + [1000 * i + b for b in range(1, 32)], bytearray(128)) for i in range(4)]
+    full = spark.createDataFrame([(i, bytearray(neardup.pack_set(np.arange(8, dtype=np.uint64) << np.uint64(20)))) for i in range(4)], "row long, hashes binary")
+    got = neardup.linked_rows(spark.createDataFrame(rows, "row long, bands array<long>, sketch binary"), full).collect()
+    assert {r["component"] for r in got} == {0}
+    plan = dict(plans)["buckets"]
+    # The same exchange by key under the counts and under the join, which Spark runs once.
+    dealt = [line.split("hashpartitioning")[1].split(",")[0] for line in plan.splitlines() if "REPARTITION_BY_COL" in line]
+    assert len(dealt) == 2 and all(key.startswith("(key") for key in dealt)
+
+
 def test_rows_that_share_one_band_are_linked_at_any_size_of_the_bucket(spark, monkeypatch):
     sets = [np.sort(np.arange(8, dtype=np.uint64) + np.uint64(1000 + 100 * (i // 2)) << np.uint64(20)) for i in range(24)]
     # One band is common to all rows, every other one is a row's own.

@@ -165,10 +165,10 @@ def likely(threshold_agree: int):
 
 
 def only_wanted(sets: DataFrame, rows: DataFrame) -> DataFrame:
-    """The rows of `sets` (row, hashes) whose number is in `rows`, without moving most of the others.
+    """The rows of `sets` (row, hashes) whose number is in `rows`, and a few others, without moving any.
 
-    A bit map of hashed row numbers, of at most `FILTER_BITS` bits at any size, is broadcast; what it
-    lets through is joined.
+    A bit map of hashed row numbers, of at most `FILTER_BITS` bits at any size, is broadcast. What else it lets
+    through has no partner in the inner join on `row` that has to follow.
     """
     wanted = stage(rows.distinct(), "wanted", codec="zstd")
     n = wanted.count()
@@ -188,8 +188,7 @@ def only_wanted(sets: DataFrame, rows: DataFrame) -> DataFrame:
             hit = shared.value[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)
             yield batch.select([0, 1]).filter(pa.array(hit.astype(bool)))
 
-    some = sets.select("row", "hashes", place.alias("place")).mapInArrow(sift, "row long, hashes binary")
-    return some.join(wanted, "row")
+    return sets.select("row", "hashes", place.alias("place")).mapInArrow(sift, "row long, hashes binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -220,6 +219,26 @@ def _root(parent: dict, node: int) -> int:
     return node
 
 
+def dealt_cells(members: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """The rows of `members` in the cells of their bucket: each in its chunk of every part, and those outside the
+    largest component in every chunk of their part too. No row comes to a cell twice: `asked` and `asks` tell
+    what it does there."""
+    chunks = F.ceil(F.col("size") / cell_rows).cast("int")
+    parts = F.ceil(F.col("outside") / cell_rows).cast("int") if "outside" in members.columns else F.lit(1)
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    some = lambda n, seed: F.pmod(F.xxhash64("row", F.lit(seed)), n).cast("int")
+    shape = lambda rows, asked, asks: rows.select(
+        "key", "part", "chunk", "row", "component", "sketch", "hashes", asked.alias("asked"), asks.alias("asks")
+    )
+    outside = F.col("component") != F.col("top")
+    asked = members.withColumns({"own": some(parts, 1), "part": every(parts), "chunk": some(chunks, 0)})
+    asking = members.where(outside).withColumns({"own": some(chunks, 0), "part": some(parts, 1), "chunk": every(chunks)})
+    elsewhere = asking.where("chunk != own")
+    return shape(asked, F.lit(True), outside & (F.col("part") == F.col("own"))).unionByName(
+        shape(elsewhere, F.lit(False), F.lit(True))
+    )
+
+
 def links_in_cells(members: DataFrame, threshold_agree: int, percent: int, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Links (a, b) that join the components which meet in a bucket of `members` (key, row, component, top, size,
     sketch, hashes).
@@ -230,22 +249,15 @@ def links_in_cells(members: DataFrame, threshold_agree: int, percent: int, cell_
     threshold are compared on their full sets, and a link is sent unless those found in the cell already connect
     the pair. So a cell sends fewer links than it has components, and loses no connection.
     """
-    chunks = F.ceil(F.col("size") / cell_rows).cast("int")
-    parts = F.ceil(F.col("outside") / cell_rows).cast("int") if "outside" in members.columns else F.lit(1)
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    some = lambda n, seed: F.pmod(F.xxhash64("row", F.lit(seed)), n).cast("int")
-    shape = lambda rows, asks: rows.select("key", "part", "chunk", "row", "component", "sketch", "hashes", F.lit(asks).alias("asks"))
-    asked = members.withColumns({"part": every(parts), "chunk": some(chunks, 0)})
-    asking = members.where("component != top").withColumns({"part": some(parts, 1), "chunk": every(chunks)})
-    dealt = shape(asked, False).unionByName(shape(asking, True))
+    dealt = dealt_cells(members, cell_rows)
 
     def meet(cell: pa.Table) -> pa.Table:
         row, component = (cell.column(c).to_numpy() for c in ("row", "component"))
-        asks = cell.column("asks").to_numpy(zero_copy_only=False)
+        asked, asks = (cell.column(c).to_numpy(zero_copy_only=False) for c in ("asked", "asks"))
         sketch = texts.byte_view(cell.column("sketch"))[0].reshape(len(row), -1)
         packed = cell.column("hashes").combine_chunks()
         sizes = np.array([len(h.as_buffer()) // 6 for h in packed])
-        asking_rows, to = np.flatnonzero(asks), np.flatnonzero(~asks)
+        asking_rows, to = np.flatnonzero(asks), np.flatnonzero(asked)
         near = np.zeros((len(asking_rows), len(to)), bool)
         for nth, at in enumerate(asking_rows.tolist()):
             agree = (sketch[to] == sketch[at]).sum(axis=1)
@@ -316,7 +328,8 @@ def linked_rows(table: DataFrame, sets: DataFrame, percent: int = 75) -> DataFra
     spread = (agree * (1 - percent / 100)) ** 0.5
     least = int(agree - SKETCH_DEVIATIONS * spread)
     spark = table.sparkSession
-    entries = table.select(F.explode("bands").alias("key"), "row")
+    # Dealt by key once: counting the buckets and reading them share the exchange.
+    entries = table.select(F.explode("bands").alias("key"), "row").repartition("key")
     # Buckets that hold the same rows are one: copies that agree in many bands meet once.
     held = entries.groupBy("key").agg(
         F.count(F.lit(1)).alias("size"), F.min("row").alias("hub"), F.bit_xor(F.xxhash64("row")).alias("mark")
