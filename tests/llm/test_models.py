@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -334,3 +335,23 @@ def test_many_short_texts_in_blocks(monkeypatch):
     again, same = model.predict(short)
     assert names == again and np.allclose(score, same, atol=1e-6)
     assert names[-3:-1] == ["und", "und"]
+
+
+def test_a_block_of_contexts_is_counted_in_bounded_memory(monkeypatch):
+    import tracemalloc
+
+    pick = np.random.default_rng(4)
+    words = [bytes(pick.integers(97, 123, 7, dtype=np.uint8)).decode() for _ in range(3000)]
+    texts_ = [" ".join(words[i] for i in pick.integers(0, 3000, 250)) for _ in range(2000)]  # 4 MB
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(2000), pa.int64()), pa.array([True] * 2000), pa.array(texts_)], ["doc_id", "learned", "text"]
+    )
+    monkeypatch.setattr(suffixtree.wordtable, "block_numbers", lambda: iter(range(9)))
+    tracemalloc.start()
+    total = 0
+    for out in suffixtree._blocks([batch]):
+        total += sum(n for k, n in zip(out.column("kind").to_pylist(), out.column("n").to_pylist()) if k == "gram")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert total == sum(len(t) + 1 for t in texts_)
+    assert peak < 130 << 20

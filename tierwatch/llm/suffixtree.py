@@ -32,7 +32,9 @@ SYMBOLS = 257  # the end and all bytes
 BITS = 9
 SMOOTHING = 8.0
 END = 0
-COUNT_BYTES = 4 << 20
+BLOCK_BYTES = 16 << 20
+COUNT_BYTES = 1 << 20
+MERGE_GRAMS = 1 << 19  # counted grams that are held before equal ones are added up
 
 
 def symbol_table() -> np.ndarray:
@@ -145,12 +147,13 @@ def _blocks(batches) -> Iterator[pa.RecordBatch]:
     contexts with the next symbol, each with the times that training documents have them."""
     numbers = wordtable.block_numbers()
     names = [part.split()[0] for part in ROWS.split(", ")]
-    for table in wordtable.gathered(batches, column="text"):
+    for table in wordtable.gathered(batches, BLOCK_BYTES, "text"):
         block = next(numbers)
         coded, ids, learned, text, counts = [], [], [], [], []
         keys, seen = [np.zeros(0, np.int64)], [np.zeros(0)]
         flags = table.column("learned").to_numpy()
-        for first, end, data, offsets in texts.slices(table.column("text").combine_chunks()):
+        held = 0
+        for first, end, data, offsets in texts.slices(table.column("text").combine_chunks(), COUNT_BYTES):
             clean, cuts, words, before = normalised(data, offsets)
             coded.append(words.dictionary_encode())
             counts.append(np.diff(before))
@@ -163,6 +166,10 @@ def _blocks(batches) -> Iterator[pa.RecordBatch]:
                 found, times = _summed([grams], [own])
                 keys.append(found)
                 seen.append(times)
+                held += len(found)
+                if held >= MERGE_GRAMS + len(keys[0]):
+                    found, times = _summed(keys, seen)
+                    keys, seen, held = [found], [times.astype(np.float64)], len(found)
         counts = np.concatenate(counts)
         index, dictionary = wordtable.frequent_first(pa.chunked_array(coded).unify_dictionaries().combine_chunks())
         times = np.bincount(index[np.repeat(flags, counts)], minlength=len(dictionary))
