@@ -355,3 +355,28 @@ def test_a_block_of_contexts_is_counted_in_bounded_memory(monkeypatch):
     tracemalloc.stop()
     assert total == sum(len(t) + 1 for t in texts_)
     assert peak < 130 << 20
+
+
+def test_tables_of_contexts_are_never_broadcast_by_their_files_sizes(spark, monkeypatch):
+    """All joins of tables that grow with the corpus are shuffled, though Spark would take these for small."""
+    plans = []
+    plain = suffixtree.stage
+    monkeypatch.setattr(
+        suffixtree, "stage", lambda df, *a, **k: plans.append(df._jdf.queryExecution().executedPlan().toString()) or plain(df, *a, **k)
+    )
+    table = spark.createDataFrame([(i, f"to be or not to be {i}", None, None, 0) for i in range(20)], DOC_TYPE)
+    scored = suffixtree.corpus_scores(table)
+    plans.append(scored._jdf.queryExecution().executedPlan().toString())
+    joins = [p for p in plans if "SortMergeJoin" in p]
+    assert len(joins) == 2 * suffixtree.DEPTH + 1
+    assert not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_counts_of_grams_are_those_of_learned_texts():
+    grams, learned = np.array([5, 1 << 53, 5, 7, 5, 0], np.int64), np.array([True, True, False, False, True, False])
+    found, times = suffixtree._counted(grams, learned)
+    assert found.tolist() == [0, 5, 7, 1 << 53] and times.tolist() == [0, 2, 0, 1]
+    found, times = suffixtree._summed([found, np.array([7, 6])], [times, np.array([4, 1])])
+    assert found.tolist() == [0, 5, 6, 7, 1 << 53] and times.tolist() == [0, 2, 1, 4, 1]
+    assert [len(x) for x in suffixtree._counted(grams[:0], learned[:0])] == [0, 0]
+    assert [len(x) for x in suffixtree._summed([grams[:0]], [grams[:0]])] == [0, 0]

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tierwatch.functions.shared import stage
+from tierwatch.functions.shared import join_shuffled, stage
 from tierwatch.llm import texts, wordtable
 from tierwatch.llm.folds import held_out
 
@@ -133,13 +133,28 @@ def _gram_codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return grams[inside], np.concatenate([[0], np.cumsum(lengths + 1)])
 
 
+def _heads(keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys begins."""
+    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+
+
+def _counted(grams: np.ndarray, learned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams in order, and how many of each are of training documents.
+
+    The flag is the lowest bit of a gram, so that one sort in place does it, with no table beside it."""
+    coded = grams << 1 | learned
+    coded.sort()
+    first = _heads(coded >> 1)
+    return coded[first] >> 1, np.add.reduceat(coded & 1, first) if len(first) else first
+
+
 def _summed(keys: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, and the sums of their counts."""
-    coded = pa.array(np.concatenate(keys)).dictionary_encode()
-    found = coded.dictionary.to_numpy()
-    sums = np.bincount(coded.indices.to_numpy(), np.concatenate(times), len(found)).astype(np.int64)
-    order = np.argsort(found)
-    return found[order], sums[order]
+    key = np.concatenate(keys)
+    order = np.argsort(key)
+    key = key[order]
+    first = _heads(key)
+    return key[first], np.add.reduceat(np.concatenate(times)[order], first) if len(first) else first
 
 
 def _blocks(batches) -> Iterator[pa.RecordBatch]:
@@ -150,8 +165,8 @@ def _blocks(batches) -> Iterator[pa.RecordBatch]:
     for table in wordtable.gathered(batches, BLOCK_BYTES, "text"):
         block = next(numbers)
         coded, ids, learned, text, counts = [], [], [], [], []
-        keys, seen = [np.zeros(0, np.int64)], [np.zeros(0)]
-        flags = table.column("learned").to_numpy()
+        keys, seen = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        flags = table.column("learned").to_numpy().astype(bool)
         held = 0
         for first, end, data, offsets in texts.slices(table.column("text").combine_chunks(), COUNT_BYTES):
             clean, cuts, words, before = normalised(data, offsets)
@@ -162,14 +177,13 @@ def _blocks(batches) -> Iterator[pa.RecordBatch]:
             text += [raw[a:b] for a, b in zip(cell, cell[1:])]
             for low, high in _runs(cuts):
                 grams, ends = _gram_codes(clean[cuts[low] : cuts[high]], cuts[low : high + 1] - cuts[low])
-                own = np.repeat(flags[first + low : first + high], np.diff(ends)).astype(np.float64)
-                found, times = _summed([grams], [own])
+                found, times = _counted(grams, np.repeat(flags[first + low : first + high], np.diff(ends)))
                 keys.append(found)
                 seen.append(times)
                 held += len(found)
                 if held >= MERGE_GRAMS + len(keys[0]):
                     found, times = _summed(keys, seen)
-                    keys, seen, held = [found], [times.astype(np.float64)], len(found)
+                    keys, seen, held = [found], [times], len(found)
         counts = np.concatenate(counts)
         index, dictionary = wordtable.frequent_first(pa.chunked_array(coded).unify_dictionaries().combine_chunks())
         times = np.bincount(index[np.repeat(flags, counts)], minlength=len(dictionary))
@@ -195,6 +209,7 @@ def _blocks(batches) -> Iterator[pa.RecordBatch]:
         entries = rows("gram", len(grams), place=grams, count=times)
         for first in range(0, len(grams), 50_000):
             yield entries.slice(first, 50_000)
+        pa.default_memory_pool().release_unused()
 
 
 def _runs(cuts: np.ndarray, limit: int = COUNT_BYTES) -> Iterator[tuple[int, int]]:
@@ -238,7 +253,7 @@ def context_levels(grams: DataFrame) -> tuple[list[DataFrame], list[DataFrame |
         gain = F.when(F.col("n") > 0, F.col("n") * F.log(F.col("n") / F.col("p"))).otherwise(0.0)
         level = (
             cells[length].withColumn("short", newest(F.col("code"), length - 1))
-            .join(parent, ["short", "symbol"])
+            .transform(lambda level, parent=parent: join_shuffled(level, parent, ["short", "symbol"]))
             .withColumn("whole", F.sum("n").over(context))
             .withColumn("kinds", F.count_if(F.col("n") > 0).over(context))
             .withColumn("gain", F.sum(gain).over(context) - F.col("whole") * F.log(F.greatest("whole", F.lit(1))))
@@ -264,9 +279,9 @@ def gram_scores(grams: DataFrame) -> DataFrame:
         above = smooth.select(F.col("code").alias("short"), "symbol", F.col("p").alias("above"))
         own = (F.col("n") + SMOOTHING * F.col("above")) / (F.col("whole") + SMOOTHING)
         smooth = (
-            levels[length].join(stay[length].withColumn("stays", F.lit(True)), "code", "left")
+            join_shuffled(levels[length], stay[length].withColumn("stays", F.lit(True)), "code", "left")
             .withColumn("short", newest(F.col("code"), length - 1))
-            .join(above, ["short", "symbol"])
+            .transform(lambda level, above=above: join_shuffled(level, above, ["short", "symbol"]))
             .select("code", "symbol", F.when(F.col("stays"), own).otherwise(F.col("above")).alias("p"))
         )
         smooth = stage(smooth, f"smooth-{length}", codec="zstd")
@@ -359,19 +374,20 @@ def corpus_scores(docs: DataFrame, modulus: int = 5, remainder: int = 1) -> Data
         model = []
         for _, _, data, offsets in texts.slices(found.column("payload").combine_chunks(), COUNT_BYTES):
             codes, cuts = _gram_codes(data, offsets)
-            coded = pa.array(codes).dictionary_encode()
-            log = gram_logs[np.searchsorted(known_grams, coded.dictionary.to_numpy())]
-            total = np.concatenate([[0.0], np.cumsum(log[coded.indices.to_numpy()])])
+            codes, place = np.unique(codes, return_inverse=True)
+            log = gram_logs[np.searchsorted(known_grams, codes)]
+            total = np.concatenate([[0.0], np.cumsum(log[place])])
             model.append(np.diff(total[cuts]))
         columns = [
             found.column("doc_id"), found.column("learned"), np.asarray(found.column("n").to_numpy()) + 1, known,
             base, np.concatenate(model),
         ]
+        pa.default_memory_pool().release_unused()
         return pa.table(columns, names)
 
     own = documents.select("block", "doc_id", "learned", "n", "payload", "words")
     words_back = counted.select("block", F.lit(True).alias("word"), F.col("place").alias("key"), F.col("c").cast("double").alias("value"))
-    grams_back = grams.join(logs_of, "gram").select("block", F.lit(False).alias("word"), F.col("gram").alias("key"), F.col("log").alias("value"))
+    grams_back = join_shuffled(grams, logs_of, "gram").select("block", F.lit(False).alias("word"), F.col("gram").alias("key"), F.col("log").alias("value"))
     result = (
         own.groupBy("block")
         .cogroup(words_back.unionByName(grams_back).groupBy("block"))
