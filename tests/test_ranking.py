@@ -242,3 +242,68 @@ def test_wide_and_null_symbols_count_once(spark):
     got = op.entropies(df, [("a.b",), ("a.b", "c")])
     assert got[("a.b",)] == pytest.approx(entropy([None, None, "p", "p|", "p"]))
     assert got[("a.b", "c")] == pytest.approx(entropy([(None, "x"), (None, "x"), ("p", None), ("p|", "x"), ("p", "|x")]))
+
+
+def test_boosting_sends_few_blocks_at_a_time(spark, monkeypatch):
+    """A task holds a few blocks of bounded size, not all that Spark's own batches would take in."""
+    import pyarrow as pa
+
+    from tierwatch.operators import boosting
+
+    monkeypatch.setattr(boosting, "BLOCK_BYTES", 1800)  # 100 rows of two variables and two classes
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    seen = []
+    plain = boosting._level_cuts
+
+    def watched(blocks, *rest):
+        sizes = blocks.mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([len(b)]), pa.array([max(b.column(0).to_pylist())])], ["b", "n"]) for b in bs), "b long, n long")
+        seen.extend(tuple(r) for r in sizes.collect())
+        return plain(blocks, *rest)
+
+    monkeypatch.setattr(boosting, "_level_cuts", watched)
+    rng = np.random.default_rng(12)
+    df = frame(spark, {"a": rng.normal(size=3000), "b": rng.integers(0, 9, 3000), "y": rng.integers(0, 2, 3000)}).coalesce(1)
+    boosting.fit_booster(df, "y", ["a", "b"], rounds=1)
+    assert len(seen) > 3 and max(b for b, _ in seen) <= boosting.BATCH_BLOCKS and max(n for _, n in seen) <= 100
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_boosting_counts_many_variables_and_rows_by_parts(monkeypatch):
+    from tierwatch.operators import boosting
+
+    rng = np.random.default_rng(13)
+    classes, nodes, cols, bins, n = 2, 4, 5, 7, 60
+    cells, places = rng.integers(0, bins, (cols, n)).astype(np.uint8), rng.integers(0, nodes, (classes, n)).astype(np.uint8)
+    residual = rng.integers(-(1 << 28), 1 << 28, (classes, n)).astype(float)
+    size = rng.integers(0, 1 << 26, (classes, n)).astype(float)
+    found = np.zeros((classes, 3, nodes, cols, bins))
+    room = np.empty((3, 3 * 20))
+    for first in range(0, n, 20):
+        some = slice(first, first + 20)
+        for v in range(0, cols, 3):
+            boosting._count(found[:, :, :, v : v + 3], cells[v : v + 3, some], places[:, some], residual[:, some] + boosting.CURVATURES, size[:, some], room)
+    hand = np.zeros_like(found)
+    for k in range(classes):
+        for v in range(cols):
+            for i in range(n):
+                hand[k, :, places[k, i], v, cells[v, i]] += [1, residual[k, i], size[k, i]]
+    assert (found == hand).all()
+    # The largest residuals of a chunk still leave its count to be told from their sum.
+    assert boosting.CHUNK_ROWS * boosting.UNIT < boosting.CURVATURES / 2
+
+
+def test_boosting_adds_trees_together_as_one_by_one():
+    from tierwatch.operators import boosting
+
+    rng = np.random.default_rng(14)
+    depth, classes = 3, 2
+    cells = rng.integers(0, 256, (4, 300)).astype(np.uint8)
+    rounds = [[(rng.integers(-1, 4, 7), rng.integers(0, 255, 7), rng.normal(size=15)) for _ in range(classes)] for _ in range(6)]
+    scores = rng.normal(size=(classes, 300))
+    by_hand = scores.copy()
+    for trees in rounds:
+        for k, (variable, cut, value) in enumerate(trees):
+            by_hand[k] += 0.1 * value[boosting._reached(variable, depth)][boosting._places(variable, cut, cells, depth)]
+    got = boosting._advanced(scores, cells, boosting._steps(rounds, 0.1, depth), depth)
+    assert np.allclose(got, by_hand, rtol=0, atol=1e-12)
+    assert (boosting._advanced(scores, cells, boosting._steps([], 0.1, depth), depth) == scores).all()
